@@ -7,14 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality
-from .common import stage
+from . import language_id, mixing, packing, quality, token_counts, topk, warc
+from .common import new_folder, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n; of a null id as of empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % n
+
+
+def op1_rank_order(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("held_out", remainder(4) == 2)
+    learned = language_id.learn(d.where(~F.col("held_out")))
+    d = language_id.predict(d.select("doc_id", "held_out", "text"), learned, keep=("held_out",))
+    return d.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_digest_cache(spark, sf_dir):
+    import public_tokenizers
+
+    d = token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), new_folder(spark, "token-cache"), separable=True)
+    return d.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op4_warc_zstd(spark, sf_dir):
+    folder = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_ball_tree(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_length_buckets(spark, sf_dir):
     d = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "length", "bucket", "bucket_length", "batch", "padding")
@@ -41,6 +70,10 @@ def op10_systematic_mix(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rank_order": op1_rank_order,
+        "op2_digest_cache": op2_digest_cache,
+        "op4_warc_zstd": op4_warc_zstd,
+        "op7_ball_tree": op7_ball_tree,
         "op3_length_buckets": op3_length_buckets,
         "op5_weak_supervision": op5_weak_supervision,
         "op10_systematic_mix": op10_systematic_mix,
@@ -74,5 +107,18 @@ FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
 
 
+OP7_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_systematic_mix": OP10_SQL}
+    return {"op7_ball_tree": OP7_SQL, "op10_systematic_mix": OP10_SQL}
