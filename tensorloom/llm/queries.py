@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality, token_counts, topk, warc
+from . import language_id, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
 from .common import new_folder, stage
 
 
@@ -40,6 +40,11 @@ def op4_warc_zstd(spark, sf_dir):
     return warc.read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_array(spark, sf_dir):
+    d = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), kept_text=False, keep=["doc_id"])
+    return d.select("doc_id", F.col("__sd_n_bytes").alias("n_bytes"), F.col("__sd_n_removed").alias("n_removed"), F.col("__sd_n_spans").alias("n_spans"), F.col("__sd_kept").alias("kept_sha256"))
+
+
 def op7_ball_tree(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rank_order": op1_rank_order,
         "op2_digest_cache": op2_digest_cache,
         "op4_warc_zstd": op4_warc_zstd,
+        "op6_suffix_array": op6_suffix_array,
         "op7_ball_tree": op7_ball_tree,
         "op3_length_buckets": op3_length_buckets,
         "op5_weak_supervision": op5_weak_supervision,
