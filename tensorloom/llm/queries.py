@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
+from . import jaccard_join, language_id, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
 from .common import new_folder, stage
 
 
@@ -62,6 +62,10 @@ def op5_weak_supervision(spark, sf_dir):
     return d.select("doc_id", *[f[c].alias(c) for c in quality.BASE], quality.base_failed(f).alias("base_failed"), F.col("__q_kept").alias("kept"), F.col("__q_p").alias("quality"))
 
 
+def op9_token_combinations(spark, sf_dir):
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_systematic_mix(spark, sf_dir):
     d = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select(
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ball_tree": op7_ball_tree,
         "op3_length_buckets": op3_length_buckets,
         "op5_weak_supervision": op5_weak_supervision,
+        "op9_token_combinations": op9_token_combinations,
         "op10_systematic_mix": op10_systematic_mix,
     }
 
