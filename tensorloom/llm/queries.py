@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
+from . import jaccard_join, language_id, lm_scoring, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
 from .common import new_folder, stage
 
 
@@ -62,6 +62,13 @@ def op5_weak_supervision(spark, sf_dir):
     return d.select("doc_id", *[f[c].alias(c) for c in quality.BASE], quality.base_failed(f).alias("base_failed"), F.col("__q_kept").alias("kept"), F.col("__q_p").alias("quality"))
 
 
+def op8_context_mixing(spark, sf_dir):
+    held_out = remainder(7) == 2
+    d = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    d = lm_scoring.score(d, ~F.col("held_out"), keep=("held_out",))
+    return d.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_token_combinations(spark, sf_dir):
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ball_tree": op7_ball_tree,
         "op3_length_buckets": op3_length_buckets,
         "op5_weak_supervision": op5_weak_supervision,
+        "op8_context_mixing": op8_context_mixing,
         "op9_token_combinations": op9_token_combinations,
         "op10_systematic_mix": op10_systematic_mix,
     }
