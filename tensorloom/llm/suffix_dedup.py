@@ -330,10 +330,10 @@ def remove(names: list[str], length: int, kept_text: bool):
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(len(raw) - len(left))
                 out["n_spans"].append(len(ranges))
-                # a window may start or end within a character, so what is left may not be UTF-8
-                out["kept"].append(left if kept_text else hashlib.sha256(left).hexdigest())
+                # a window may start or end within a character, of which the rest goes from the text
+                out["kept"].append(left.decode("utf-8", "ignore") if kept_text else hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary() if kept_text else pa.string())],
+                [*(batch.column(i) for i in range(len(names))), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.string())],
                 [*names, "__sd_n_bytes", "__sd_n_removed", "__sd_n_spans", "__sd_kept"],
             )
 
@@ -343,7 +343,8 @@ def remove(names: list[str], length: int, kept_text: bool):
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, kept_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs, __sd_n_bytes, __sd_n_removed, __sd_n_spans and __sd_kept.
 
-    __sd_kept is the remaining bytes, or their SHA-256 in hex if kept_text is false.
+    __sd_kept is the remaining text without characters cut in two, or, if kept_text is false, the
+    SHA-256 in hex of all remaining bytes.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -374,5 +375,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     all_docs = docs.select(*[F.col(c) for c in names], F.col(text).alias("__sd_text"), rid.alias("__sd_rid"))
     all_docs = all_docs.join(marks.withColumnRenamed("rid", "__sd_rid").hint("shuffle_hash"), "__sd_rid", "left").select(*names, "__sd_text", "__sd_marks")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in all_docs.schema.fields[: len(names)])
-    kept = "binary" if kept_text else "string"
-    return all_docs.mapInArrow(remove(names, length, kept_text), f"{schema}, __sd_n_bytes long, __sd_n_removed long, __sd_n_spans long, __sd_kept {kept}")
+    return all_docs.mapInArrow(remove(names, length, kept_text), f"{schema}, __sd_n_bytes long, __sd_n_removed long, __sd_n_spans long, __sd_kept string")
