@@ -99,7 +99,8 @@ def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", buc
     rest = [c for c in docs.columns if c not in COLUMNS]
     d = docs.select(*rest, length.alias("__pack_length"))
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast(T.ArrayType(T.LongType()))
-    bucket = F.size(F.filter(edges, lambda b: b < F.col("__pack_length")))
+    # a sum, not a lambda over edges: a lambda would count the words anew for each edge
+    bucket = sum(((F.col("__pack_length") > b).cast("int") for b in bounds), F.lit(0))
     digest = F.xxhash64(F.col(key))
     d = d.withColumns({"__pack_bucket": bucket, "__pack_slice": F.pmod(digest, F.lit(slices)), "__pack_digest": digest})
     counts = d.groupBy(F.col("__pack_bucket").alias("b"), F.col("__pack_slice").alias("s")).agg(F.count("*").alias("n"))
