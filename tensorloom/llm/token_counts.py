@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import SEPARATORS, ship, stage
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words in each of the two generations that a worker remembers.
+REMEMBERED = 500_000
+#: Counters of this worker by version; they live on from task to task.
+COUNTERS: dict = {}
 
 
 def version_of(path: str, separable: bool) -> str:
@@ -48,32 +50,39 @@ def counter(definition: str, separable: bool):
     tokenizer = Tokenizer.from_str(definition)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    encode = lambda texts: [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encode = lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     if not separable:
         return encode
-    known: dict[str, int] = {"": 0}
+    young: dict[str, int] = {}
+    old: dict[str, int] = {}
 
     def count(texts: list[str]) -> list[int]:
-        parts = [t.split(" ") for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = 0
-        new = list({w for p in parts for w in p if w not in known})
-        known.update(zip(new, encode(new), strict=True))
-        look = known.__getitem__
+        nonlocal young, old
+        parts = [t.split(" ") if t else [] for t in texts]
+        if len(young) > REMEMBERED:
+            young, old = {}, young
+        missing = [w for w in set().union(*parts) if w not in young]
+        young.update((w, old[w]) for w in missing if w in old)
+        new = [w for w in missing if w not in old]
+        if new:
+            young.update(zip(new, encode(new), strict=True))
+        look = young.__getitem__
         return [sum(map(look, p)) for p in parts]
 
     return count
 
 
-def encode_batches(definition, separable: bool, rows: int = 64):
+def encode_batches(definition, version: str, separable: bool, rows: int = 64):
     """For mapInArrow: (digest, content) to (digest, n_tokens)."""
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = counter(definition.value, separable)
+        if version not in COUNTERS:
+            COUNTERS.clear()
+            COUNTERS[version] = counter(definition.value, separable)
+        count = COUNTERS[version]
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
@@ -113,7 +122,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text: st
         .where(F.col("own") == F.col("digest"))
         .select("digest", "content")
     )
-    counted = texts.mapInArrow(encode_batches(definition, separable), "digest binary, n_tokens long")
+    counted = texts.mapInArrow(encode_batches(definition, version, separable), "digest binary, n_tokens long")
     # rows repeated in full would store a key more than once
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
