@@ -83,10 +83,11 @@ FLAT = {
     "multi_contract": ("ijk,ijl->kl", "T,T", "standard", None),
     "bilinear": ("i,ij,j->", "b,G,b", "standard", None),
     "chain3": ("sp,sn,nr->pr", "L,SN,NR", "standard", None),
-    "chain4": ("cn,nm,ms,sp->cp", "CN,G,NS,Ls", "standard", None),
+    "chain4": ("nr,nm,ms,sp->rp", "NR,G,NS,Ls", "standard", None),
     "star3": ("ia,ib,ic->abc", "NR,NR,NR", "standard", None),
     "star_scalar": ("i,i,i->", "b,b,b", "standard", None),
     "cycle3": ("ij,jk,ki->", "G,G,G", "standard", None),
+    "customers_by_region": ("cn,nr->r", "CN,NR", "standard", None),
     "khatri_rao": ("ik,jk->ijk", "G,NRt", "standard", None),
     "grid2x2": ("ab,bd,ac,cd->", "G,G,G,G", "standard", None),
     "ladder": ("ab,cd,ac,bd,be,df,ef->", "G,G,G,G,G,G,G", "standard", None),

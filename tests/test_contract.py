@@ -1,0 +1,216 @@
+"""Contractions against numpy and against enumeration."""
+
+import itertools
+import math
+
+import numpy as np
+import pytest
+
+from tensorloom.functions.algebra import ALGEBRAS, custom
+from tensorloom.operators import contract as C
+from tensorloom.plans.order import optimize
+from tensorloom.plans.spec import EinsumSpec, parse
+from tensorloom.sources.json_io import regular_network
+from tensorloom.sources.tensor import TensorRel
+
+PATTERNS = [
+    "ij->ji", "ijk->kij", "ii->", "ii->i", "iji->j", "iijj->", "ijji->", "ij->", "ij->j", "ijkl->ijkl", "iii->", "iii->i",
+    "ij,jk->ik", "ij,jk->ki", "ji,kj->ik", "i,i->", "i,i->i", "ij,ij->", "ij,ij->ij", "i,j->ij", "i,j->ji", "bij,bjk->bik", "bij,bj->bi",
+    "ii,jk->jk", "ii,ij->j", "ii,jj->ij", "ij,jj->i", "ijk,ijl->kl", "ij,k->", "abc,cd->ab", "iib,bc->ic", "bii,bj->bij",
+    "ij,jk,kl->il", "i,i,i->", "ai,ai,ai->a", "ij,jk,ki->", "ab,bd,ac,cd->", "ia,ib,ic->abc", "i,ij,j->", "ij,j,k->ik", "ab,cd,ef->ace",
+]
+
+
+def random_tensors(spark, spec, kind="i64", low=-4, seed=0):
+    rng = np.random.default_rng(seed)
+    sizes = {c: 2 + i % 3 for i, c in enumerate(dict.fromkeys(c for x in spec.ixs for c in x))}
+    arrays = [rng.integers(low, 5, [sizes[c] for c in ix]) for ix in spec.ixs]
+    return arrays, [TensorRel.from_data(spark, a.reshape(-1, order="F").tolist(), a.shape, kind) for a in arrays]
+
+
+def flat(a):
+    return np.asarray(a).reshape(-1, order="F").tolist()
+
+
+@pytest.mark.parametrize("text", PATTERNS)
+def test_sum_product(spark, text):
+    spec = parse(text)
+    arrays, ts = random_tensors(spark, spec)
+    assert C.einsum(text, *ts, strategy="relational").to_list() == flat(np.einsum(text, *arrays))
+
+
+def tropical(spec, arrays, plus, times):
+    labels = list(dict.fromkeys([c for x in spec.ixs for c in x]))
+    sizes = {c: n for ix, a in zip(spec.ixs, arrays, strict=True) for c, n in zip(ix, a.shape, strict=True)}
+    out = {}
+    for point in itertools.product(*(range(sizes[c]) for c in labels)):
+        at = dict(zip(labels, point, strict=True))
+        v = None
+        for ix, a in zip(spec.ixs, arrays, strict=True):
+            x = int(a[tuple(at[c] for c in ix)])
+            v = x if v is None else times(v, x)
+        key = tuple(at[c] for c in spec.iy)
+        out[key] = v if key not in out else plus(out[key], v)
+    result = np.zeros([sizes[c] for c in spec.iy], dtype=np.int64)
+    for key, v in out.items():
+        result[key] = v
+    return result
+
+
+@pytest.mark.parametrize("text", ["ij->i", "ii->", "ij,jk->ik", "ij,jk,kl->il", "i,j->ij", "ij,jk,ki->", "bij,bjk->bik", "i,i,i->", "ij,k->"])
+@pytest.mark.parametrize("name", ["maxplus", "minplus", "maxmul"])
+def test_tropical(spark, text, name):
+    spec = parse(text)
+    arrays, ts = random_tensors(spark, spec, low=0 if name == "maxmul" else -4)
+    want = tropical(spec, arrays, min if name == "minplus" else max, (lambda a, b: a * b) if name == "maxmul" else (lambda a, b: a + b))
+    assert C.einsum(text, *ts, algebra=name, strategy="relational").to_list(name) == flat(want)
+
+
+def test_orders_agree(spark):
+    spec = parse("ab,bc,cd,da,ac->bd")
+    arrays, ts = random_tensors(spark, spec)
+    bound = spec.bind([t.shape for t in ts])
+    want = flat(np.einsum("ab,bc,cd,da,ac->bd", *arrays))
+    for m in ("left_deep", "greedy", "treesa"):
+        assert C.execute(optimize(bound, m), ts).to_list() == want
+    assert C.execute(bound, ts).to_list() == want
+
+
+def test_long_chain_is_staged(spark):
+    ts = [TensorRel.from_data(spark, [1, 1, 1, 0], [2, 2], "i64")] * 12
+    names = "abcdefghijklm"
+    spec = parse(",".join(names[i : i + 2] for i in range(12)) + "->am")
+    want = np.linalg.matrix_power(np.array([[1, 1], [1, 0]]), 12)
+    assert C.einsum(spec, *ts, strategy="relational", method="left_deep").to_list() == flat(want)
+
+
+def test_missing_cells_are_zero(spark):
+    a = TensorRel(spark.createDataFrame([(0, 1, 5)], "d0 bigint, d1 bigint, v bigint"), [2, 2], "i64")
+    empty = TensorRel(a.df.where("false"), [2, 2], "i64")
+    assert C.einsum("ij->", empty).item() == 0
+    assert C.einsum("ij->", empty, algebra="maxplus").item("maxplus") == -(2**63)
+    assert C.einsum("ij,jk->ik", a, a).to_list() == [0, 0, 0, 0]
+    assert C.einsum("ij->i", a).to_list() == [5, 0]
+    assert a.to_dense().df.count() == 4
+
+
+def test_infinities_are_clamped(spark):
+    t = TensorRel.from_data(spark, [-math.inf, -math.inf], [2], "f64")
+    assert C.einsum("i->", t, algebra="maxplus").item("maxplus") == -1.7976931348623157e308
+    t = TensorRel.from_data(spark, [-2.0, -3.0], [2], "f64")
+    assert C.einsum("i,i->i", t, TensorRel.from_data(spark, [1.0, 1.0], [2]), algebra="maxmul").to_list("maxmul") == [0.0, 0.0]
+
+
+def test_argmax_ties_take_the_first(spark):
+    a = TensorRel.from_data(spark, [1, 1, 1, 1, 1, 1], [2, 3], "i64")
+    v, k = C.unary_with_argmax(a, "ij", "i", "maxplus")
+    assert (v.to_list(), k.to_list()) == ([1, 1], [0, 1])
+    b = TensorRel.from_data(spark, [0, 0, 0], [3], "i64")
+    for name in ("maxplus", "minplus"):
+        v, k = C.contract_binary_with_argmax(a, b, "ij", "j", "i", name)
+        assert (v.to_list(name), k.to_list()) == ([1, 1], [0, 0])
+    with pytest.raises(ValueError):
+        C.unary_with_argmax(a, "ij", "i", "standard")
+
+
+def test_argmax_indexes_contracted_labels(spark):
+    x = np.arange(12).reshape(2, 3, 2)
+    a = TensorRel.from_data(spark, flat(x), x.shape, "i64")
+    b = TensorRel.from_data(spark, flat(np.zeros((3, 2), dtype=int)), [3, 2], "i64")
+    v, k = C.contract_binary_with_argmax(a, b, "ijk", "jk", "i", "maxplus")
+    assert v.to_list() == [5, 11]
+    assert k.to_list() == [2 + 3 * 1, 2 + 3 * 1]
+
+
+def test_execute_with_argmax_lists_contractions(spark):
+    ts = [TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2], "i64")] * 3
+    out, winners = C.execute_with_argmax("ij,jk,kl->i", *ts, algebra="maxplus")
+    assert out.to_list("maxplus") == [11, 12]
+    assert len(winners) >= 2
+
+
+@pytest.mark.parametrize("kind", ["f32", "f64", "i32", "i64", "u32", "u64", "c32", "c64"])
+def test_element_types(spark, kind):
+    t = TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2], kind)
+    out = C.einsum("ij,jk->ik", t, t)
+    assert out.to_list() == [7, 10, 15, 22]
+    assert out.df.schema["v"].dataType == t.df.schema["v"].dataType
+    if kind[0] == "c":
+        with pytest.raises(ValueError):
+            C.einsum("ij->", t, algebra="maxplus")
+
+
+def test_complex(spark):
+    x = np.array([[1 + 1j, 2 - 1j], [3, 4 + 2j]])
+    t = TensorRel.from_data(spark, flat(x), [2, 2], "c64")
+    assert C.einsum("ij,jk->ik", t, t).to_list() == flat(x @ x)
+    assert C.einsum("ii->", t).item() == 5 + 3j
+
+
+def test_integer_overflow_is_an_error(spark):
+    t = TensorRel.from_data(spark, [2**31 - 1, 1], [2], "i32")
+    with pytest.raises(Exception, match="CAST_OVERFLOW|ARITHMETIC_OVERFLOW"):
+        C.einsum("i->", t).to_list()
+
+
+def test_custom_algebra(spark):
+    from pyspark.sql import functions as F
+
+    a = custom("or_and", lambda x, y: F.least(x, y), F.max, 0, 1)
+    t = TensorRel.from_data(spark, [0, 1, 0, 0, 0, 1, 0, 0, 0], [3, 3], "i64")
+    assert C.einsum("ij,jk->ik", t, t, algebra=a).to_list() == [0, 0, 1, 0, 0, 0, 0, 0, 0]
+
+
+def test_argument_errors(spark):
+    t = TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2])
+    u = TensorRel.from_data(spark, [1, 2, 3], [3])
+    for f in (
+        lambda: C.einsum("ij,j->i", t, u), lambda: C.einsum("ij->i", t, t), lambda: C.einsum("ijk->i", t), lambda: C.einsum("ij->k", t),
+        lambda: C.einsum("ij->i", t, algebra="none"), lambda: C.einsum("ij->i", t, strategy="none"),
+        lambda: C.einsum("ij,jk->ik", t, TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2], "f32")),
+    ):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_dense_and_relational_networks_agree(spark):
+    spec = regular_network(8)
+    rng = np.random.default_rng(1)
+    arrays = [rng.random((2, 2)) for _ in spec.ixs]
+    ts = [TensorRel.from_data(spark, flat(a), [2, 2]) for a in arrays]
+    want = float(np.einsum(*[x for a, ix in zip(arrays, spec.ixs, strict=True) for x in (a, list(ix))], []))
+    assert C.einsum(spec, *ts, strategy="dense").item() == pytest.approx(want)
+    small = EinsumSpec(spec.ixs[:5], (0, 4), spec.sizes)
+    for name in ALGEBRAS:
+        a, b = (C.einsum(small, *ts[:5], algebra=name, strategy=s).to_list(name) for s in ("dense", "relational"))
+        assert a == pytest.approx(b)
+
+
+def test_views(spark):
+    x = np.arange(24).reshape(2, 3, 4)
+    t = TensorRel.from_data(spark, flat(x), x.shape, "i64")
+    assert t.permute([2, 0, 1]).to_list() == flat(x.transpose(2, 0, 1))
+    assert t.reshape([4, 6]).to_list() == flat(x.reshape(4, 6, order="F"))
+    assert t.sum_axis(1).to_list() == flat(x.sum(axis=1))
+    assert t.sum().item() == x.sum()
+    assert t.get(5) == flat(x)[5]
+    assert t.to_list(order="row_major") == x.reshape(-1).tolist()
+    m = TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2], "i64")
+    assert m.t().to_list() == [1, 3, 2, 4]
+    assert m.diagonal().to_list() == [1, 4]
+    assert TensorRel.zeros(spark, [2, 2]).df.count() == 4
+    assert (m.ndim, m.numel, m.strides, m.is_contiguous) == (2, 4, [1, 2], True)
+    assert TensorRel.from_data(spark, [1, 2, 3, 4, 5, 6], [2, 3], "i64", "row_major").to_list() == [1, 4, 2, 5, 3, 6]
+    flat_rows = spark.createDataFrame([(i, i) for i in range(6)], "lin bigint, v bigint")
+    assert TensorRel.from_storage(flat_rows, [3, 2], "i64").to_list() == list(range(6))
+    for f in (lambda: t.permute([0, 1]), lambda: t.permute([0, 1, 3]), lambda: t.permute([0, 1, 1]), lambda: t.t(), lambda: t.reshape([5]), lambda: t.diagonal(), lambda: t.sum_axis(3), lambda: t.item(), lambda: TensorRel.from_data(spark, [1], [2]), lambda: TensorRel.from_storage(flat_rows, [4])):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_from_table_adds_up_rows(spark):
+    rows = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (1, 0, 7), (None, 0, 9)], "a int, b int, x int")
+    t = TensorRel.from_table(rows, ["a", "b"], "x")
+    assert t.shape == (2, 2)
+    assert t.to_list() == [0, 7, 5, 0]
+    assert TensorRel.from_table(rows, ["a"], "x", algebra_="maxplus").to_list() == [3, 7]
