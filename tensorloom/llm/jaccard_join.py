@@ -10,10 +10,11 @@ number of groups goes with the power of two below n, and a set whose similar set
 next class makes signatures for that class too.
 
 Members of a signature are first paired with one of them, that with the largest share of frequent
-shingles, which near copies of one text have in common. After these pairs are verified by exact
-intersection, signatures whose members are still in several components get the pairs that cross
+shingles, which near copies of one text have in common. A pair is dropped if the histograms of
+its sets by hash leave no room for a large enough intersection; the others are verified by exact
+intersection. After that, signatures whose members are still in several components get the pairs that cross
 components, unless their distances to the first member differ by more than 0.2 (the distance is
-a metric); these are verified as well. So all links either are verified or lie inside a component.
+a metric); these are verified alike. So all links either are verified or lie inside a component.
 
 Frequent shingles are found by counts over all documents, gathered in groups of about two million
 shingles; those with max(32, documents / 4096) or more count as frequent, which bounds their
@@ -42,6 +43,8 @@ PERCENT = 80
 FREQUENT = 32
 PART = 4096
 GATHERED = 2_000_000
+#: Up to so many ids are sent to all tasks to pick out texts; more are joined by a shuffle.
+SENT_IDS = 500_000
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -50,10 +53,10 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def describe(size: int):
-    """For mapInArrow: (id, text) to rows (kind 0: id, set, n; kind 1: shingle, count)."""
+    """For mapInArrow: (id, text) to rows (kind 0: id, set, n, histogram; kind 1: shingle, count)."""
 
-    def row(kind, a, b, c, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), a, b, c], ["kind", "a", "b", "c"])
+    def row(kind, a, b, c, n, hist=None):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), a, b, c, pa.nulls(n, pa.binary()) if hist is None else hist], ["kind", "a", "b", "c", "hist"])
 
     def counts(held):
         s, n = np.unique(np.concatenate(held), return_counts=True)
@@ -64,7 +67,7 @@ def describe(size: int):
         held, gathered = [], 0
         for part, found in text_sets(batches, size):
             ids = [identity(s) for s in found]
-            yield row(0, part.column("id"), pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), len(found))
+            yield row(0, part.column("id"), pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), len(found), pa.array([histogram(s).tobytes() for s in found], pa.binary()))
             held += found
             gathered += sum(map(len, found))
             if gathered > GATHERED:
@@ -76,6 +79,31 @@ def describe(size: int):
     return run
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by their low bits, about 8 to 16 to a place in long sets; 65535 stands for any more."""
+    places = 1 << max(8, len(s).bit_length() - 4)
+    return np.minimum(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places), 65535).astype(np.uint16)
+
+
+def may_be_similar(percent: int):
+    """For mapInArrow: (a, b, na, nb, x, y) to the pairs (a, b) whose histograms allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(c) for c in ("na", "nb", "x", "y")), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint16).astype(np.int64) for z in (x, y))
+                if len(x) != len(y):
+                    x, y = (z if len(z) == min(len(x), len(y)) else z.reshape(-1, min(len(x), len(y))).sum(axis=0) for z in (x, y))
+                least = np.minimum(x, y)
+                both, n = int(least.sum()), na.as_py() + nb.as_py()
+                keep.append(bool(least.max(initial=0) >= 65535) or 100 * both >= percent * (n - both))
+            keep = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
 def prefix(frequent: np.ndarray, need: int, groups: int):
     """How many frequent shingles are needed, and the group of each."""
     g = ((frequent >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
@@ -167,11 +195,12 @@ def members():
 
 
 def make_sets(size: int):
-    """For mapInArrow: (ent, text) to (ent, shingles) as bytes."""
+    """For mapInArrow: (ent, text) to (ent, shingles) as bytes, for texts that have that set."""
 
     def run(batches):
         for part, found in text_sets(batches, size):
-            yield pa.RecordBatch.from_arrays([part.column("ent"), pa.array([s.tobytes() for s in found], pa.binary())], ["ent", "shingles"])
+            own = [(e, s.tobytes()) for e, s in zip(part.column("ent").to_pylist(), found, strict=True) if identity(s) == e]
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in own], pa.int64()), pa.array([b for _, b in own], pa.binary())], ["ent", "shingles"])
 
     return run
 
@@ -192,14 +221,30 @@ def intersect(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *both], ["a", "b", "both", "na", "nb"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d, similar) of (a, b), d being the distance."""
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ent, text) for the rows (id, ent) of wanted; a bounded number of ids is sent to all tasks."""
+    few = wanted.count() <= SENT_IDS
+    wanted = wanted.select("ent", F.col("id").alias("wanted"))
+    return docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted"))).select("ent", "text")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, d, similar) of the pairs (a, b) that may be similar, d being the distance."""
+    side = lambda c, n, h: entities.select(F.col("ent").alias(c), F.col("n").alias(n), F.col("hist").alias(h))
+    near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    p = pairs.join(side("b", "nb", "y"), "b").join(side("a", "na", "x"), "a").where(near).select("a", "b", "na", "nb", "x", "y")
+    p = stage(p.mapInArrow(may_be_similar(percent), "a long, b long"), "pairs")
+
+    wanted = p.select(F.col("a").alias("ent")).union(p.select(F.col("b").alias("ent"))).distinct().join(entities.select("ent", F.col("rep").alias("id")), "ent")
+    sets = stage(texts_of(docs, stage(wanted, "wanted")).mapInArrow(make_sets(size), "ent long, shingles binary").dropDuplicates(["ent"]), "shingles")
     a = sets.select(F.col("ent").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("ent").alias("b"), F.col("shingles").alias("y"))
-    p = pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y")
+    p = p.join(b, "b").join(a, "a").select("a", "b", "x", "y")
     p = p.mapInArrow(intersect, "a long, b long, both long, na long, nb long")
     union = F.col("na") + F.col("nb") - F.col("both")
-    return p.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= percent * union).alias("similar"))
+    out = stage(p.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= percent * union).alias("similar")), "verified")
+    drop_staged(docs.sparkSession, sets)
+    return out
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -207,7 +252,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    described = stage(d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe(size), "kind int, a long, b long, c long"), "sets")
+    described = stage(d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe(size), "kind int, a long, b long, c long, hist binary"), "sets")
     rows = described.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("ent"), F.col("c").alias("n"))
     n_docs = rows.count()
     counts = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
@@ -222,16 +267,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     found = stage(ones.union(two), "members")
     drop_staged(spark, signed)
 
-    # one text of each entity that shares a signature
-    reps = rows.where("n > 0").groupBy("ent").agg(F.min("id").alias("rep"))
-    wanted = reps.join(found.select("ent").distinct(), "ent").withColumnRenamed("rep", "id")
-    sets = stage(d.join(wanted.hint("shuffle_hash"), "id").select("ent", "text").mapInArrow(make_sets(size), "ent long, shingles binary").dropDuplicates(["ent"]), "shingles")
+    # the entities that share a signature, with the smallest id that has each
+    reps = rows.where("n > 0").groupBy("ent").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    hists = described.where("kind = 0").select(F.col("b").alias("ent"), "hist").join(found.select("ent").distinct(), "ent", "left_semi").dropDuplicates(["ent"])
+    entities = stage(reps.join(hists, "ent"), "entities")
 
-    sizes = found.groupBy("ent").agg(F.min("n").alias("n"))
-    star = found.where("ent <> hub").select(F.col("hub").alias("a"), F.col("ent").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(sizes.select(F.col("ent").alias("a"), F.col("n").alias("na")), "a")
-    near = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-    first = stage(verify(star.where(near("na", "nb")).select("a", "b"), sets, percent), "links")
+    star = found.where("ent <> hub").select(F.col("hub").alias("a"), F.col("ent").alias("b")).distinct()
+    first = verify(star, d, entities, size, percent)
     links = first.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(links)
 
@@ -244,9 +286,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     x = rest.select("sig", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"))
     y = rest.select("sig", F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("d").alias("db"))
     apart = 1 - percent / 100 + 1e-9
-    across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("na", "nb") & F.coalesce(F.abs(F.col("da") - F.col("db")) <= apart, F.lit(True)))
+    near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near & F.coalesce(F.abs(F.col("da") - F.col("db")) <= apart, F.lit(True)))
     across = across.select("a", "b").distinct()
-    second = stage(verify(across, sets, percent).where("similar").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    second = verify(across, d, entities, size, percent).where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
     if second.take(1):
         roots = components(links.union(second))
 
