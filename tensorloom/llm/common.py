@@ -6,16 +6,17 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_staged, new_folder, shared_root, stage
+
+__all__ = ["SEPARATORS", "drop_staged", "n_words", "new_folder", "shared_root", "ship", "stage", "words"]
+
 #: Separators of words: space and U+0009 to U+000D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def words(text: Column) -> Column:
@@ -27,39 +28,6 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a new one where unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = tempfile.mkdtemp(prefix="tensorloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nobody else uses."""
-    return f"{shared_root(spark)}/tensorloom/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tensorloom_path = path
-    return out
-
-
-def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tensorloom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, so that Python tasks can import it."""
     sc = spark.sparkContext

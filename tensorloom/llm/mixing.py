@@ -76,32 +76,27 @@ def copies(docs: DataFrame, source: str = "source", size: Column | None = None,
     sizes = small.groupBy("source", "size").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     up_to = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("source", "size", F.coalesce(F.sum("n").over(up_to("size").partitionBy("source")), F.lit(0)).alias("base"))
+    sizes = sizes.select("source", "size", F.coalesce(F.sum("n").over(up_to("size").partitionBy("source")), F.lit(0)).alias("__mix_base"))
     slices = slices.select(
-        "source", "size", "slice", F.coalesce(F.sum("n").over(up_to("slice").partitionBy("source", "size")), F.lit(0)).alias("in_size")
+        "source", "size", "slice", F.coalesce(F.sum("n").over(up_to("slice").partitionBy("source", "size")), F.lit(0)).alias("__mix_in_size")
     )
-    t = targets(totals)
+    t = targets(totals).select("source", F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
 
     order = [F.col("__mix_digest"), F.col(key)]
     d = d.withColumn(
         "__mix_in_slice",
         F.row_number().over(Window.partitionBy("__mix_source", "__mix_size", "__mix_slice").orderBy(*order)),
     )
-    same = lambda frame, *names: [d[f"__mix_{n}"].eqNullSafe(frame[n]) for n in names]
-    kept = d.columns
-    d = d.join(slices, same(slices, "source", "size", "slice"), "left").select(*[d[c] for c in kept], "in_size")
-    d = d.join(sizes, same(sizes, "source", "size"), "left").select(*[d[c] for c in kept], "in_size", "base")
-    d = d.join(t, same(t, "source"), "left").select(*[d[c] for c in kept], "in_size", "base", "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    d = d.withColumns({"__mix_rank": F.col("base") + F.col("in_size") + F.col("__mix_in_slice"), "__mix_rate": rate, "__mix_u": offset(F.col("__mix_source"), seed)})
-    crossed = F.floor(F.col("__mix_rank") * F.col("__mix_rate") + F.col("__mix_u")) - F.floor((F.col("__mix_rank") - 1) * F.col("__mix_rate") + F.col("__mix_u"))
-    return d.select(
-        *[d[c] for c in kept if not c.startswith("__mix_")],
-        F.col("__mix_size"),
-        F.col("source_size").alias("__mix_source_size"),
-        F.col("target").alias("__mix_target"),
-        F.least(crossed, F.lit(MOST)).cast("int").alias("__mix_copies"),
-    )
+    for frame, names in ((slices, ("source", "size", "slice")), (sizes, ("source", "size")), (t, ("source",))):
+        found = [frame[c] for c in frame.columns if c.startswith("__mix_")]
+        d = d.join(frame, [d[f"__mix_{n}"].eqNullSafe(frame[n]) for n in names], "left").select(*[d[c] for c in d.columns], *found)
+    size, target = F.col("__mix_source_size"), F.col("__mix_target")
+    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
+    rank = F.col("__mix_base") + F.col("__mix_in_size") + F.col("__mix_in_slice")
+    d = d.withColumns({"__mix_rank": rank, "__mix_rate": rate, "__mix_u": offset(F.col("__mix_source"), seed)})
+    up_to_rank = lambda i: F.floor(i * F.col("__mix_rate") + F.col("__mix_u"))
+    crossed = up_to_rank(F.col("__mix_rank")) - up_to_rank(F.col("__mix_rank") - 1)
+    return d.select(*docs.columns, "__mix_size", "__mix_source_size", "__mix_target", F.least(crossed, F.lit(MOST)).cast("int").alias("__mix_copies"))
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:

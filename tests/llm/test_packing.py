@@ -1,0 +1,78 @@
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from tensorloom.llm import packing as P
+
+
+def least_padding(lengths, buckets):
+    tops = sorted(set(lengths))
+    best = None
+    for k in range(1, min(buckets, len(tops)) + 1):
+        for chosen in itertools.combinations(tops[:-1], k - 1):
+            bounds = [*chosen, tops[-1]]
+            pad = sum(min(b for b in bounds if b >= x) - x for x in lengths)
+            best = pad if best is None else min(best, pad)
+    return best
+
+
+def test_boundaries_are_optimal():
+    rng = random.Random(1)
+    for _ in range(200):
+        lengths = [rng.choice([rng.randint(0, 12), rng.randint(0, 60)]) for _ in range(rng.randint(1, 25))]
+        tops = sorted(set(lengths))
+        k = rng.randint(1, 5)
+        counts = [lengths.count(t) for t in tops]
+        bounds = P.boundaries(tops, counts, [t * c for t, c in zip(tops, counts, strict=True)], k)
+        assert bounds[-1] == tops[-1] and len(bounds) <= k
+        assert sum(min(b for b in bounds if b >= x) - x for x in lengths) == least_padding(lengths, k)
+    assert P.boundaries([], [], []) == []
+
+
+def check(rows, budget):
+    batches = {}
+    for r in rows:
+        assert 0 <= r.length <= r.bucket_length and r.padding == r.bucket_length - r.length
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    for group in batches.values():
+        assert len(group) == 1 or len(group) * group[0].bucket_length <= budget or group[0].bucket_length == 0
+    for b in {r.bucket for r in rows}:
+        of = sorted(k for x, k in batches if x == b)
+        assert of == list(range(len(of)))
+        # all batches but the last are full
+        each = max(1, budget // max(1, next(r.bucket_length for r in rows if r.bucket == b)))
+        assert all(len(batches[b, k]) == each for k in of[:-1])
+
+
+def test_pack(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE_ROWS", 10)
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 10, 50, 300]))) for i in range(120)] + [(7, "w"), (7, "w"), (None, None), (None, "x y"), (500, "w " * 9000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit("clash")).withColumn("batch", F.lit(1)).withColumn("extra", F.lit(2))
+    got = P.pack(d, buckets=4, budget=600).collect()
+    assert len(got) == len(rows) and "extra" in got[0].asDict() and len({r.bucket for r in got}) <= 4
+    assert sorted(r.length for r in got) == sorted(len((t or "").split()) for _, t in rows)
+    check(got, 600)
+    lengths = [r.length for r in got]
+    assert sum(r.padding for r in got) == least_padding(lengths, 4)
+    assert sorted(map(str, P.pack(d, buckets=4, budget=600).collect())) == sorted(map(str, got))
+
+
+def test_long_lengths_share_bins(spark):
+    d = spark.createDataFrame([(x,) for x in (0, 1, 2047, 2048, 2049, 2050, 5000, 1_000_001)], "n long")
+    got = [(r.n, r.t) for r in d.select("n", P.bin_top(F.col("n")).alias("t")).collect()]
+    assert got == [(0, 0), (1, 1), (2047, 2047), (2048, 2048), (2049, 2050), (2050, 2050), (5000, 5000), (1_000_001, 1_000_448)]
+
+
+def test_empty(spark):
+    assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_over_documents(spark):
+    from tensorloom.llm.queries import queries, table
+
+    d = "/root/testdata/sf0.001"
+    got = queries()["op3_length_buckets"](spark, d).collect()
+    assert len(got) == table(spark, d, "documents").count()
+    check(got, P.BUDGET)
