@@ -9,16 +9,21 @@ shorter prefix missing in the other set and all but one of each group, more than
 number of groups goes with the power of two below n, and a set whose similar sets may lie in the
 next class makes signatures for that class too.
 
-Members of a signature are first paired with one of them, that with the largest share of frequent
-shingles, which near copies of one text have in common. A pair is dropped if the histograms of
-its sets by hash leave no room for a large enough intersection; the others are verified by exact
-intersection. After that, signatures whose members are still in several components get the pairs that cross
-components, unless their distances to the first member differ by more than 0.2 (the distance is
-a metric); these are verified alike. So all links either are verified or lie inside a component.
-
-Frequent shingles are found by counts over all documents, gathered in groups of about two million
-shingles; those with max(32, documents / 4096) or more count as frequent, which bounds their
-number by 4096 times the mean size of a set. The choice affects the work, never the result.
+A signature's hub is the member with the largest share of frequent shingles, which near copies of
+one text have in common. Each set is first paired with the best of its hubs; then, in signatures
+whose members aren't in one component yet, with the hubs of other components. A pair is dropped
+if the histograms of its sets by hash leave no room for a large enough intersection; the others
+are verified by exact intersection. Signatures whose members are in several components still are compared exactly: in those of up to
+GROUP members the pairs that cross components are verified in the same way; members of larger
+ones, and of those of frequent shingles, are joined to clusters, a cluster is dealt to blocks of
+about BLOCK sets, and each two blocks are compared in a task of their own, which returns a forest
+of their links. So all links either are verified or lie inside a component.
+
+Frequent shingles are found by counting, over all documents, the first 2 (e + 1) shingles of each
+by hash, which leaves room for the shingles that move back, and those that occur three times among
+about a million neighbouring shingles. Documents of which so many moved back that the prefix
+goes beyond the counted shingles have their other shingles counted in a second pass. Those with max(8, count of all / 2^21)
+or more are frequent (half of 8 in the second pass), so at most 2^21 in each pass are. The choice affects the work, never the result.
 64-bit hashes stand for shingles and sets.
 
 Defined results: null text and text without words have an empty set, link with nothing and are a
@@ -39,12 +44,17 @@ from .hashing import mixed
 from .shingles import WORDS, identity, text_sets
 
 PERCENT = 80
-#: A shingle is frequent from this many documents, and from this part of all documents.
-FREQUENT = 32
-PART = 4096
-GATHERED = 2_000_000
+#: A shingle is frequent from this many documents, and from this part (a power of two) of all counted.
+FREQUENT = 8
+PART = 21
+GATHERED = 1_000_000
 #: Up to so many ids are sent to all tasks to pick out texts; more are joined by a shuffle.
 SENT_IDS = 500_000
+#: Members of a signature that are paired one by one; sets in a block.
+GROUP = 64
+BLOCK = 256
+#: Shingles in a chunk of a block's incidence matrix.
+COLUMNS = 4096
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -53,22 +63,31 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def describe(size: int):
-    """For mapInArrow: (id, text) to rows (kind 0: id, set, n, histogram; kind 1: shingle, count)."""
+    """For mapInArrow: (id, text) to (id, ent, n, hist)."""
+
+    def run(batches):
+        for part, found in text_sets(batches, size):
+            columns = [part.column("id"), pa.array([identity(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s).tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ent", "n", "hist"])
+
+    return run
 
-    def row(kind, a, b, c, n, hist=None):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), a, b, c, pa.nulls(n, pa.binary()) if hist is None else hist], ["kind", "a", "b", "c", "hist"])
+
+def count_first(size: int, percent: int):
+    """For mapInArrow: text to partial counts (s, n) of the shingles that come first by hash or are frequent nearby."""
 
     def counts(held):
+        first = np.concatenate([s[: 2 * (len(s) - needed(len(s), percent) + 1)] for s in held])
         s, n = np.unique(np.concatenate(held), return_counts=True)
-        s, n = s[n > 1], n[n > 1]
-        return row(1, pa.array(s.view(np.int64), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(s), pa.int64()), len(s))
+        wanted = n >= 3
+        wanted[np.searchsorted(s, first)] = True
+        s, n = s[wanted], n[wanted]
+        return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["s", "n"])
 
     def run(batches):
         held, gathered = [], 0
-        for part, found in text_sets(batches, size):
-            ids = [identity(s) for s in found]
-            yield row(0, part.column("id"), pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), len(found), pa.array([histogram(s).tobytes() for s in found], pa.binary()))
-            held += found
+        for _, found in text_sets(batches, size):
+            held += [s for s in found if len(s)]
             gathered += sum(map(len, found))
             if gathered > GATHERED:
                 yield counts(held)
@@ -79,6 +98,39 @@ def describe(size: int):
     return run
 
 
+def is_known(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each shingle is among known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(s), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+
+
+def count_rest(size: int, percent: int, frequent):
+    """For mapInArrow: text to partial counts (s, n) of shingles that the first count left out and a prefix may reach."""
+
+    def counts(held):
+        s, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["s", "n"])
+
+    def run(batches):
+        known = np.sort(frequent.value.view(np.uint64))
+        held, gathered = [], 0
+        for _, found in text_sets(batches, size):
+            for s in found:
+                prefix_size = len(s) - needed(len(s), percent) + 1
+                rare = ~is_known(s, known)
+                if rare[: 2 * prefix_size].sum() < prefix_size:
+                    held.append(s[2 * prefix_size :][rare[2 * prefix_size :]])
+                    gathered += len(held[-1])
+            if gathered > GATHERED:
+                yield counts(held)
+                held, gathered = [], 0
+        if held:
+            yield counts(held)
+
+    return run
+
+
 def histogram(s: np.ndarray) -> np.ndarray:
     """Counts of a set's shingles by their low bits, about 8 to 16 to a place in long sets; 65535 stands for any more."""
     places = 1 << max(8, len(s).bit_length() - 4)
@@ -118,8 +170,8 @@ def signatures(s: np.ndarray, is_frequent: np.ndarray, percent: int = PERCENT):
     none = np.empty(0, dtype=np.uint64)
     n = len(s)
     missing = n - needed(n, percent)
-    if n <= 100 // (100 - percent) - 1 and missing == 0:
-        return none, none  # only an equal set is similar
+    if n * 100 // percent == n:
+        return none, none  # a larger set isn't similar, nor a smaller one: only an equal one is
     rare, frequent = s[~is_frequent], s[is_frequent]
     if len(rare) > missing:
         return rare[: missing + 1], none
@@ -141,51 +193,49 @@ def signatures(s: np.ndarray, is_frequent: np.ndarray, percent: int = PERCENT):
 
 
 def sign(size: int, percent: int, frequent):
-    """For mapInArrow: text to (sig, ent, n, hub, pair), hub ordering the members of a signature."""
+    """For mapInArrow: text to (sig, ent, n, order, pair); the member of least order is a signature's hub."""
 
     def run(batches):
-        known = np.array(frequent.value, dtype=np.int64).view(np.uint64)
-        known = np.sort(known)
+        known = np.sort(frequent.value.view(np.uint64))
         for _, found in text_sets(batches, size):
-            sig, ent, n, hub, pair = [], [], [], [], []
+            sig, ent, n, rank, pair = [], [], [], [], []
             for s in found:
                 if not len(s):
                     continue
-                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-                is_frequent = known[at] == s if len(known) else np.zeros(len(s), dtype=bool)
+                is_frequent = is_known(s, known)
                 one, two = signatures(s, is_frequent, percent)
                 both = np.concatenate([one, two])
                 sig.append(both)
                 ent.append(np.full(len(both), identity(s), dtype=np.int64))
                 n.append(np.full(len(both), len(s), dtype=np.int32))
-                hub.append(np.full(len(both), 1000 - 1000 * int(is_frequent.sum()) // len(s), dtype=np.int32))
+                rank.append(np.full(len(both), 1000 - 1000 * int(is_frequent.sum()) // len(s), dtype=np.int32))
                 pair.append(np.arange(len(both)) >= len(one))
             if sig:
-                columns = [np.concatenate(sig).view(np.int64), *(np.concatenate(x) for x in (ent, n, hub, pair))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "ent", "n", "hub", "pair"])
+                columns = [np.concatenate(sig).view(np.int64), *(np.concatenate(x) for x in (ent, n, rank, pair))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "ent", "n", "order", "pair"])
 
     return run
 
 
 def members():
-    """For mapInArrow over rows sorted by sig, hub, ent: rows of signatures with two entities or more, with the first one."""
+    """For mapInArrow over rows sorted by sig, order, ent: rows of signatures with two entities or more, with the first one as hub."""
 
-    def groups(sig, ent, n):
+    def groups(sig, ent, n, order):
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (ent[1:] != ent[:-1])
-        sig, ent, n = sig[new], ent[new], n[new]
+        sig, ent, n, order = sig[new], ent[new], n[new], order[new]
         i = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, dtype=np.int64)
         size = np.diff(np.concatenate([i, [len(sig)]]))
         many = np.repeat(size > 1, size)
-        hub = np.repeat(ent[i], size)
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (sig, ent, n, hub)], ["sig", "ent", "n", "hub"])
+        hub, best = np.repeat(ent[i], size), np.repeat(order[i], size)
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (sig, ent, n, best, hub)], ["sig", "ent", "n", "best", "hub"])
 
     def run(batches):
-        rest = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int32)]
+        rest = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rest = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("sig", "ent", "n"), strict=True)]
+            rest = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("sig", "ent", "n", "order"), strict=True)]
             end = int(np.searchsorted(rest[0], rest[0][-1]))  # the last signature may go on in the next batch
             yield groups(*(r[:end] for r in rest))
             rest = [r[end:] for r in rest]
@@ -221,6 +271,62 @@ def intersect(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *both], ["a", "b", "both", "na", "nb"])
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n > 1
+    column_of = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], column_of[column[keep]]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x[row[a:b], column[a:b] - at] = 1
+        both += x @ x.T
+    np.fill_diagonal(both, [len(s) for s in sets])
+    return both.astype(np.int64)
+
+
+def compare_blocks(percent: int):
+    """For applyInArrow: the sets of two blocks to a forest of their links (u, v)."""
+
+    def run(table):
+        table = table.combine_chunks()
+        ent = table.column("ent").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
+        n = np.array([len(s) for s in sets])
+        both = overlaps(sets)
+        similar = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        least = np.arange(len(sets))
+        while True:  # labels spread along links until they stand still
+            new = np.where(similar, least[None, :], len(sets)).min(axis=1)
+            if (new == least).all():
+                break
+            least = new
+        linked = np.flatnonzero(least != np.arange(len(sets)))
+        return pa.table({"u": pa.array(ent[least[linked]], pa.int64()), "v": pa.array(ent[linked], pa.int64())})
+
+    return run
+
+
+def compare_clusters(members: DataFrame, docs: DataFrame, entities: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) among the sets of each cluster, for rows (ent, hub) that put them together."""
+    clusters = components(members.select(F.col("hub").alias("u"), F.col("ent").alias("v"))).select(F.col("node").alias("ent"), F.col("root").alias("cluster"))
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted = stage(clusters.join(entities.select("ent", F.col("rep").alias("id")), "ent").select("ent", "id"), "wanted")
+    sets = stage(texts_of(docs, wanted).mapInArrow(make_sets(size), "ent long, shingles binary").dropDuplicates(["ent"]), "shingles")
+    d = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
+    d = d.join(sets, "ent").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("ent", "shingles", "cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    out = stage(d.groupBy("cluster", "x", "y").applyInArrow(compare_blocks(percent), "u long, v long"), "links")
+    drop_staged(docs.sparkSession, sets)
+    return out
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ent, text) for the rows (id, ent) of wanted; a bounded number of ids is sent to all tasks."""
     few = wanted.count() <= SENT_IDS
@@ -252,46 +358,57 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    described = stage(d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe(size), "kind int, a long, b long, c long, hist binary"), "sets")
-    rows = described.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("ent"), F.col("c").alias("n"))
-    n_docs = rows.count()
-    counts = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
-    frequent = [r["a"] for r in counts.where(F.col("n") >= max(FREQUENT, n_docs // PART)).select("a").collect()]
-
-    signed = stage(d.mapInArrow(sign(size, percent, spark.sparkContext.broadcast(frequent)), "sig long, ent long, n int, hub int, pair boolean"), "signatures")
-    ones = signed.where("NOT pair").select("sig", "hub", "ent", "n").repartition("sig").sortWithinPartitions("sig", "hub", "ent")
-    ones = ones.mapInArrow(members(), "sig long, ent long, n int, hub long")
-    two = signed.where("pair").groupBy("sig", "ent").agg(F.min("n").alias("n"), F.min("hub").alias("order"))
+    rows = stage(d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe(size), "id long, ent long, n long, hist binary"), "sets")
+    counts = stage(d.select("text").mapInArrow(count_first(size, percent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "counts")
+    total = rows.agg(F.coalesce(F.sum(2 * F.floor(F.col("n") * (100 - percent) / 100) + 2), F.lit(0))).collect()[0][0]
+    often = F.col("n") >= max(FREQUENT, int(total) >> PART)
+    frequent = counts.where(often).select("s").toArrow().column("s").to_numpy()
+    rest = d.select("text").mapInArrow(count_rest(size, percent, spark.sparkContext.broadcast(frequent)), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    # the first count may have seen the others
+    frequent = np.concatenate([frequent, rest.where(F.col("n") >= max(FREQUENT // 2, int(total) >> PART)).select("s").toArrow().column("s").to_numpy()])
+
+    signed = stage(d.mapInArrow(sign(size, percent, spark.sparkContext.broadcast(frequent)), "sig long, ent long, n int, order int, pair boolean"), "signatures")
+    ones = signed.where("NOT pair").select("sig", "order", "ent", "n").repartition("sig").sortWithinPartitions("sig", "order", "ent")
+    ones = ones.mapInArrow(members(), "sig long, ent long, n int, best int, hub long").withColumn("pair", F.lit(False))
+    two = signed.where("pair").groupBy("sig", "ent").agg(F.min("n").alias("n"), F.min("order").alias("order"))
     firsts = two.groupBy("sig").agg(F.min(F.struct("order", "ent")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    two = two.join(firsts, "sig").select("sig", "ent", "n", F.col("first.ent").alias("hub"))
+    two = two.join(firsts, "sig").select("sig", "ent", "n", F.col("first.order").alias("best"), F.col("first.ent").alias("hub"), F.lit(True).alias("pair"))
     found = stage(ones.union(two), "members")
-    drop_staged(spark, signed)
+    drop_staged(spark, signed, counts)
 
     # the entities that share a signature, with the smallest id that has each
     reps = rows.where("n > 0").groupBy("ent").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    hists = described.where("kind = 0").select(F.col("b").alias("ent"), "hist").join(found.select("ent").distinct(), "ent", "left_semi").dropDuplicates(["ent"])
+    hists = rows.select("ent", "hist").join(found.select("ent").distinct(), "ent", "left_semi").dropDuplicates(["ent"])
     entities = stage(reps.join(hists, "ent"), "entities")
 
-    star = found.where("ent <> hub").select(F.col("hub").alias("a"), F.col("ent").alias("b")).distinct()
-    first = verify(star, d, entities, size, percent)
-    links = first.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(links)
-
-    # signatures whose members are in several components: pairs across them
-    labelled = found.join(roots, found["ent"] == roots["node"], "left").select("sig", "ent", "n", "hub", F.coalesce("root", "ent").alias("root"))
-    open_ = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi AND k > 2").select("sig")
-    far = first.select(F.col("a").alias("hub"), F.col("b").alias("ent"), "d")
-    rest = labelled.where("ent <> hub").join(open_, "sig").join(far, ["hub", "ent"], "left")
-    rest = stage(rest.select("sig", "ent", "n", "root", "d"), "open")
-    x = rest.select("sig", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"))
-    y = rest.select("sig", F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("d").alias("db"))
-    apart = 1 - percent / 100 + 1e-9
+    spokes = found.where("ent <> hub")
+    star = spokes.groupBy("ent").agg(F.min(F.struct("best", "hub")).alias("to")).select(F.col("to.hub").alias("a"), F.col("ent").alias("b"))
+    verified = verify(star, d, entities, size, percent)
+    roots = components(links_of(verified))
+
+    def labelled():
+        """Members of signatures, with their components."""
+        return found.join(roots, found["ent"] == roots["node"], "left").select("sig", "ent", "n", "hub", "pair", F.coalesce("root", "ent").alias("root"))
+
+    hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    star = labelled().where("ent <> hub").select("ent", "hub", "root").distinct().join(hubs, "hub", "left")
+    star = star.where(F.col("root") != F.coalesce("hub_root", "hub")).select(F.col("hub").alias("a"), F.col("ent").alias("b"))
+    verified = verified.union(verify(star, d, entities, size, percent))
+    roots = components(links_of(verified))
+
+    # signatures whose members are in several components still
+    rest = labelled()
+    open_ = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.max("pair").alias("pair")).where("lo <> hi AND k > 2")
+    rest = stage(rest.join(open_.select("sig", (F.col("pair") | (F.col("k") > GROUP)).alias("large")), "sig"), "open")
+    x = rest.where("NOT large AND ent <> hub").select("sig", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    y = x.toDF("sig", "b", "nb", "rb")
     near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near & F.coalesce(F.abs(F.col("da") - F.col("db")) <= apart, F.lit(True)))
-    across = across.select("a", "b").distinct()
-    second = verify(across, d, entities, size, percent).where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if second.take(1):
-        roots = components(links.union(second))
+    across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    more = links_of(verify(across, d, entities, size, percent))
+    large = rest.where("large AND ent <> hub").select("ent", "hub").distinct()
+    more = more.union(compare_clusters(large, d, entities, size, percent))
+    if more.take(1):
+        roots = components(links_of(verified).union(more))
 
     named = reps.join(roots, reps["ent"] == roots["node"], "left").select("ent", "rep", F.coalesce("root", "ent").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -301,6 +418,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     return linked.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def links_of(verified: DataFrame) -> DataFrame:
+    return verified.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The document with the smallest id of each class, with the columns of docs.
 
