@@ -89,7 +89,8 @@ class TensorRel:
         names = [f"d{i}" for i in range(len(dims))]
         as_column = lambda c: F.col(c) if isinstance(c, str) else c
         d = df.select(*[as_column(c).cast("bigint").alias(n) for c, n in zip(dims, names, strict=True)], as_column(value).cast(t.spark).alias("v"))
-        d = d.dropna(subset=names) if names else d
+        for n in names:
+            d = d.where(F.col(n).isNotNull())
         d = d.groupBy(*names).agg(algebra(algebra_).plus(F.col("v"), t).alias("v"))
         if shape is None:
             top = d.agg(*[F.max(n).alias(n) for n in names]).collect()[0] if names else []
