@@ -17,6 +17,7 @@ __all__ = ["SEPARATORS", "drop_staged", "n_words", "new_folder", "shared_root",
 
 #: Separators of words: space and U+0009 to U+000D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
+ARROW_ROWS = 2000
 
 
 def words(text: Column) -> Column:
@@ -29,7 +30,13 @@ def n_words(text: Column) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, so that Python tasks can import it."""
+    """Send this package to the executors once for each application, so that Python tasks can import it.
+
+    Also lowers the session's rows to an Arrow batch to ARROW_ROWS, since a batch of texts is held
+    by the JVM and by Python at once.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_tensorloom_shipped", False):
         return

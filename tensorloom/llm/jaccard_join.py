@@ -413,6 +413,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     named = reps.join(roots, reps["ent"] == roots["node"], "left").select("ent", "rep", F.coalesce("root", "ent").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stage(named.join(least, "root").select("ent", "component_id"), "classes")
+    drop_staged(spark, found, entities, rest)
     linked = rows.where("n > 0").join(named, "ent").select("id", "n", "component_id")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tensorloom.llm import components as C
 from tensorloom.llm import jaccard_join as J
 from tensorloom.llm.components import components
 
@@ -106,7 +107,9 @@ def test_similar_sets_share_a_signature(seed):
             assert np.minimum(*(z.astype(int).reshape(-1, m).sum(axis=0) for z in h)).sum() >= both
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW", few)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(50)] + [(7, 7)]
     parent = {}
