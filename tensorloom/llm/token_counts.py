@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from .common import SEPARATORS, ship, stage
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Words in each of the two generations that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Counters of this worker by version; they live on from task to task.
 COUNTERS: dict = {}
 
@@ -53,6 +54,12 @@ def counter(definition: str, separable: bool):
     encode = lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     if not separable:
         return encode
+    def encode_words(words: list[str], chunk: int = 500) -> list[int]:
+        """Counts of single words; many share one call, whose tokens tell their words."""
+        parts = [words[i : i + chunk] for i in range(0, len(words), chunk)]
+        found = tokenizer.encode_batch(parts, is_pretokenized=True, add_special_tokens=False)
+        return [n for p, e in zip(parts, found, strict=True) for n in np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(p)).tolist()]
+
     young: dict[str, int] = {}
     old: dict[str, int] = {}
 
@@ -65,7 +72,7 @@ def counter(definition: str, separable: bool):
         young.update((w, old[w]) for w in missing if w in old)
         new = [w for w in missing if w not in old]
         if new:
-            young.update(zip(new, encode(new), strict=True))
+            young.update(zip(new, encode_words(new), strict=True))
         look = young.__getitem__
         return [sum(map(look, p)) for p in parts]
 
