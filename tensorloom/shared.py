@@ -1,11 +1,13 @@
-"""The folder that the driver and all executors see, and tables written there to cut lineage."""
+"""The folder that the driver and all executors see, tables written there to cut lineage, and shipping of code."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,23 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
     for df in frames:
         path = spark._jvm.org.apache.hadoop.fs.Path(df._tensorloom_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application, so that Python tasks can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tensorloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(package)
+    folder = tempfile.mkdtemp(prefix="tensorloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tensorloom_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, top))
+    sc.addPyFile(path)
+    sc._tensorloom_shipped = True
