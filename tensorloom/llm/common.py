@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import drop_staged, new_folder, shared_root, stage
+from ..shared import drop_staged, new_folder, shared_root, ship_code, stage
 
 __all__ = ["SEPARATORS", "drop_staged", "n_words", "new_folder", "shared_root", "ship", "stage", "words"]
 
@@ -30,25 +24,10 @@ def n_words(text: Column) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, so that Python tasks can import it.
+    """Send this package to the executors, and lower the session's rows to an Arrow batch to ARROW_ROWS.
 
-    Also lowers the session's rows to an Arrow batch to ARROW_ROWS, since a batch of texts is held
-    by the JVM and by Python at once.
+    A batch of texts is held by the JVM and by Python at once.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    sc = spark.sparkContext
-    if getattr(sc, "_tensorloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    folder = tempfile.mkdtemp(prefix="tensorloom-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, "tensorloom_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(os.path.join(top, "tensorloom")):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, top))
-    sc.addPyFile(path)
-    sc._tensorloom_shipped = True
+    ship_code(spark)
