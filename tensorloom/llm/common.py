@@ -28,6 +28,6 @@ def ship(spark: SparkSession) -> None:
 
     A batch of texts is held by the JVM and by Python at once.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:  # 0 and below: no limit
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     ship_code(spark)
