@@ -16,15 +16,19 @@ LOWER[65:91] += 32
 FACTORS = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray):
-    """Hashes of the words of all texts, and for each text where its words begin among them."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray):
+    """Where the words of all texts start and end."""
     first = np.zeros(len(buf) + 1, dtype=bool)
     first[offsets] = True
     word = ~SEPARATOR[buf]
     before = np.concatenate([[False], word[:-1]])
     after = np.concatenate([word[1:], [False]])
-    start = np.flatnonzero(word & (~before | first[:-1]))
-    end = np.flatnonzero(word & (~after | first[1:])) + 1
+    return np.flatnonzero(word & (~before | first[:-1])), np.flatnonzero(word & (~after | first[1:])) + 1
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray):
+    """Hashes of the words of all texts, and for each text where its words begin among them."""
+    start, end = word_spans(buf, offsets)
     return Rolling(LOWER[buf]).of(start, end), np.searchsorted(start, offsets)
 
 
