@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.algebra import custom
 from .operators import contract as C
+from .operators import dense
 from .operators.autodiff import cost_and_gradient, einsum_with_grad
 from .plans.order import complexity, optimize
 from .plans.spec import EinsumSpec, parse
 from .plans.sql import flat_sql
+from .shared import ship_code
 from .sources.json_io import regular_network
 from .sources.tensor import TensorRel
 
@@ -358,6 +362,26 @@ def gram_dense_blocks(spark, sf_dir):
     return C.einsum("ij,ik->jk", w, w, strategy="dense").df.select("d0", "d1", F.col("v").cast("bigint").alias("v"))
 
 
+def gram_dense_all(spark, sf_dir):
+    """W'W over all embeddings: an array for as many rows as the dense path holds, and the sum of their products."""
+    w = base(spark, sf_dir, "W")
+    m = w.shape[1]
+    n = max(1, dense.CELLS // (2 * m))
+    spec = optimize(parse("ij,ik->jk").with_sizes({"i": n, "j": m, "k": m}))
+    ship_code(spark)
+
+    def run(block):
+        x = np.zeros((n, m))
+        np.add.at(x, (block.column("i").to_numpy(), block.column("j").to_numpy()), block.column("v").to_numpy())
+        found = dense.evaluate(spec, [x, x], "standard", 0.0)
+        d0, d1 = np.indices(found.shape).reshape(2, -1)
+        return pa.table({"d0": d0, "d1": d1, "v": found.reshape(-1).astype(np.int64)})
+
+    cells = w.df.where("d0 IS NOT NULL").select(F.floor(F.col("d0") / n).alias("block"), (F.col("d0") % n).alias("i"), F.col("d1").alias("j"), F.col("v").cast("double").alias("v"))
+    parts = cells.groupBy("block").applyInArrow(run, "d0 bigint, d1 bigint, v bigint")
+    return parts.groupBy("d0", "d1").agg(F.sum("v").alias("v"))
+
+
 def table_maxplus(spark, sf_dir):
     """A tensor from a table under another algebra: the largest quantity by supplier and part."""
     return TensorRel.from_table(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"], "l_quantity", algebra_="maxplus").df
@@ -407,6 +431,7 @@ OWN: dict[str, tuple[Callable, str | None]] = {
     "complex_grad": (complex_grad, with_tables(["G"], "").rstrip() + f", {COMPLEX} SELECT CAST(a.d0 AS BIGINT) AS d0, CAST(b.d0 AS BIGINT) AS d1, CAST(SUM(a.re * b.re - a.im * b.im) AS BIGINT) AS re, CAST(SUM(a.re * b.im + a.im * b.re) AS BIGINT) AS im FROM x_Z a JOIN x_Z b ON a.d1 = b.d1 GROUP BY 1, 2"),
     "float32_matvec": (float32_matvec, with_tables(["G", "b"], "SELECT CAST(g.d0 AS BIGINT) AS d0, CAST(SUM((g.v % 16) * (b.v % 16)) AS BIGINT) AS v FROM x_G g JOIN x_b b ON g.d1 = b.d0 GROUP BY 1")),
     "gram_dense": (gram_dense_blocks, with_tables(["W"], "SELECT CAST(a.d1 AS BIGINT) AS d0, CAST(b.d1 AS BIGINT) AS d1, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM x_W a JOIN x_W b ON a.d0 = b.d0 WHERE a.d0 < 64 GROUP BY 1, 2")),
+    "gram_dense_all": (gram_dense_all, with_tables(["W"], flat_sql(parse("ij,ik->jk"), ["x_W"] * 2))),
     "table_maxplus": (table_maxplus, "SELECT l_suppkey AS d0, l_partkey AS d1, CAST(MAX(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2"),
     "custom_algebra": (custom_algebra, with_tables(["G"], "SELECT CAST(a.d0 AS BIGINT) AS d0, CAST(b.d1 AS BIGINT) AS d1, CAST(BIT_OR(a.v & b.v) AS BIGINT) AS v FROM x_G a JOIN x_G b ON a.d1 = b.d0 GROUP BY 1, 2")),
     "optimize_topology": (topology, None),
