@@ -1,9 +1,8 @@
 """Optimal length buckets and batches of a token budget.
 
-A histogram of lengths over all documents is reduced to a bounded number of bins (lengths to 2047
-one by one, longer ones with 11 leading bits, so less than 1024 bins for each doubling). Dynamic
-programming chooses at most `buckets` upper bounds among the bins so that the padding, upper bound
-minus length summed over all documents, is least. Inside each bucket batches hold as many
+Dynamic programming over the histogram of lengths, each distinct length by itself, chooses at most
+`buckets` upper bounds so that the padding, upper bound minus length summed over all documents, is
+least. W words in all have less than sqrt(2 W) + 1 distinct lengths, so the driver holds few. Inside each bucket batches hold as many
 documents as fit the budget when each is padded to the bucket's bound; a document longer than the
 budget is a batch of its own. Nothing is truncated.
 
@@ -81,13 +80,9 @@ def boundaries(tops, counts, totals, buckets: int = BUCKETS) -> list[int]:
 
 
 def length_bounds(docs: DataFrame, length: Column, buckets: int = BUCKETS) -> tuple[list[int], int]:
-    """Bounds of the buckets, and the number of documents. The histogram has a bounded number of bins."""
-    bins = docs.select(length.alias("length")).groupBy(bin_top(F.col("length")).alias("top")).agg(
-        F.count("*").alias("n"), F.sum("length").alias("total"), F.max("length").alias("longest")
-    )
-    rows = sorted(bins.collect(), key=lambda r: r["top"])
-    # each bin's bound is the longest length that occurs in it
-    found = boundaries([r["longest"] for r in rows], [r["n"] for r in rows], [r["total"] for r in rows], buckets)
+    """Bounds of the buckets, and the number of documents."""
+    rows = sorted(docs.select(length.alias("length")).groupBy("length").agg(F.count("*").alias("n")).collect())
+    found = boundaries([r["length"] for r in rows], [r["n"] for r in rows], [r["length"] * r["n"] for r in rows], buckets)
     return found, sum(r["n"] for r in rows)
 
 

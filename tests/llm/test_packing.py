@@ -76,3 +76,11 @@ def test_query_over_documents(spark):
     got = queries()["op3_length_buckets"](spark, d).collect()
     assert len(got) == table(spark, d, "documents").count()
     check(got, P.BUDGET)
+
+
+def test_long_lengths_have_least_padding(spark):
+    lengths = [4097, 4098, 8193, 8200, 16385, 16400, 16385, 4097]
+    d = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    got = P.pack(d, F.col("n"), buckets=4).collect()
+    assert sorted(r.length for r in got) == sorted(lengths)
+    assert sum(r.padding for r in got) == least_padding(lengths, 4) == 9
