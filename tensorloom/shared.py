@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
@@ -12,20 +13,42 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def own_folder() -> str:
+    """A folder of this process, for sessions whose executors all live in it."""
+    own = tempfile.mkdtemp(prefix="tensorloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a new local folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = tempfile.mkdtemp(prefix="tensorloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """spark.checkpoint.dir of the session; where that is unset, the session's checkpoint folder or, on a local master, an own one."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return own_folder()
+
+
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/tensorloom/{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nobody else uses."""
-    return f"{shared_root(spark)}/tensorloom/{name}-{uuid.uuid4().hex}"
+    """A path below the application's part of the shared folder that nobody else uses."""
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_all_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results that read from it end with it."""
+    delete(spark, application_folder(spark))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -41,8 +64,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tensorloom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, df._tensorloom_path)
 
 
 def ship_code(spark: SparkSession) -> None:
