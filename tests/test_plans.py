@@ -1,5 +1,6 @@
 """Parsing, trees, orders and costs: no Spark needed."""
 
+import functools
 import itertools
 import random
 
@@ -95,6 +96,44 @@ def test_tree_search_against_all_orders():
     assert complexity(spec, tree_sa(spec)).tc == pytest.approx(least, abs=0.2)
 
 
+def test_tree_search_runs_what_was_asked_for():
+    spec = parse("ab,bc,cd,da->").with_sizes({c: 3 for c in "abcd"})
+    swept = []
+    tree_sa(spec, ntrials=3, niters=4, betas=[0.1, 0.2, 0.7], sweeps=swept)
+    assert swept == ([0.1] * 4 + [0.2] * 4 + [0.7] * 4) * 3
+    swept.clear()
+    tree_sa(spec, ntrials=2, niters=50, betas=[0.01 + 0.05 * i for i in range(300)], sweeps=swept)
+    assert len(swept) == 2 * 50 * 300
+
+
+def test_least_cost_of_the_ladder():
+    """The least sum of products over all orders, by dynamic programming over sets of operands."""
+    spec = parse("ab,cd,ac,bd,be,df,ef,eg,fh,gh->").with_sizes({c: 8 for c in "abcdefgh"})
+    n = len(spec.ixs)
+    full = (1 << n) - 1
+
+    @functools.cache
+    def open_labels(mask):
+        inside = {c for i in range(n) if mask >> i & 1 for c in spec.ixs[i]}
+        return frozenset(c for c in inside if any(c in spec.ixs[i] for i in range(n) if not mask >> i & 1))
+
+    @functools.cache
+    def least(mask):
+        if mask & (mask - 1) == 0:
+            return 0, frozenset(spec.ixs[mask.bit_length() - 1])
+        best, part = None, (mask - 1) & mask
+        while part:
+            if part >= mask ^ part:
+                (a, x), (b, y) = least(part), least(mask ^ part)
+                cost = a + b + 8 ** len(x | y)
+                best = cost if best is None or cost < best else best
+            part = (part - 1) & mask
+        return best, open_labels(mask)
+
+    assert least(full)[0] == 6 * 8**3 + 3 * 8**2
+    assert 2 ** complexity(optimize(spec, "greedy")).tc == pytest.approx(least(full)[0])
+
+
 def test_unknown_methods_and_sizes():
     with pytest.raises(ValueError):
         optimize(parse("ij->i"))
