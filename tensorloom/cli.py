@@ -15,9 +15,10 @@ from .sources.tensor import TensorRel
 
 
 def session():
+    """The active session, or a new one."""
     from pyspark.sql import SparkSession
 
-    return (
+    return SparkSession.getActiveSession() or (
         SparkSession.builder.master(os.environ.get("TENSORLOOM_MASTER", "local[2]")).appName("tensorloom")
         .config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
@@ -118,8 +119,8 @@ def parser() -> argparse.ArgumentParser:
     o.add_argument("--alpha", type=float, default=0.0)
     o.add_argument("--temperature", type=float, default=0.0)
     o.add_argument("--ntrials", type=int, default=10)
-    o.add_argument("--niters", type=int, default=50)
-    o.add_argument("--betas", default="0.01:0.05:15")
+    o.add_argument("--niters", type=int, default=2, help="sweeps at each of the betas")
+    o.add_argument("--betas", default="0.01:0.5:14.51", help="inverse temperatures, start:step:stop")
     o.add_argument("--sc-target", type=float, default=20.0)
     o.add_argument("--tc-weight", type=float, default=1.0)
     o.add_argument("--sc-weight", type=float, default=1.0)

@@ -1,10 +1,11 @@
-"""A contraction as one flat SQL query: join everything, then group. It states the result, not a plan."""
+"""A contraction as SQL: flat (join everything, then group), which states the result, or along a tree, for networks."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
 from .spec import EinsumSpec
+from .tree import steps
 
 #: Product and aggregate by algebra.
 FORMS = {"standard": (" * ", "SUM"), "maxplus": (" + ", "MAX"), "minplus": (" + ", "MIN"), "maxmul": (" * ", "MAX")}
@@ -43,3 +44,12 @@ def flat_sql(spec: EinsumSpec, tables: Sequence[str], algebra: str = "standard",
     if dropped and spec.iy:
         sql += " GROUP BY " + ", ".join(dict.fromkeys(where[c] for c in spec.iy))
     return sql
+
+
+def tree_sql(spec: EinsumSpec, tables: Sequence[str], algebra: str = "standard", kind: str = "BIGINT") -> str:
+    """One table expression for each contraction of the spec's tree; the last one is the result."""
+    name = lambda i: tables[i] if i < len(tables) else f"s{i}"
+    todo = steps(spec.tree, spec.ixs, spec.iy)
+    parts = [f"{name(s.out)} AS MATERIALIZED ({flat_sql(EinsumSpec((s.left_labels, s.right_labels), s.labels), [name(s.left), name(s.right)], algebra, kind)})" for s in todo]
+    last = todo[-1]
+    return ", ".join(parts) + " " + flat_sql(EinsumSpec((tuple(last.labels),), spec.iy), [name(last.out)], algebra, kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -9,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import cli
 from .functions.algebra import custom
 from .operators import contract as C
 from .operators import dense
-from .operators.autodiff import cost_and_gradient, einsum_with_grad
+from .operators.autodiff import contract_binary_backward, cost_and_gradient, einsum_with_grad
 from .plans.order import complexity, optimize
-from .plans.spec import EinsumSpec, parse
-from .plans.sql import flat_sql
+from .plans.spec import EinBuilder, EinsumSpec, parse
+from .plans.sql import flat_sql, tree_sql
 from .shared import ship_code
+from .sources import json_io
 from .sources.json_io import regular_network
 from .sources.tensor import TensorRel
 
@@ -34,6 +37,11 @@ BASE_SQL = {
     "T": "SELECT s_nationkey d0, l_linenumber d1, c_nationkey d2, CAST(COUNT(*) AS BIGINT) v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3",
     # events by user and type, types numbered by name
     "U": "SELECT user_id d0, k d1, CAST(COUNT(*) AS BIGINT) v FROM events JOIN (SELECT event_type AS e, ROW_NUMBER() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)) ON event_type = e GROUP BY 1, 2",
+    # lines by regions and nations of supplier and customer; by line number too; by eight axes
+    "Q": "SELECT sr d0, cr d1, s_nationkey d2, c_nationkey d3, CAST(COUNT(*) AS BIGINT) v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN (SELECT n_nationkey AS sn, n_regionkey AS sr FROM nation) ON s_nationkey = sn JOIN (SELECT n_nationkey AS cn, n_regionkey AS cr FROM nation) ON c_nationkey = cn GROUP BY ALL",
+    "H": "SELECT sr d0, cr d1, l_linenumber d2, s_nationkey d3, c_nationkey d4, CAST(COUNT(*) AS BIGINT) v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN (SELECT n_nationkey AS sn, n_regionkey AS sr FROM nation) ON s_nationkey = sn JOIN (SELECT n_nationkey AS cn, n_regionkey AS cr FROM nation) ON c_nationkey = cn GROUP BY ALL",
+    "O": "SELECT sr d0, cr d1, l_linenumber d2, CAST(l_quantity AS BIGINT) % 4 d3, l_partkey % 3 d4, l_suppkey % 3 d5, o_orderkey % 4 d6, o_custkey % 5 d7, CAST(COUNT(*) AS BIGINT) v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN (SELECT n_nationkey AS sn, n_regionkey AS sr FROM nation) ON s_nationkey = sn JOIN (SELECT n_nationkey AS cn, n_regionkey AS cr FROM nation) ON c_nationkey = cn GROUP BY ALL",
+    "R": "SELECT sr d0, cr d1, l_linenumber % 5 d2, CAST(SUM(l_quantity) AS BIGINT) v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN (SELECT n_nationkey AS sn, n_regionkey AS sr FROM nation) ON s_nationkey = sn JOIN (SELECT n_nationkey AS cn, n_regionkey AS cr FROM nation) ON c_nationkey = cn GROUP BY ALL",
     # suppliers by nation, parts' size
     "b": "SELECT s_nationkey d0, CAST(COUNT(*) AS BIGINT) v FROM supplier GROUP BY 1",
     "P": "SELECT p_partkey d0, CAST(p_size AS BIGINT) v FROM part",
@@ -57,7 +65,18 @@ FLAT = {
     "repeat_prepend_b": ("i->ji", "b", "standard", {"j": 3}),
     "permute3_T": ("ijk->kij", "T", "standard", None),
     "partial_trace_T": ("iji->j", "T", "standard", None),
-    "partial_trace_GG": ("ij,jk->ik", "G,G", "standard", None),
+    "partial_trace_inner": ("ijjk->ik", "Qi", "standard", None),
+    "partial_trace_transposed": ("ijjk->ki", "Qi", "standard", None),
+    "multi_trace_Q": ("iijj->", "Q", "standard", None),
+    "multi_trace_kept": ("iijj->j", "Q", "standard", None),
+    "triple_trace_R": ("iii->", "R", "standard", None),
+    "triple_diag_R": ("iii->i", "R", "standard", None),
+    "rank5_pair": ("abcde,abcfg->defg", "H,H", "standard", None),
+    "rank5_batched": ("abcde,abcfg->abdefg", "H,H", "standard", None),
+    "rank5_maxplus": ("abcde,abcfg->defg", "H,H", "maxplus", None),
+    "rank4_outer": ("ij,kl,mn,op->ijklmnop", "NR,NR,NR,NR", "standard", None),
+    "rank8_pair": ("abcdefgh,ijcdefgh->abij", "O,O", "standard", None),
+    "rank8_minplus": ("abcdefgh,ijcdefgh->abij", "O,O", "minplus", None),
     "multi_trace_GG": ("ii,jj->", "G,G", "standard", None),
     "maxplus_rows": ("ij->i", "G", "maxplus", None),
     "maxplus_trace": ("ii->", "G", "maxplus", None),
@@ -109,9 +128,9 @@ FLAT = {
 }
 
 #: Views of the base tensors: name, and the order of its axes.
-VIEWS = {"T3": ("T", (0, 2, 1)), "NS": ("SN", (1, 0)), "Ls": ("L", (0, 1)), "NRt": ("NR", (1, 0))}
-#: chain sums of "ladder" exceed 64 bits at large sizes, so it runs on the remainder modulo 10.
-SMALL = {"ladder", "grid2x2", "star3", "cycle3", "minplus_2hop", "multi_trace_GG"}
+VIEWS = {"Qi": ("Q", (0, 2, 3, 1)), "T3": ("T", (0, 2, 1)), "NS": ("SN", (1, 0)), "Ls": ("L", (0, 1)), "NRt": ("NR", (1, 0))}
+#: Sums of products of three or more cells of G exceed 64 bits on large tables, so these run on values modulo 10.
+SMALL = {"ladder", "grid2x2", "cycle3"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +156,19 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> TensorRel:
     if name in ("SN", "NR", "CN"):
         where, row, column, of = {"SN": ("supplier", "s_suppkey", "s_nationkey", "sn"), "NR": ("nation", "n_nationkey", "n_regionkey", "nr"), "CN": ("customer", "c_custkey", "c_nationkey", "cn")}[name]
         return TensorRel.from_table(t(where), [row, column], F.lit(1), shape(*of))
+    if name in ("Q", "H", "O", "R"):
+        region = lambda s: t("nation").select(F.col("n_nationkey").alias(f"{s}n"), F.col("n_regionkey").alias(f"{s}r"))
+        lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        lines = lines.join(region("s"), F.col("s_nationkey") == F.col("sn")).join(region("c"), F.col("c_nationkey") == F.col("cn"))
+        r, n, k = shape("r")[0], shape("n")[0], top(t("lineitem"), "l_linenumber")
+        if name == "R":
+            return TensorRel.from_table(lines, ["sr", "cr", F.col("l_linenumber") % 5], "l_quantity", [r, r, 5])
+        if name == "Q":
+            return TensorRel.from_table(lines, ["sr", "cr", "s_nationkey", "c_nationkey"], F.lit(1), [r, r, n, n])
+        if name == "H":
+            return TensorRel.from_table(lines, ["sr", "cr", "l_linenumber", "s_nationkey", "c_nationkey"], F.lit(1), [r, r, k, n, n])
+        mod = [F.col(c).cast("bigint") % m for c, m in (("l_quantity", 4), ("l_partkey", 3), ("l_suppkey", 3), ("o_orderkey", 4), ("o_custkey", 5))]
+        return TensorRel.from_table(lines, ["sr", "cr", "l_linenumber", *mod], F.lit(1), [r, r, k, 4, 3, 3, 4, 5])
     if name in ("G", "T"):
         lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         n = shape("n")[0]
@@ -283,7 +315,7 @@ ROUTED_SQL = "SELECT w.d0 AS i, w.k AS j, w.d1 AS k, g.v AS g FROM (" + ARGMAX_S
 
 def complex_of(t: TensorRel) -> TensorRel:
     """v + (v mod 7) i, in whole numbers that doubles hold exactly."""
-    v = F.struct((F.col("v") % 1000).cast("double").alias("re"), (F.col("v") % 7).cast("double").alias("im"))
+    v = F.struct(F.col("v").cast("double").alias("re"), (F.col("v") % 7).cast("double").alias("im"))
     return TensorRel(t.df.withColumn("v", v), t.shape, "c64")
 
 
@@ -291,7 +323,7 @@ def parts(t: TensorRel) -> DataFrame:
     return t.df.select(*t.dims, F.col("v.re").cast("bigint").alias("re"), F.col("v.im").cast("bigint").alias("im"))
 
 
-COMPLEX = "x_Z AS (SELECT d0, d1, v % 1000 AS re, v % 7 AS im FROM x_G)"
+COMPLEX = "x_Z AS (SELECT d0, d1, v AS re, v % 7 AS im FROM x_G)"
 
 
 def complex_matmul(spark, sf_dir):
@@ -311,6 +343,7 @@ def complex_grad(spark, sf_dir):
 
 
 def float32_matvec(spark, sf_dir):
+    """On values modulo 16, whose sums floats of 32 bits hold exactly."""
     cast = lambda t: TensorRel(t.df.withColumn("v", (F.col("v") % 16).cast("float")), t.shape, "f32")
     g, b = (cast(base(spark, sf_dir, x)) for x in ("G", "b"))
     return C.einsum("ij,j->i", g, b).df.select("d0", F.col("v").cast("bigint").alias("v"))
@@ -322,25 +355,37 @@ def topology(spark, sf_dir):
     rows = []
     for m in ("left_deep", "greedy", "treesa"):
         c = complexity(optimize(spec, m))
-        rows.append((m, round(c.tc, 6), round(c.sc, 6), round(c.rw, 6)))
-    return spark.createDataFrame(rows, "method string, tc double, sc double, rw double")
+        rows.append((m, round(c.tc, 6), round(c.sc, 6)))
+    return spark.createDataFrame(rows, "method string, tc double, sc double")
+
+
+#: From left to right two contractions have four labels, four have three and three have two; the
+#: least cost over all orders, which a test finds by dynamic programming, is six of three and three of two.
+TOPOLOGY_SQL = """SELECT method, round(log2(products), 6) AS tc, round(log2(cells), 6) AS sc FROM (VALUES
+  ('left_deep', 2 * 8^4 + 4 * 8^3 + 3 * 8^2, 8^4), ('greedy', 6 * 8^3 + 3 * 8^2, 8^2), ('treesa', 6 * 8^3 + 3 * 8^2, 8^2)) AS x(method, products, cells)"""
 
 
 def network(n: int):
-    """A 3-regular network of n vertices with a 2 x 2 tensor on each edge."""
+    """A 3-regular network of n vertices with one of three 2 x 2 tensors on each edge, so that the result depends on the wiring."""
 
     def run(spark, sf_dir):
         spec = regular_network(n)
-        fill = float(0.5**0.4)
-        t = TensorRel.from_data(spark, [fill] * 4, [2, 2], "f64")
-        return C.einsum(spec, *[t] * len(spec.ixs)).df.select(F.round(F.log("v"), 6).alias("log_v"))
+        ts = [TensorRel.from_data(spark, x, [2, 2], "f64") for x in EDGES]
+        return C.einsum(spec, *[ts[i % 3] for i in range(len(spec.ixs))]).df.select(F.round(F.log("v"), 6).alias("log_v"))
 
     return run
 
 
+#: Cells of the networks' tensors in column-major order.
+EDGES = ([0.5, 1.0, 0.25, 0.75], [1.25, 0.5, 0.75, 0.375], [0.625, 0.875, 1.0, 0.125])
+
+
 def network_sql(n: int) -> str:
-    # every cell holds the same number, so the sum has 2^n equal terms
-    return f"SELECT round({n} * ln(2.0) + {3 * n // 2} * 0.4 * ln(0.5), 6) AS log_v"
+    """The same network along a tree, one table expression for each contraction."""
+    spec = optimize(regular_network(n), "greedy")
+    cells = [f"e{i}(d0, d1, v) AS (VALUES (0, 0, {a}::DOUBLE), (1, 0, {b}::DOUBLE), (0, 1, {c}::DOUBLE), (1, 1, {d}::DOUBLE))" for i, (a, b, c, d) in enumerate(EDGES)]
+    found = tree_sql(spec, [f"e{i % 3}" for i in range(len(spec.ixs))], kind="DOUBLE")
+    return f"WITH {', '.join(cells)}, " + found.replace(" SELECT CAST(t0.v AS DOUBLE) AS v", " SELECT round(ln(t0.v), 6) AS log_v")
 
 
 def network_relational(spark, sf_dir):
@@ -355,14 +400,7 @@ def network_relational_sql() -> str:
     return "WITH e AS (SELECT * FROM " + cells + ") " + flat_sql(spec, ["e"] * len(spec.ixs))
 
 
-def gram_dense_blocks(spark, sf_dir):
-    """W'W on arrays in one task, to be compared with the relational plan."""
-    w = base(spark, sf_dir, "W")
-    w = TensorRel(w.df.where("d0 < 64").withColumn("v", F.col("v").cast("double")), [min(64, w.shape[0]), w.shape[1]], "f64")
-    return C.einsum("ij,ik->jk", w, w, strategy="dense").df.select("d0", "d1", F.col("v").cast("bigint").alias("v"))
-
-
-def gram_dense_all(spark, sf_dir):
+def gram_dense(spark, sf_dir):
     """W'W over all embeddings: an array for as many rows as the dense path holds, and the sum of their products."""
     w = base(spark, sf_dir, "W")
     m = w.shape[1]
@@ -394,6 +432,109 @@ def custom_algebra(spark, sf_dir):
     return C.einsum("ij,jk->ik", g, g, algebra=a).df
 
 
+def storage_G(spark, sf_dir):
+    """A tensor to its flat storage and back."""
+    g = base(spark, sf_dir, "G").to_dense()
+    return TensorRel.from_storage(g.df.select(g.linear().alias("lin"), "v"), g.shape, "i64").df
+
+
+def diagonal_method(spark, sf_dir):
+    return base(spark, sf_dir, "G").diagonal().df
+
+
+def left_to_right(spark, sf_dir):
+    """A spec without a tree is contracted from left to right."""
+    return C.execute(parse("ij,jk,kl->il"), operands(spark, sf_dir, "G,G,NR", "")).df
+
+
+def builder_matmul(spark, sf_dir):
+    g = base(spark, sf_dir, "G")
+    n = g.shape[0]
+    spec = EinBuilder().input("ij").input("kj").output("ik").sizes([("i", n), ("j", n), ("k", n)]).build()
+    return C.einsum(spec, g, g).df
+
+
+def argmax_tree(spark, sf_dir):
+    """The result of a tree of two contractions with the winners of each: j for (i, k), then k for (i, l)."""
+    g = base(spark, sf_dir, "G")
+    out, (first, last) = C.execute_with_argmax("(ij,jk),kl->il", g, g, g, algebra="maxplus")
+    last = last.df.select("d0", "d1", F.col("v").alias("k"))
+    first = first.df.select("d0", F.col("d1").alias("k"), F.col("v").alias("j"))
+    return out.df.join(last, ["d0", "d1"]).join(first, ["d0", "k"]).select("d0", "d1", "v", "j", "k")
+
+
+ARGMAX_TREE_SQL = """, f AS (SELECT a.d0 AS d0, b.d1 AS d1, a.v + b.v AS v, a.d1 AS j, ROW_NUMBER() OVER (PARTITION BY a.d0, b.d1 ORDER BY a.v + b.v DESC, a.d1) AS place FROM x_G a JOIN x_G b ON a.d1 = b.d0),
+s AS (SELECT f.d0, g.d1, f.v + g.v AS v, f.j, f.d1 AS k, ROW_NUMBER() OVER (PARTITION BY f.d0, g.d1 ORDER BY f.v + g.v DESC, f.d1) AS place FROM f JOIN x_G g ON f.d1 = g.d0 WHERE f.place = 1)
+SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, v, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k FROM s WHERE place = 1"""
+
+
+def binary_backward(spark, sf_dir):
+    """Both gradients of one batched contraction, side 0 for T and side 1 for G."""
+    x, g, dy = base(spark, sf_dir, "T"), base(spark, sf_dir, "G"), base(spark, sf_dir, "T").sum_axis(2)
+    ga, gb = contract_binary_backward(x, g, "bij", "bj", "bi", dy)
+    side = lambda t, i: t.df.select(F.lit(i).alias("side"), "d0", "d1", *([F.col("d2")] if t.ndim == 3 else [F.lit(-1).cast("bigint").alias("d2")]), "v")
+    return side(ga, 0).unionAll(side(gb, 1)).where("v <> 0")
+
+
+BACKWARD_SQL = """, y AS (SELECT d0, d1, CAST(SUM(v) AS BIGINT) AS v FROM x_T GROUP BY 1, 2)
+SELECT 0 AS side, CAST(y.d0 AS BIGINT) AS d0, CAST(y.d1 AS BIGINT) AS d1, CAST(g.d1 AS BIGINT) AS d2, CAST(y.v * g.v AS BIGINT) AS v FROM y JOIN x_G g ON y.d0 = g.d0 WHERE y.v * g.v <> 0
+UNION ALL SELECT 1, CAST(t.d0 AS BIGINT), CAST(t.d2 AS BIGINT), CAST(-1 AS BIGINT), CAST(SUM(t.v * y.v) AS BIGINT) FROM x_T t JOIN y ON t.d0 = y.d0 AND t.d1 = y.d1 GROUP BY 2, 3 HAVING SUM(t.v * y.v) <> 0"""
+
+
+def documents_of(spark, sf_dir, folder: str, order: str) -> str:
+    """A tensor document of the nations by region, twice; the command line reads it on the driver."""
+    t = base(spark, sf_dir, "NR")
+    entry = {"shape": list(t.shape), "data": [float(x) for x in t.to_list(order=order)]}
+    json_io.write_json({"dtype": "f64", "order": order, "tensors": [entry, entry]}, f"{folder}/tensors.json")
+    return f"{folder}/tensors.json"
+
+
+def from_document(spark, entry: dict, order: str) -> DataFrame:
+    t = TensorRel.from_data(spark, entry["data"], entry["shape"], "f64", order)
+    return t.df.select(*t.dims, F.col("v").cast("bigint").alias("v")).where("v <> 0")
+
+
+def json_tensors(spark, sf_dir):
+    """A tensor document in row-major order, written and read."""
+    with tempfile.TemporaryDirectory() as folder:
+        ts, order = json_io.read_tensors(spark, documents_of(spark, sf_dir, folder, "row_major"))
+    return ts[1].df.select("d0", "d1", F.col("v").cast("bigint").alias("v")).where("v <> 0")
+
+
+def command(*args: str) -> None:
+    if cli.main([*args]):
+        raise RuntimeError("the command failed")
+
+
+def cli_contract(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        tensors = documents_of(spark, sf_dir, folder, "row_major")
+        command("contract", tensors, "--expr", "ij,kj->ik", "-o", f"{folder}/out.json")
+        out = json_io.read_json(f"{folder}/out.json")
+    return from_document(spark, out, out["order"])
+
+
+def cli_topology(spark, sf_dir):
+    """An order found by one command and followed by another."""
+    with tempfile.TemporaryDirectory() as folder:
+        tensors = documents_of(spark, sf_dir, folder, "col_major")
+        n, r = json_io.read_json(tensors)["tensors"][0]["shape"]
+        command("optimize", "ni,nj->ij", "--sizes", f"n={n},i={r},j={r}", "--method", "treesa", "-o", f"{folder}/topology.json")
+        command("contract", tensors, "-t", f"{folder}/topology.json", "-o", f"{folder}/out.json")
+        out = json_io.read_json(f"{folder}/out.json")
+    return from_document(spark, out, out["order"])
+
+
+def cli_autodiff(spark, sf_dir):
+    """The gradient of a sum of squares, as sum of its two parts."""
+    with tempfile.TemporaryDirectory() as folder:
+        tensors = documents_of(spark, sf_dir, folder, "col_major")
+        command("autodiff", tensors, "--expr", "nr,nr->", "-o", f"{folder}/out.json")
+        out = json_io.read_json(f"{folder}/out.json")
+    both = [from_document(spark, g, out["order"]) for g in out["gradients"]]
+    return both[0].unionAll(both[1]).groupBy("d0", "d1").agg(F.sum("v").alias("v"))
+
+
 def region_seed(spark, sf_dir):
     return C.einsum("ij,ia,jb->ab", *operands(spark, sf_dir, "G,NR,NR", ""))
 
@@ -430,14 +571,24 @@ OWN: dict[str, tuple[Callable, str | None]] = {
     "complex_trace": (complex_trace, with_tables(["G"], "").rstrip() + f", {COMPLEX} SELECT CAST(SUM(re) AS BIGINT) AS re, CAST(SUM(im) AS BIGINT) AS im FROM x_Z WHERE d0 = d1"),
     "complex_grad": (complex_grad, with_tables(["G"], "").rstrip() + f", {COMPLEX} SELECT CAST(a.d0 AS BIGINT) AS d0, CAST(b.d0 AS BIGINT) AS d1, CAST(SUM(a.re * b.re - a.im * b.im) AS BIGINT) AS re, CAST(SUM(a.re * b.im + a.im * b.re) AS BIGINT) AS im FROM x_Z a JOIN x_Z b ON a.d1 = b.d1 GROUP BY 1, 2"),
     "float32_matvec": (float32_matvec, with_tables(["G", "b"], "SELECT CAST(g.d0 AS BIGINT) AS d0, CAST(SUM((g.v % 16) * (b.v % 16)) AS BIGINT) AS v FROM x_G g JOIN x_b b ON g.d1 = b.d0 GROUP BY 1")),
-    "gram_dense": (gram_dense_blocks, with_tables(["W"], "SELECT CAST(a.d1 AS BIGINT) AS d0, CAST(b.d1 AS BIGINT) AS d1, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM x_W a JOIN x_W b ON a.d0 = b.d0 WHERE a.d0 < 64 GROUP BY 1, 2")),
-    "gram_dense_all": (gram_dense_all, with_tables(["W"], flat_sql(parse("ij,ik->jk"), ["x_W"] * 2))),
+    "gram_dense": (gram_dense, with_tables(["W"], flat_sql(parse("ij,ik->jk"), ["x_W"] * 2))),
     "table_maxplus": (table_maxplus, "SELECT l_suppkey AS d0, l_partkey AS d1, CAST(MAX(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2"),
     "custom_algebra": (custom_algebra, with_tables(["G"], "SELECT CAST(a.d0 AS BIGINT) AS d0, CAST(b.d1 AS BIGINT) AS d1, CAST(BIT_OR(a.v & b.v) AS BIGINT) AS v FROM x_G a JOIN x_G b ON a.d1 = b.d0 GROUP BY 1, 2")),
-    "optimize_topology": (topology, None),
+    "storage_G": (storage_G, with_tables(["G"], "SELECT CAST(i.x AS BIGINT) AS d0, CAST(j.x AS BIGINT) AS d1, COALESCE(g.v, 0) AS v FROM (SELECT unnest(range((SELECT MAX(n_nationkey) + 1 FROM nation))) AS x) i CROSS JOIN (SELECT unnest(range((SELECT MAX(n_nationkey) + 1 FROM nation))) AS x) j LEFT JOIN x_G g ON g.d0 = i.x AND g.d1 = j.x")),
+    "diagonal_method": (diagonal_method, with_tables(["G"], "SELECT CAST(d0 AS BIGINT) AS d0, v FROM x_G WHERE d0 = d1")),
+    "left_to_right": (left_to_right, with_tables(["G", "NR"], flat_sql(parse("ij,jk,kl->il"), ["x_G", "x_G", "x_NR"]))),
+    "builder_matmul": (builder_matmul, with_tables(["G"], flat_sql(parse("ij,kj->ik"), ["x_G"] * 2))),
+    "argmax_tree": (argmax_tree, with_tables(["G"], "").rstrip() + ARGMAX_TREE_SQL),
+    "binary_backward": (binary_backward, with_tables(["T", "G"], "").rstrip() + BACKWARD_SQL),
+    "json_tensors": (json_tensors, with_tables(["NR"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, v FROM x_NR")),
+    "cli_contract": (cli_contract, with_tables(["NR"], flat_sql(parse("ij,kj->ik"), ["x_NR"] * 2))),
+    "cli_topology": (cli_topology, with_tables(["NR"], flat_sql(parse("ni,nj->ij"), ["x_NR"] * 2))),
+    "cli_autodiff": (cli_autodiff, with_tables(["NR"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, 2 * v AS v FROM x_NR")),
+    "optimize_topology": (topology, TOPOLOGY_SQL),
     "network_small": (network(10), network_sql(10)),
     "network_medium": (network(50), network_sql(50)),
     "network_large": (network(100), network_sql(100)),
+    "network_225": (network(150), network_sql(150)),
     "network_relational": (network_relational, network_relational_sql()),
 }
 

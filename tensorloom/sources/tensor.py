@@ -91,11 +91,10 @@ class TensorRel:
         d = df.select(*[as_column(c).cast("bigint").alias(n) for c, n in zip(dims, names, strict=True)], as_column(value).cast(t.spark).alias("v"))
         for n in names:
             d = d.where(F.col(n).isNotNull())
-        d = d.groupBy(*names).agg(algebra(algebra_).plus(F.col("v"), t).alias("v"))
-        if shape is None:
+        if shape is None:  # from the rows: their grouping would be run twice
             top = d.agg(*[F.max(n).alias(n) for n in names]).collect()[0] if names else []
             shape = [0 if x is None else x + 1 for x in top]
-        return cls(d, shape, t)
+        return cls(d.groupBy(*names).agg(algebra(algebra_).plus(F.col("v"), t).alias("v")), shape, t)
 
     @classmethod
     def zeros(cls, spark: SparkSession, shape: Sequence[int], dtype_: str | DType = "f64") -> TensorRel:

@@ -52,6 +52,6 @@ def test_eager_aggregation_and_broadcast_in_the_plan(spark):
 def test_dense_gram_takes_all_rows_in_blocks(spark, monkeypatch):
     rows = lambda name: sorted(tuple(r[c] for c in ("d0", "d1", "v")) for r in Q.queries()[name](spark, DIR).collect())
     want = rows("gram_W")
-    assert rows("gram_dense_all") == want
+    assert rows("gram_dense") == want
     monkeypatch.setattr(Q.dense, "CELLS", 4096)
-    assert rows("gram_dense_all") == want
+    assert rows("gram_dense") == want
