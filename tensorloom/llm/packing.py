@@ -29,13 +29,6 @@ SLICE_ROWS = 20_000
 COLUMNS = ("length", "bucket", "bucket_length", "batch", "padding")
 
 
-def bin_top(length: Column) -> Column:
-    """Largest length of the bin that holds length."""
-    bits = F.length(F.bin(length)) - 11
-    step = F.when(bits > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(bits, F.lit(0)).cast("int"))).otherwise(F.lit(1).cast("long"))
-    return F.ceil(length / step).cast("long") * step
-
-
 def boundaries(tops, counts, totals, buckets: int = BUCKETS) -> list[int]:
     """Upper bounds that minimise padding; tops ascending, counts and summed lengths for each bin.
 
@@ -87,30 +80,35 @@ def length_bounds(docs: DataFrame, length: Column, buckets: int = BUCKETS) -> tu
 
 
 def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """docs with length, bucket (from 0), bucket_length, batch (unique, from 0 in each bucket) and padding."""
+    """docs with length, bucket (from 0), bucket_length, batch (unique, from 0 in each bucket) and padding.
+
+    length is the number of words of `text` unless given, for example from token_counts. Columns of
+    docs keep their names; names that begin with __pack_ are used here.
+    """
     length = n_words(F.col("text")) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     bounds, n_docs = length_bounds(docs, length, buckets)
     slices = max(1, -(-n_docs // SLICE_ROWS))
     rest = [c for c in docs.columns if c not in COLUMNS]
-    d = docs.select(*rest, length.alias("__pack_length"))
+    digest = F.xxhash64(F.col(key))
+    d = docs.select(*rest, length.alias("__pack_length"), digest.alias("__pack_digest"), F.col(key).alias("__pack_key"))
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast(T.ArrayType(T.LongType()))
     # a sum, not a lambda over edges: a lambda would count the words anew for each edge
     bucket = sum(((F.col("__pack_length") > b).cast("int") for b in bounds), F.lit(0))
-    digest = F.xxhash64(F.col(key))
-    d = d.withColumns({"__pack_bucket": bucket, "__pack_slice": F.pmod(digest, F.lit(slices)), "__pack_digest": digest})
-    counts = d.groupBy(F.col("__pack_bucket").alias("b"), F.col("__pack_slice").alias("s")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("b", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("__pack_bucket", "__pack_slice").orderBy("__pack_digest", key, "__pack_length")
-    d = d.withColumn("__pack_rank", F.row_number().over(inside))
-    d = d.join(counts, (F.col("__pack_bucket") == F.col("b")) & (F.col("__pack_slice") == F.col("s")), "left")
+    # null and repeated ids are dealt by length too
+    slice_ = F.pmod(F.xxhash64("__pack_digest", "__pack_length"), F.lit(slices))
+    d = d.withColumns({"__pack_bucket": bucket, "__pack_slice": slice_})
+    counts = d.groupBy("__pack_bucket", "__pack_slice").agg(F.count("*").alias("__pack_n"))
+    before = Window.partitionBy("__pack_bucket").orderBy("__pack_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__pack_bucket", "__pack_slice", F.coalesce(F.sum("__pack_n").over(before), F.lit(0)).alias("__pack_base"))
+    inside = Window.partitionBy("__pack_bucket", "__pack_slice").orderBy("__pack_digest", "__pack_key", "__pack_length")
+    d = d.withColumn("__pack_rank", F.row_number().over(inside)).join(counts, ["__pack_bucket", "__pack_slice"], "left")
     top = F.coalesce(F.element_at(edges, F.col("__pack_bucket") + 1), F.lit(0).cast("long"))
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(top, F.lit(1))))
     return d.select(
-        *[d[c] for c in rest],
+        *rest,
         F.col("__pack_length").alias("length"),
         F.col("__pack_bucket").alias("bucket"),
         top.alias("bucket_length"),
-        F.floor((F.col("base") + F.col("__pack_rank") - 1) / each).cast("long").alias("batch"),
+        F.floor((F.col("__pack_base") + F.col("__pack_rank") - 1) / each).cast("long").alias("batch"),
         (top - F.col("__pack_length")).alias("padding"),
     )

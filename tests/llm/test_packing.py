@@ -59,10 +59,12 @@ def test_pack(spark, monkeypatch):
     assert sorted(map(str, P.pack(d, buckets=4, budget=600).collect())) == sorted(map(str, got))
 
 
-def test_long_lengths_share_bins(spark):
-    d = spark.createDataFrame([(x,) for x in (0, 1, 2047, 2048, 2049, 2050, 5000, 1_000_001)], "n long")
-    got = [(r.n, r.t) for r in d.select("n", P.bin_top(F.col("n")).alias("t")).collect()]
-    assert got == [(0, 0), (1, 1), (2047, 2047), (2048, 2048), (2049, 2050), (2050, 2050), (5000, 5000), (1_000_001, 1_000_448)]
+def test_columns_of_any_name(spark):
+    rows = [(i, "w " * (i % 7)) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS b", "1 AS s", "2 AS base", "3 AS n", "4 AS top")
+    got = P.pack(d, buckets=3).collect()
+    assert sorted(r.b for r in got) == list(range(40)) and {(r.s, r.base, r.n, r.top) for r in got} == {(1, 2, 3, 4)}
+    check(got, P.BUDGET)
 
 
 def test_empty(spark):
@@ -74,8 +76,26 @@ def test_query_over_documents(spark):
 
     d = "/root/testdata/sf0.001"
     got = queries()["op3_length_buckets"](spark, d).collect()
-    assert len(got) == table(spark, d, "documents").count()
+    docs = {r.doc_id: len((r.text or "").split()) for r in table(spark, d, "documents").collect()}
+    assert {r.doc_id: r.length for r in got} == docs and len(got) == len(docs)
     check(got, P.BUDGET)
+    assert sum(r.padding for r in got) == least_by_tables(list(docs.values()), P.BUCKETS)
+
+
+def least_by_tables(lengths, buckets):
+    """The least padding, by plain dynamic programming over all distinct lengths."""
+    tops = sorted(set(lengths))
+    n = {t: lengths.count(t) for t in tops}
+    best = [0] + [float("inf")] * len(tops)
+    for _ in range(buckets):
+        new = [0] + [float("inf")] * len(tops)
+        for j in range(1, len(tops) + 1):
+            padding = 0
+            for i in range(j - 1, -1, -1):
+                padding += n[tops[i]] * (tops[j - 1] - tops[i])
+                new[j] = min(new[j], best[i] + padding)
+        best = [min(a, b) for a, b in zip(best, new, strict=True)]
+    return best[-1]
 
 
 def test_long_lengths_have_least_padding(spark):
