@@ -41,7 +41,8 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 
     Each round links the neighbours of a node to the least of them, first those above it, then
     those below, until nothing changes; the number of rounds grows with the logarithm of the
-    number of nodes. Rounds are written to the shared folder.
+    number of nodes. Rounds are written to the shared folder. More than `most` rounds are an error:
+    what stands then is no answer.
     """
     spark = edges.sparkSession
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
@@ -64,5 +65,7 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"links still change after {most} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

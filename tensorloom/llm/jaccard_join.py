@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -63,12 +63,12 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def describe(size: int):
-    """For mapInArrow: (id, text) to (id, ent, n, hist)."""
+    """For mapInArrow: (id, rid, text) to (id, rid, ent, n, hist)."""
 
     def run(batches):
         for part, found in text_sets(batches, size):
-            columns = [part.column("id"), pa.array([identity(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s).tobytes() for s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "ent", "n", "hist"])
+            columns = [part.column("id"), part.column("rid"), pa.array([identity(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([histogram(s).tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "ent", "n", "hist"])
 
     return run
 
@@ -317,7 +317,7 @@ def compare_clusters(members: DataFrame, docs: DataFrame, entities: DataFrame, s
     """Links (u, v) among the sets of each cluster, for rows (ent, hub) that put them together."""
     clusters = components(members.select(F.col("hub").alias("u"), F.col("ent").alias("v"))).select(F.col("node").alias("ent"), F.col("root").alias("cluster"))
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = stage(clusters.join(entities.select("ent", F.col("rep").alias("id")), "ent").select("ent", "id"), "wanted")
+    wanted = stage(clusters.join(entities.select("ent", "rid"), "ent").select("ent", "rid"), "wanted")
     sets = stage(texts_of(docs, wanted).mapInArrow(make_sets(size), "ent long, shingles binary").dropDuplicates(["ent"]), "shingles")
     d = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
     d = d.join(sets, "ent").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -328,10 +328,9 @@ def compare_clusters(members: DataFrame, docs: DataFrame, entities: DataFrame, s
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ent, text) for the rows (id, ent) of wanted; a bounded number of ids is sent to all tasks."""
+    """(ent, text) for the rows (rid, ent) of wanted, rid standing for id and text; a bounded number of them is sent to all tasks."""
     few = wanted.count() <= SENT_IDS
-    wanted = wanted.select("ent", F.col("id").alias("wanted"))
-    return docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted"))).select("ent", "text")
+    return docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "rid").select("ent", "text")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, size: int, percent: int) -> DataFrame:
@@ -341,7 +340,7 @@ def verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, size: int, pe
     p = pairs.join(side("b", "nb", "y"), "b").join(side("a", "na", "x"), "a").where(near).select("a", "b", "na", "nb", "x", "y")
     p = stage(p.mapInArrow(may_be_similar(percent), "a long, b long"), "pairs")
 
-    wanted = p.select(F.col("a").alias("ent")).union(p.select(F.col("b").alias("ent"))).distinct().join(entities.select("ent", F.col("rep").alias("id")), "ent")
+    wanted = p.select(F.col("a").alias("ent")).union(p.select(F.col("b").alias("ent"))).distinct().join(entities.select("ent", "rid"), "ent").select("rid", "ent")
     sets = stage(texts_of(docs, stage(wanted, "wanted")).mapInArrow(make_sets(size), "ent long, shingles binary").dropDuplicates(["ent"]), "shingles")
     a = sets.select(F.col("ent").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("ent").alias("b"), F.col("shingles").alias("y"))
@@ -353,12 +352,22 @@ def verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, size: int, pe
     return out
 
 
+def row_id(key: str, text: str) -> Column:
+    """A number for a row's id and text."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) for each row of docs."""
+    return classes_by_row(docs, text, key, size, percent).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def classes_by_row(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, rid, n, class, component_id) for each row of docs; class is null for empty sets."""
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = stage(d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe(size), "id long, ent long, n long, hist binary"), "sets")
+    d = docs.select(F.col(key).cast("long").alias("id"), row_id(key, text).alias("rid"), F.col(text).alias("text"))
+    rows = stage(d.mapInArrow(describe(size), "id long, rid long, ent long, n long, hist binary"), "sets")
     counts = stage(d.select("text").mapInArrow(count_first(size, percent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "counts")
     total = rows.agg(F.coalesce(F.sum(2 * F.floor(F.col("n") * (100 - percent) / 100) + 2), F.lit(0))).collect()[0][0]
     often = F.col("n") >= max(FREQUENT, int(total) >> PART)
@@ -376,8 +385,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     found = stage(ones.union(two), "members")
     drop_staged(spark, signed, counts)
 
-    # the entities that share a signature, with the smallest id that has each
-    reps = rows.where("n > 0").groupBy("ent").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    # the entities that share a signature, with the smallest id that has each, and one row
+    reps = rows.where("n > 0").groupBy("ent").agg(F.min("id").alias("rep"), F.min("rid").alias("rid"), F.first("n").alias("n"))
     hists = rows.select("ent", "hist").join(found.select("ent").distinct(), "ent", "left_semi").dropDuplicates(["ent"])
     entities = stage(reps.join(hists, "ent"), "entities")
 
@@ -412,11 +421,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 
     named = reps.join(roots, reps["ent"] == roots["node"], "left").select("ent", "rep", F.coalesce("root", "ent").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(named.join(least, "root").select("ent", "component_id"), "classes")
+    named = stage(named.join(least, "root").select("ent", F.col("root").alias("class"), "component_id"), "classes")
     drop_staged(spark, found, entities, rest)
-    linked = rows.where("n > 0").join(named, "ent").select("id", "n", "component_id")
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    linked = rows.where("n > 0").join(named, "ent").select("id", "rid", "n", "class", "component_id")
+    alone = rows.where("n = 0").select("id", "rid", "n", F.lit(None).cast("long").alias("class"), F.col("id").alias("component_id"))
+    return linked.union(alone)
 
 
 def links_of(verified: DataFrame) -> DataFrame:
@@ -424,10 +433,20 @@ def links_of(verified: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document with the smallest id of each class, with the columns of docs.
+    """One row of each class, with the columns of docs: that with the smallest id, null ids last.
 
-    Rows with a null id have no place in the order and stay; of rows with one id one stays.
+    Of rows of a class with one id one stays, by a digest of the text; rows without words stay all.
     """
-    found = classes(docs, text, key).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__jj_id")).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(found.hint("shuffle_hash"), F.col(key) == F.col("__jj_id"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    rows = classes_by_row(docs, text, key)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    chosen = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(order).alias("row")).select(F.col("row.rid").alias("__jj_rid"))
+    copies = rows.groupBy("rid").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    chosen = chosen.join(copies, F.col("__jj_rid") == F.col("rid")).select("__jj_rid", (F.col("copies") > 1).alias("__jj_many"))
+    empty = copies.where("n = 0").select(F.col("rid").alias("__jj_rid"), F.lit(False).alias("__jj_many"))
+    chosen = stage(chosen.union(empty), "chosen")
+    kept = lambda some: docs.withColumn("__jj_rid", row_id(key, text)).join(some.hint("shuffle_hash"), "__jj_rid", "left_semi")
+    out = kept(chosen.where("NOT __jj_many"))
+    many = chosen.where("__jj_many")
+    if many.take(1):  # rows repeated in id and text
+        out = out.unionByName(kept(many).dropDuplicates(["__jj_rid"]))
+    return out.select(*docs.columns)

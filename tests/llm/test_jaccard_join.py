@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tensorloom.llm import components as C
 from tensorloom.llm import jaccard_join as J
@@ -131,9 +132,34 @@ def test_components(spark, monkeypatch, few):
 
 def test_one_of_each(spark):
     rows = near_copies(random.Random(3), 10)
-    d = spark.createDataFrame([*rows, rows[0], (None, "alone")], SCHEMA).selectExpr("*", "7 AS component_id")
+    alone = [f"{x} alone among all of the others here" for x in "abcdefg"]
+    extra = [rows[0], (None, alone[0]), (1000, alone[1]), (1000, alone[2]), (None, alone[3]), (None, alone[3]), (1001, alone[4]), (None, alone[4]), (None, ""), (1002, "")]
+    d = spark.createDataFrame([*rows, *extra], SCHEMA).selectExpr("*", "7 AS component_id", "8 AS rid", "9 AS class")
     kept = J.one_of_each(d)
     assert kept.columns == d.columns
-    want = sorted({c for _, _, c in brute(rows)})
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
-    assert kept.where("doc_id IS NULL").count() == 1
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    least = {c for _, _, c in brute(rows)}
+    assert sorted(i for i, _ in got if i is not None and i < 1000) == sorted(least)
+    rest = sorted(((i, t) for i, t in got if i is None or i >= 1000), key=str)
+    # unrelated texts of one id stay both, copies without ids become one, an id goes before none
+    assert rest == sorted([(None, alone[0]), (1000, alone[1]), (1000, alone[2]), (None, alone[3]), (1001, alone[4]), (None, ""), (1002, "")], key=str)
+
+
+def test_texts_without_ids_are_no_cross_product(spark):
+    """Null and repeated ids cost what own ids do: each row's text is fetched by the row, not by the id."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(30)) for _ in range(400)]
+    d = spark.createDataFrame([(None, t) for t in texts] + [(5, t + " k") for t in texts], SCHEMA)
+    docs = d.select(F.col("doc_id").alias("id"), J.row_id("doc_id", "text").alias("rid"), "text")
+    wanted = docs.select("rid").distinct().withColumn("ent", F.lit(1))
+    assert J.texts_of(docs, wanted).count() == len(set(texts)) * 2
+    assert J.one_of_each(d).count() == J.classes_by_row(d).select("class").distinct().count()
+
+
+def test_too_few_rounds_are_an_error(spark, monkeypatch):
+    from tensorloom.llm import components as M
+
+    monkeypatch.setattr(M, "FEW", 0)
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        M.components(path, most=1)
