@@ -1,14 +1,15 @@
 """Exact top-k search by inner product with ball trees.
 
-The vectors are dealt to shards; a shard builds a ball tree (centre and radius for each node) and
-answers a block of queries by branch and bound: a node's inner products are at most
+The vectors are dealt to shards; a ball tree (centre and radius for each node) is built of each shard
+once and written to the shared folder as a row, and so are the queries in blocks. Trees meet blocks by
+a join; a tree answers a block by branch and bound: a node's inner products are at most
 q.centre + |q| * radius, nodes are visited in descending order of that bound, and a query stops at
 nodes whose bound is below its current kth score. That score is shared: a first round in which
 each shard looks only into each query's most promising leaf gives every query a kth score over
-all shards, with which the second round starts; inside a task it is carried from shard to shard.
+all shards, with which the second round starts, so that it returns few rows beside the answers.
 
-Queries are taken in blocks of at most BLOCK, so what is broadcast is bounded; every block meets
-every row once. Results of a block are written to the shared folder.
+Trees are dealt to GROUPS groups and each block is sent to each group once; no vector passes through
+the driver, and a task holds one tree and one block at a time.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 vectors are compared with those of their own length only; ties go to the smaller id; repeated rows
@@ -20,12 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, ship
+from .common import drop_staged, ship, stage
 
 BLOCK = 4096
+GROUPS = 64
 LEAF = 128
 #: Rows of a shard.
 SHARD = 16_384
@@ -48,6 +51,27 @@ class BallTree:
         self.leaves = parts
         self.ids, self.x = ids, x
 
+    def to_row(self) -> dict:
+        """The tree as binary columns; vectors stand in the order of the leaves."""
+        order = np.concatenate(self.leaves)
+        sizes = np.array([len(p) for p in self.leaves], dtype=np.int64)
+        arrays = {"ids": self.ids[order], "x": self.x[order], "sizes": sizes, "centre": np.concatenate(self.centre), "radius": np.concatenate(self.radius)}
+        return {k: np.ascontiguousarray(v).tobytes() for k, v in arrays.items()}
+
+    @classmethod
+    def of_row(cls, row: dict, dim: int) -> BallTree:
+        of = lambda k, kind=np.float64: np.frombuffer(row[k], dtype=kind)
+        tree = cls.__new__(cls)
+        tree.ids, tree.x = of("ids", np.int64), of("x").reshape(-1, dim)
+        ends = np.cumsum(of("sizes", np.int64))
+        tree.leaves = [np.arange(b - n, b) for b, n in zip(ends.tolist(), of("sizes", np.int64).tolist(), strict=True)]
+        tree.levels = len(tree.leaves).bit_length() - 1
+        cuts = [(1 << level) - 1 for level in range(tree.levels + 2)]
+        centre, radius = of("centre").reshape(-1, dim), of("radius")
+        tree.centre = [centre[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        tree.radius = [radius[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return tree
+
     @staticmethod
     def split(part: np.ndarray, x: np.ndarray, centre: np.ndarray) -> list[np.ndarray]:
         """Halves by the direction between two points far from each other."""
@@ -141,17 +165,45 @@ def shards(batches, rows: int):
             yield np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
 
 
-def searcher(block, k: int, probe: bool):
-    """For mapInArrow: the task's best of each query of the block."""
+TREE = {"ids": pa.binary(), "x": pa.binary(), "sizes": pa.binary(), "centre": pa.binary(), "radius": pa.binary()}
+
+
+def build_trees(groups: int):
+    """For mapInArrow: (id, v) to trees of the task's vectors, dealt to groups."""
 
     def run(batches):
-        best = {n: Best(ids, q, kth, k) for n, (ids, q, kth) in block.value.items()}
+        made = TaskContext.get().partitionId()
         for ids, x in shards(batches, SHARD):
-            if x.shape[1] in best:
-                tree = BallTree(ids, x)
-                (best[x.shape[1]].probe if probe else best[x.shape[1]].search)(tree)
-        for b in best.values():
-            yield b.rows()
+            row = BallTree(ids, x).to_row()
+            yield pa.RecordBatch.from_arrays([pa.array([made % groups], pa.int32()), pa.array([x.shape[1]], pa.int32()), *(pa.array([row[k]], t) for k, t in TREE.items())], ["g", "dim", *TREE])
+            made += 1
+
+    return run
+
+
+def build_blocks(size: int):
+    """For mapInArrow: (id, v) of queries, v with the kth score so far behind, to blocks of at most size queries of one length."""
+
+    def run(batches):
+        for ids, x in shards(batches, size):
+            for i in range(0, len(ids), size):
+                arrays = ids[i : i + size], x[i : i + size, :-1], x[i : i + size, -1]
+                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1] - 1], pa.int32()), *(pa.array([np.ascontiguousarray(z).tobytes()], pa.binary()) for z in arrays)], ["dim", "qids", "q", "kth"])
+
+    return run
+
+
+def search(k: int, probe: bool):
+    """For mapInArrow: trees with blocks to the tree's best rows for each query."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_buffer() for name in (*TREE, "qids", "q", "kth")}
+                dim = batch.column("dim")[i].as_py()
+                best = Best(np.frombuffer(row["qids"], dtype=np.int64), np.frombuffer(row["q"]).reshape(-1, dim), np.frombuffer(row["kth"]), k)
+                (best.probe if probe else best.search)(BallTree.of_row(row, dim))
+                yield best.rows()
 
     return run
 
@@ -162,24 +214,12 @@ def usable(v: Column) -> Column:
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query, as one array."""
-    entry = F.struct((-F.col("score")).alias("minus"), "vec_id")
-    return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("top"))
-
-
-def query_blocks(queries: DataFrame, size: int):
-    """Blocks {length: (ids, matrix)} of at most size queries, streamed through the driver."""
-    held: list = []
-    for r in queries.toLocalIterator():
-        held.append((r["id"], r["v"]))
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+    """The k best rows of each query with their ranks; partitions keep their own k best before they are sent."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, block: int = BLOCK, groups: int = GROUPS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query, the k best other rows.
 
     Components count as floor(scale * x); scores are exact while sums of their products stay below
@@ -189,23 +229,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     ship(spark)
     d = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("is_query"))
     d = d.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("v", F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")))
-    rows = d.select("id", "v")
+    trees = stage(d.select("id", "v").mapInArrow(build_trees(groups), ", ".join(["g int, dim int", *(f"{c} binary" for c in TREE)])), "trees")
     queries = d.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
-    path = new_folder(spark, "top-k")
-    for held in query_blocks(queries, block):
-        by_length: dict[int, list] = {}
-        for r in held:
-            by_length.setdefault(len(r[1]), []).append(r)
-        parts = {n: (np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x], dtype=np.float64)) for n, x in by_length.items()}
-        start = {n: (ids, q, np.full(len(ids), -np.inf)) for n, (ids, q) in parts.items()}
-        probed = rows.mapInArrow(searcher(spark.sparkContext.broadcast(start), k, True), FOUND)
-        found = {r["query_id"]: r["kth"] for r in best_of(probed, k).where(F.size("top") == k).select("query_id", (-F.element_at("top", k)["minus"]).alias("kth")).collect()}
-        known = {n: (ids, q, np.array([found.get(int(i), -np.inf) for i in ids])) for n, (ids, q) in parts.items()}
-        exact = best_of(rows.mapInArrow(searcher(spark.sparkContext.broadcast(known), k, False), FOUND), k)
-        exact.select("query_id", F.posexplode("top")).select(
-            "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.minus")).alias("score")
-        ).write.mode("append").parquet(path)
-    schema = "query_id long, rank int, vec_id long, score long"
-    empty = spark.createDataFrame([], schema)
-    empty.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    queries = stage(queries, "queries")
+
+    def answers(asked: DataFrame, probe: bool) -> DataFrame:
+        blocks = asked.mapInArrow(build_blocks(block), "dim int, qids binary, q binary, kth binary")
+        blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return best_of(trees.join(blocks.hint("merge"), ["g", "dim"]).mapInArrow(search(k, probe), FOUND), k)
+
+    with_kth = lambda kth: F.concat("v", F.array(kth)).alias("v")
+    none = F.lit(float("-inf"))
+    kth = answers(queries.select("id", with_kth(none)), True).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
+    asked = stage(queries.join(kth, "id", "left").select("id", with_kth(F.coalesce("kth", none))), "asked")
+    out = stage(answers(asked, False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top-k")
+    drop_staged(spark, trees, queries, asked)
+    return out

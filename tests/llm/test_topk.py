@@ -51,6 +51,25 @@ def test_bounds_hold():
         assert ((q @ x[rows].T).max(axis=1) <= up[:, leaf]).all()
 
 
+def test_trees_as_rows():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 128, 129, 700):
+        x = np.floor(rng.standard_normal((n, 4)) * 50)
+        a = T.BallTree(rng.permutation(n), x, leaf=32)
+        b = T.BallTree.of_row(a.to_row(), 4)
+        assert a.levels == b.levels and [a.ids[p].tolist() for p in a.leaves] == [b.ids[p].tolist() for p in b.leaves]
+        assert all((p == q).all() for p, q in zip([*a.centre, *a.radius], [*b.centre, *b.radius], strict=True))
+        assert all((a.x[p] == b.x[q]).all() for p, q in zip(a.leaves, b.leaves, strict=True))
+
+
+def test_vectors_are_read_twice_however_many_blocks(spark, monkeypatch):
+    """Once for the trees, once for the queries; blocks meet trees by a join."""
+    built = []
+    monkeypatch.setattr(T, "build_trees", lambda g, of=T.build_trees: (built.append(g), of(g))[1])
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(300)]
+    assert run(spark, rows, block=1, groups=3) == brute(rows) and built == [3]
+
+
 def test_nodes_below_the_kth_score_are_not_visited():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((200, 4)) + 40 * c for c in np.eye(4)])
