@@ -32,6 +32,8 @@ from .common import ship
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = 0xFD2FB528
+#: Tasks that the copies of one payload are dealt to.
+SALTS = 16
 #: Size at which an archive is closed, and of a dictionary and of what it is trained on.
 ARCHIVE_BYTES = 4 << 20
 DICTIONARY_BYTES = 16 << 10
@@ -161,8 +163,10 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     d = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     content = F.encode(F.col("payload"), "utf-8")
     keys = {"sha": F.unhex(F.sha1(content)), "size": F.octet_length("payload")}
-    largest = d.select(*[v.alias(k) for k, v in keys.items()], "page_id").groupBy("sha", "size").agg(F.max("page_id").alias("largest"))
-    d = d.withColumns(keys).join(largest, ["sha", "size"])
+    # only digests that occur twice are joined, each in SALTS copies, so that one payload's pages go to many tasks
+    largest = d.select(*[v.alias(k) for k, v in keys.items()], "page_id").groupBy("sha", "size").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
+    largest = largest.where("n > 1").select("sha", "size", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    d = d.withColumns(keys).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(largest, ["sha", "size", "salt"], "left")
     refers = F.when((F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
     d = d.select("page_id", "url", "payload", refers.alias("refers_to")).sortWithinPartitions("page_id", "payload", "url")
     done = d.mapInArrow(write_batches(folder), "path string, records long, bytes long")
