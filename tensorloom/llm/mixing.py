@@ -11,7 +11,8 @@ share source, size and slice are numbered in one window.
 
 Defined results: null text or size counts 0 words; a null source is a source of its own, last in
 order; repeated rows are documents of their own; an empty table gives an empty result; columns
-of other names pass through mix(), which uses names with the prefix __mix_ for itself.
+of other names pass through mix(), which uses names with the prefix __mix_ for itself. All rows of
+a null id are ranked in one window for each source and size, on narrow rows that it can spill.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, stage
 
 #: Weights by position of the source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -62,16 +63,19 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / 65536.0
 
 
-def copies(docs: DataFrame, source: str = "source", size: Column | None = None, key: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """docs with __mix_size, __mix_source_size, __mix_target and __mix_copies (int, 0 to 2)."""
+def plan(docs: DataFrame, source: str = "source", size: Column | None = None, key: str = "doc_id", text: str | None = "text", seed: str = "mix") -> DataFrame:
+    """One narrow row for each row of docs: __mix_key, __mix_rid (of id and text), __mix_source, __mix_size, __mix_source_size, __mix_target, __mix_copies (int, 0 to 2).
+
+    Of documents with one id, source and size the order is by a digest of their texts. Sizes are
+    counted once and written to the shared folder.
+    """
     size = n_words(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    digest = F.md5(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "utf-8"))
-    d = docs.withColumns({"__mix_size": size, "__mix_source": F.col(source), "__mix_digest": digest})
-    d = d.withColumn("__mix_slice", F.conv(F.substring("__mix_digest", 1, 2), 16, 10).cast("int"))
+    rid = F.xxhash64(F.col(key), F.col(text)) if text in docs.columns else F.xxhash64(F.col(key))
+    d = stage(docs.select(F.col(key).alias("__mix_key"), rid.alias("__mix_rid"), F.col(source).alias("__mix_source"), size.alias("__mix_size")), "sizes")
+    digest = F.md5(F.encode(F.coalesce(F.col("__mix_key").cast("string"), F.lit("")), "utf-8"))
+    d = d.withColumn("__mix_digest", digest).withColumn("__mix_slice", F.conv(F.substring("__mix_digest", 1, 2), 16, 10).cast("int"))
 
-    small = d.select(
-        F.col("__mix_source").alias("source"), F.col("__mix_size").alias("size"), F.col("__mix_slice").alias("slice")
-    )
+    small = d.select(F.col("__mix_source").alias("source"), F.col("__mix_size").alias("size"), F.col("__mix_slice").alias("slice"))
     slices = small.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
     sizes = small.groupBy("source", "size").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -82,7 +86,7 @@ def copies(docs: DataFrame, source: str = "source", size: Column | None = None,
     )
     t = targets(totals).select("source", F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
 
-    order = [F.col("__mix_digest"), F.col(key)]
+    order = [F.col("__mix_digest"), F.col("__mix_key"), F.col("__mix_rid")]
     d = d.withColumn(
         "__mix_in_slice",
         F.row_number().over(Window.partitionBy("__mix_source", "__mix_size", "__mix_slice").orderBy(*order)),
@@ -96,10 +100,25 @@ def copies(docs: DataFrame, source: str = "source", size: Column | None = None,
     d = d.withColumns({"__mix_rank": rank, "__mix_rate": rate, "__mix_u": offset(F.col("__mix_source"), seed)})
     up_to_rank = lambda i: F.floor(i * F.col("__mix_rate") + F.col("__mix_u"))
     crossed = up_to_rank(F.col("__mix_rank")) - up_to_rank(F.col("__mix_rank") - 1)
-    return d.select(*docs.columns, "__mix_size", "__mix_source_size", "__mix_target", F.least(crossed, F.lit(MOST)).cast("int").alias("__mix_copies"))
+    return d.select("__mix_key", "__mix_rid", "__mix_source", "__mix_size", "__mix_source_size", "__mix_target", F.least(crossed, F.lit(MOST)).cast("int").alias("__mix_copies"))
 
 
-def mix(docs: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each row of docs as many times as it is taken, with the columns of docs."""
-    d = copies(docs, source, key=key)
-    return d.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The mixed corpus: each row of docs as many times as it is taken, with the columns of docs.
+
+    Ranks are found on narrow rows; texts are moved once. Rows repeated in id and text share out their copies
+    in the order of their other columns' digest.
+    """
+    found = plan(docs, source, key=key, text=text).groupBy("__mix_rid").agg(F.sort_array(F.collect_list("__mix_copies"), asc=False).alias("__mix_each"))
+    found = stage(found.where(F.element_at("__mix_each", 1) > 0), "copies")
+    again = lambda n: F.explode(F.array_repeat(F.lit(1), n)).alias("__mix_copy")
+    some = docs.withColumn("__mix_rid", F.xxhash64(F.col(key), F.col(text)))
+    taken = lambda f: some.join(f.hint("shuffle_hash"), "__mix_rid")
+    one = F.size("__mix_each") == 1
+    out = taken(found.where(one)).select(*docs.columns, again(F.element_at("__mix_each", 1)))
+    if found.where(~one).take(1):
+        rest = [c for c, t in docs.dtypes if not t.startswith("map")]
+        order = Window.partitionBy("__mix_rid").orderBy(F.xxhash64(*rest))
+        many = taken(found.where(~one)).withColumn("__mix_i", F.row_number().over(order))
+        out = out.unionAll(many.select(*docs.columns, again(F.element_at("__mix_each", F.col("__mix_i")))))
+    return out.select(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS
+from .common import SEPARATORS, stage
 
 LEAST_WORDS = 50
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -181,6 +181,11 @@ def judge(with_features: DataFrame, model: dict) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass, with the columns of docs."""
+    """The documents that pass, with the columns of docs.
+
+    Features are found once and written to the shared folder with the rows that the base rule passes;
+    the others count for the model by their votes alone.
+    """
     d = features(docs, text)
+    d = stage(d.select(*[F.when(~base_failed(F.col("__q_f")), F.col(c)).alias(c) for c in docs.columns], "__q_f"), "features")
     return judge(d, fit(d)).where("__q_kept").select(*docs.columns)

@@ -74,9 +74,9 @@ def op9_token_combinations(spark, sf_dir):
 
 
 def op10_systematic_mix(spark, sf_dir):
-    d = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    d = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select(
-        "doc_id",
+        F.col("__mix_key").alias("doc_id"),
         F.col("__mix_size").alias("size"),
         F.col("__mix_source_size").alias("source_size"),
         F.col("__mix_target").alias("target"),

@@ -43,7 +43,7 @@ def test_copies(spark, monkeypatch):
     rows = [(i, rng.choice(["big", "big", "big", "mid", "x", None]), rng.choice([None, "", " \t", "w " * rng.randint(1, 40)])) for i in range(600)]
     rows += [(700, "mid", "same row")] * 3 + [(None, "mid", "no id"), (None, None, None)]
     d = documents(spark, rows)
-    got = M.copies(d).collect()
+    got = M.plan(d).withColumnsRenamed({"__mix_key": "doc_id", "__mix_source": "source"}).collect()
     words = lambda t: len((t or "").split())
     assert sorted(map(str, ((r.doc_id, r["__mix_size"]) for r in got))) == sorted(map(str, ((i, words(t)) for i, _, t in rows)))
     sizes = {}
@@ -59,7 +59,7 @@ def test_copies(spark, monkeypatch):
         assert abs(n - rate * len(of)) < 1 + 1e-9  # one boundary for each whole copy expected
         assert all(int(rate) <= r["__mix_copies"] <= 2 and r["__mix_copies"] <= int(rate) + 1 for r in of)
         assert abs(sum(r["__mix_copies"] * r["__mix_size"] for r in of) - want[s]) <= max(r["__mix_size"] for r in of) + 1e-9
-    again = M.copies(d.repartition(5)).collect()
+    again = M.plan(d.repartition(5)).withColumnsRenamed({"__mix_key": "doc_id", "__mix_source": "source"}).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
@@ -67,7 +67,7 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
     d = documents(spark, [(i, "a" if i % 4 else "b", "word " * (i + 1)) for i in range(40)])
     out = M.mix(d)
     assert out.columns == d.columns
-    taken = {r.doc_id: r["__mix_copies"] for r in M.copies(d).collect()}
+    taken = {r.doc_id: r["__mix_copies"] for r in M.plan(d).withColumnsRenamed({"__mix_key": "doc_id", "__mix_source": "source"}).collect()}
     found = {}
     for r in out.collect():
         found[r.doc_id] = found.get(r.doc_id, 0) + 1
@@ -75,6 +75,17 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
 
 
 def test_empty_and_wordless(spark):
-    assert M.copies(documents(spark, [])).count() == 0
-    got = M.copies(documents(spark, [(1, "a", None), (2, None, "")])).collect()
+    assert M.plan(documents(spark, [])).count() == 0
+    got = M.plan(documents(spark, [(1, "a", None), (2, None, "")])).collect()
     assert [(r["__mix_size"], r["__mix_target"], r["__mix_copies"]) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_of_one_id_differ_by_text(spark):
+    """Which text is repeated doesn't depend on how rows are dealt; rows repeated in full share out their copies."""
+    rows = [(7, "a", f"x{i} y") for i in range(9)] + [(8, "a", "z z")] * 5 + [(9, "b", "w " * 50)]
+    d = documents(spark, rows)
+    key = lambda df: sorted(map(str, df.collect()))
+    got = M.mix(d)
+    assert got.columns == d.columns and key(got) == key(M.mix(d.repartition(4)))
+    n = sum(r["__mix_copies"] for r in M.plan(d).collect())
+    assert got.count() == n and got.where("doc_id = 8").count() == sum(r["__mix_copies"] for r in M.plan(d).where("__mix_key = 8").collect())

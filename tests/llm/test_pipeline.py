@@ -28,7 +28,7 @@ def test_stages_one_by_one(spark):
     assert all(n == gone or i in {r.doc_id for r in c.collect()} or n - gone < 10 for i, (n, gone) in counts.items())
 
     e = step[3](spark, c, d).cache()
-    assert e.columns == docs.columns and e.count() == sum(r["__mix_copies"] for r in mixing.copies(c).collect())
+    assert e.columns == docs.columns and e.count() == sum(r["__mix_copies"] for r in mixing.plan(c).collect())
     f = step[4](spark, e, d)
     assert f.count() == e.count() and set(packing.COLUMNS) < set(f.columns)
 
