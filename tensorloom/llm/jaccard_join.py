@@ -15,9 +15,9 @@ whose members aren't in one component yet, with the hubs of other components. A
 if the histograms of its sets by hash leave no room for a large enough intersection; the others
 are verified by exact intersection. Signatures whose members are in several components still are compared exactly: in those of up to
 GROUP members the pairs that cross components are verified in the same way; members of larger
-ones, and of those of frequent shingles, are joined to clusters, a cluster is dealt to blocks of
-about BLOCK sets, and each two blocks are compared in a task of their own, which returns a forest
-of their links. So all links either are verified or lie inside a component.
+ones, and of those of frequent shingles, are joined to clusters, a cluster is dealt by size to
+blocks of bounded bytes, and each two blocks whose sizes allow links are compared in a task of their
+own, which returns a forest of their links. So all links either are verified or lie inside a component.
 
 Frequent shingles are found by counting, over all documents, the first 2 (e + 1) shingles of each
 by hash, which leaves room for the shingles that move back, and those that occur three times among
@@ -33,6 +33,8 @@ component's id is its smallest id, null ids not counting; an empty table gives a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,9 +52,10 @@ PART = 21
 GATHERED = 1_000_000
 #: Up to so many ids are sent to all tasks to pick out texts; more are joined by a shuffle.
 SENT_IDS = 500_000
-#: Members of a signature that are paired one by one; sets in a block.
+#: Members of a signature that are paired one by one; sets and shingles in a block.
 GROUP = 64
-BLOCK = 256
+BLOCK = 1024
+HELD = 1 << 19
 #: Shingles in a chunk of a block's incidence matrix.
 COLUMNS = 4096
 
@@ -314,16 +317,26 @@ def compare_blocks(percent: int):
 
 
 def compare_clusters(members: DataFrame, docs: DataFrame, entities: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) among the sets of each cluster, for rows (ent, hub) that put them together."""
+    """Links (u, v) among the sets of each cluster, for rows (ent, hub) that put them together.
+
+    A cluster's sets are dealt to tiers by size, so wide that similar sets lie in one tier or in two
+    neighbouring ones, and a tier's to blocks of at most about BLOCK sets and HELD shingles. Blocks
+    meet those of their own tier and its neighbours.
+    """
     clusters = components(members.select(F.col("hub").alias("u"), F.col("ent").alias("v"))).select(F.col("node").alias("ent"), F.col("root").alias("cluster"))
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = stage(clusters.join(entities.select("ent", "rid"), "ent").select("ent", "rid"), "wanted")
-    sets = stage(texts_of(docs, wanted).mapInArrow(make_sets(size), "ent long, shingles binary").dropDuplicates(["ent"]), "shingles")
-    d = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int"))
-    d = d.join(sets, "ent").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.select("ent", "shingles", "cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    width = math.log(100 / percent) + 1e-9  # more than the rounding of logarithms
+    tier = F.floor(F.log("n") / width).cast("long")
+    clusters = stage(clusters.join(entities.select("ent", "rid", "n"), "ent").withColumn("tier", tier), "clusters")
+    blocks = clusters.groupBy("cluster", "tier").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HELD)).cast("long").alias("blocks"))
+    sets = stage(texts_of(docs, clusters.select("rid", "ent")).mapInArrow(make_sets(size), "ent long, shingles binary").dropDuplicates(["ent"]), "shingles")
+    place = lambda block: F.shiftleft("tier", 32) + block
+    d = clusters.join(blocks, ["cluster", "tier"]).select("ent", "cluster", "tier", place(F.pmod(F.xxhash64("ent"), F.col("blocks"))).alias("own"))
+    d = d.join(sets, "ent").withColumn("tier", F.explode(F.array(F.col("tier") - 1, "tier", F.col("tier") + 1))).join(blocks, ["cluster", "tier"])
+    d = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    other = place(F.col("block"))
+    d = d.select("ent", "shingles", "cluster", F.least("own", other).alias("x"), F.greatest("own", other).alias("y"))
     out = stage(d.groupBy("cluster", "x", "y").applyInArrow(compare_blocks(percent), "u long, v long"), "links")
-    drop_staged(docs.sparkSession, sets)
+    drop_staged(docs.sparkSession, sets, clusters)
     return out
 
 

@@ -163,3 +163,23 @@ def test_too_few_rounds_are_an_error(spark, monkeypatch):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
     with pytest.raises(RuntimeError):
         M.components(path, most=1)
+
+
+def test_clusters_in_many_blocks(spark, monkeypatch):
+    """Texts of lines from one pool chain to clusters by the lines they share; sizes differ by more than a tier."""
+    for name, value in (("FREQUENT", 2), ("GROUP", 2), ("BLOCK", 3), ("HELD", 200)):
+        monkeypatch.setattr(J, name, value)
+    met = []
+    compare = J.compare_clusters
+    monkeypatch.setattr(J, "compare_clusters", lambda members, *rest: met.append(members.count()) or compare(members, *rest))
+    rng = random.Random(11)
+    pool = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(12)]
+    rows = []
+    for n in (2, 3, 4, 5, 6, 9, 12) * 6:
+        lines = rng.sample(pool, n)
+        rows.append((len(rows), " ".join(lines)))
+        if rng.random() < 0.5:
+            rows.append((len(rows), " ".join([*lines[:-1], lines[-1][:-4]])))
+    want = brute(rows)
+    assert run(spark, rows) == want and met[0] > 10
+    assert 10 < len({c for _, _, c in want}) < len(rows)
