@@ -326,12 +326,12 @@ def remove(names: list[str], length: int, kept_text: bool):
             for t, marks in zip(batch.column("__sd_text"), batch.column("__sd_marks"), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 ranges = cover([(m["first"], m["spans"]) for m in marks.as_py() or []], length)
-                left = b"".join(raw[x:y] for x, y in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(raw)], strict=True)) if ranges else raw
+                left = [raw[x:y] for x, y in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(raw)], strict=True)]
                 out["n_bytes"].append(len(raw))
-                out["n_removed"].append(len(raw) - len(left))
+                out["n_removed"].append(len(raw) - sum(map(len, left)))
                 out["n_spans"].append(len(ranges))
-                # a window may start or end within a character, of which the rest goes from the text
-                out["kept"].append(left.decode("utf-8", "ignore") if kept_text else hashlib.sha256(left).hexdigest())
+                # a window may start or end within a character, of which the rest goes from the text; halves of two don't make one
+                out["kept"].append("".join(x.decode("utf-8", "ignore") for x in left) if kept_text else hashlib.sha256(b"".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(names))), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.string())],
                 [*names, "__sd_n_bytes", "__sd_n_removed", "__sd_n_spans", "__sd_kept"],

@@ -119,3 +119,12 @@ def test_query(spark):
     rows = table(spark, d, "documents").collect()
     got = sorted(tuple(r) for r in queries()["op6_suffix_array"](spark, d).collect())
     assert got == sorted((r.doc_id, *w) for r, w in zip(rows, removed([(r.text or "").encode() for r in rows], 200), strict=True))
+
+
+def test_halves_of_characters_make_none(spark):
+    """A passage that begins and ends within characters takes them whole, though their outer halves would make a letter."""
+    passage = "".join(f"{i:04d} " for i in range(60))
+    texts = [f"a é{passage}é z", f"b ĩ{passage}è y"]  # the bytes A9 before and C3 after the passage are shared
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r["__sd_kept"], r["__sd_n_bytes"], r["__sd_n_removed"]) for r in S.remove_repeats(d).collect()}
+    assert got == {0: ("a  z", 308, 302), 1: ("b  y", 308, 302)}
