@@ -183,3 +183,13 @@ def test_clusters_in_many_blocks(spark, monkeypatch):
     want = brute(rows)
     assert run(spark, rows) == want and met[0] > 10
     assert 10 < len({c for _, _, c in want}) < len(rows)
+
+
+def test_query_against_enumeration(spark):
+    """The query over the whole small table against all pairs."""
+    from tensorloom.llm.queries import queries, table
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in table(spark, d, "documents").collect()]
+    got = queries()["op9_token_combinations"](spark, d).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)

@@ -78,3 +78,33 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out and truth[r.doc_id]]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def ranked(counts):
+    """The 300 most frequent n-grams; ties: pairs, letters, triples, each by code points with the blank first."""
+    order = lambda g: (-counts[g], (2, 1, 3).index(len(g)), [0 if c == " " else ord(c) for c in g])
+    return {g: i for i, g in enumerate(sorted(counts, key=order)[:300])}
+
+
+def test_query_against_strings(spark):
+    """The query's predictions and scores over the whole small table, by ranks of strings."""
+    from tensorloom.llm.queries import queries, table
+
+    d = "/root/testdata/sf0.001"
+    rows = table(spark, d, "documents").collect()
+    learned = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            total = learned.setdefault(r.lang, {})
+            for g, n in brute(r.text).items():
+                total[g] = total.get(g, 0) + n
+    profiles = {lang: ranked(learned[lang]) for lang in sorted(learned)}
+    want = {}
+    for r in rows:
+        own = ranked(brute(r.text or ""))
+        away = {lang: sum(abs(i - p[g]) if g in p else 300 for g, i in own.items()) for lang, p in profiles.items()}
+        best = min(away, key=away.get) if own else "und"
+        want[r.doc_id] = (best, 1 - away[best] / (300 * len(own)) if own else 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries()["op1_rank_order"](spark, d).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i][1] - s) < 1e-12 for i, (_, s) in want.items())

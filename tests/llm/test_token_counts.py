@@ -63,3 +63,24 @@ def test_a_full_memory_of_words_keeps_counts_right(spark, monkeypatch):
         count = T.counter(f.read(), True)
     texts = ["one two three", "two three four", "five one", "one two three four five six", ""] * 3
     assert count(texts) == [n for t in texts for n in count([t])] == library("word_bpe_49k.json", texts)
+
+
+def test_texts_without_ids_are_no_cross_product(spark):
+    """A miss meets its text by id and digest, so rows that share an id or have none don't meet each other."""
+    d = spark.createDataFrame([(None, f"text {i}") for i in range(300)] + [(5, f"text {i} more") for i in range(300)], SCHEMA)
+    cache = new_folder(spark, "cache")
+    got = T.token_counts(d, str(P.path("word_bpe_49k.json")), cache, separable=True)
+    texts = [r.text for r in d.collect()]
+    assert sorted(r.n_tokens for r in got.collect()) == sorted(library("word_bpe_49k.json", texts))
+    assert T.open_cache(spark, cache).count() == 600
+
+
+def test_query_counts_are_the_library_s(spark):
+    """The query over the whole small table against the library."""
+    from tensorloom.llm.queries import queries, table
+
+    d = "/root/testdata/sf0.001"
+    rows = table(spark, d, "documents").collect()
+    want = sorted(zip([r.doc_id for r in rows], library("word_bpe_49k.json", [r.text for r in rows]), strict=True))
+    got = queries()["op2_digest_cache"](spark, d).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == want and all(r.over_limit == (r.n_tokens > 2048) for r in got)
