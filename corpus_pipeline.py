@@ -34,7 +34,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     left go; n_chars is counted anew.
     """
     d = suffix_dedup.remove_repeats(docs)
-    d = d.where((F.col("__sd_n_removed") == 0) | (F.length(F.trim("__sd_kept")) > 0))
+    d = d.where((F.col("__sd_n_removed") == 0) | (F.length(F.trim("__sd_kept", F.lit(quality.BLANKS))) > 0))
     values = {"text": F.col("__sd_kept"), "n_chars": F.length("__sd_kept").cast("long")}
     same = F.col("__sd_n_removed") == 0
     return d.select(*[F.when(same, F.col(c)).otherwise(values[c]).alias(c) if c in values else F.col(c) for c in docs.columns])
