@@ -6,7 +6,9 @@ windows with one smallest substring form pieces; pieces whose substring occurs e
 candidates. A substring in very many different pieces is hot: its pieces are cut by the distance
 from window to substring, eight distances to a part, and dealt by substring, distance and the
 bytes that all windows of the part share, so that parts with the same surroundings collapse to one
-text with a count. Text of each different piece is then cut once.
+text with a count. Text of each different piece is then cut once. From how many pieces a substring
+is hot doesn't depend on the input; up to SENT hot ones are sent to all tasks, more are joined to
+the rows that hold them.
 
 In a shard the texts are joined and sorted by suffix to depth 256 at least `length`; on the
 Burrows-Wheeler transform intervals of patterns are extended to the left breadth-first: all
@@ -37,8 +39,10 @@ from .hashing import Rolling, mixed, text_groups
 LENGTH = 200
 GRAM = 32
 PART = 8
-#: Different pieces from which a substring is hot; more in large inputs, so that at most 2^16 are.
+#: A substring in more different pieces is hot; more hot ones than SENT are dealt out by a join, each to SALTS places.
 HOT = 512
+SENT = 1 << 16
+SALTS = 32
 SHARD_BYTES = 1 << 20
 
 
@@ -96,15 +100,19 @@ def count_pieces(length: int):
     return run
 
 
-def list_pieces(length: int, hot):
-    """For mapInArrow: (rid, text) to (rid, first, last, h, key, c); pieces of hot substrings in parts."""
+def list_pieces(length: int, hot=None):
+    """For mapInArrow: (rid, text) to (rid, first, last, h, key, c); pieces of hot substrings in parts.
+
+    hot is sent, or each row has its own hot substrings in a column `hot`.
+    """
 
     def run(batches):
-        known = np.sort(np.array(hot.value, dtype=np.int64).view(np.uint64))
+        sent = None if hot is None else np.sort(np.array(hot.value, dtype=np.int64).view(np.uint64))
         for part, buf, offsets in text_groups(batches):
             row, first, last, p, h, rolling = runs(buf, offsets, length)
             if not len(h):
                 continue
+            known = np.unique(part.column("hot").flatten().to_numpy(zero_copy_only=False).view(np.uint64)) if sent is None else sent
             key = h
             if len(known):
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -122,6 +130,22 @@ def list_pieces(length: int, hot):
     return run
 
 
+def list_held(length: int):
+    """For mapInArrow: (rid, text) to (rid, h), the different substrings that deal out a row's pieces."""
+
+    def run(batches):
+        for part, buf, offsets in text_groups(batches):
+            row, _, _, _, h, _ = runs(buf, offsets, length)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            rid = part.column("rid").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[row[new]], pa.int64()), signed(h[new])], ["rid", "h"])
+
+    return run
+
+
 def cut(row, first, last, p, h, is_hot, rolling, length):
     """Replace hot pieces by their parts, with keys of their own."""
     i = np.flatnonzero(is_hot)
@@ -340,6 +364,15 @@ def remove(names: list[str], length: int, kept_text: bool):
     return run
 
 
+def with_hot(d: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """(rid, text, hot) for the rows of d: the substrings of hot that deal out pieces of the row."""
+    salt = F.pmod("rid", F.lit(SALTS))
+    held = d.mapInArrow(list_held(length), "rid long, h long").withColumn("salt", salt)
+    dealt = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = held.join(dealt, ["h", "salt"]).groupBy("rid").agg(F.collect_set("h").alias("hot"))
+    return d.join(own.hint("shuffle_hash"), "rid", "left").select("rid", "text", "hot")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, kept_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs, __sd_n_bytes, __sd_n_removed, __sd_n_spans and __sd_kept.
 
@@ -354,13 +387,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
     counted = d.select("text").mapInArrow(count_pieces(length), "h long, c long, n long").groupBy("h", "c").agg(F.sum("n").alias("n"))
     repeats = stage(counted.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("pieces")).where("n >= 2").select("h", "pieces"), "repeats")
-    total = repeats.agg(F.coalesce(F.sum("pieces"), F.lit(0)).alias("n")).collect()[0]["n"]
-    hot = [r["h"] for r in repeats.where(F.col("pieces") > max(HOT, total >> 16)).select("h").collect()]
-
-    listed = d.mapInArrow(list_pieces(length, spark.sparkContext.broadcast(hot)), "rid long, first long, last long, h long, key long, c long")
+    hot = repeats.where(F.col("pieces") > HOT).select("h")
+    any_hot = hot.count()
+    schema = "rid long, first long, last long, h long, key long, c long"
+    if any_hot <= SENT:
+        listed = d.mapInArrow(list_pieces(length, spark.sparkContext.broadcast([r["h"] for r in hot.collect()])), schema)
+    else:
+        listed = with_hot(d, hot, length).mapInArrow(list_pieces(length), schema)
     listed = stage(listed.join(repeats.select("h"), "h").select("rid", "first", "last", "key", "c"), "pieces")
     different = listed.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "first", "last")).alias("at"))
-    if hot:
+    if any_hot:
         keys = listed.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2").select("key")
         different = different.join(keys, "key")
     wanted = different.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("at.first").alias("first"), F.col("at.last").alias("last"), "key", "c", "m")).alias("at"))

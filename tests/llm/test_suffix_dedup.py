@@ -85,9 +85,10 @@ def check(spark, texts, length=200, ids=None):
     assert sorted(((r.doc_id, r["__sd_n_bytes"], r["__sd_n_removed"], r["__sd_n_spans"], r["__sd_kept"]) for r in got), key=key) == sorted(((i, *w) for i, w in zip(ids, want, strict=True)), key=key)
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_rows(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,sent", [(512, 1 << 16), (1, 1 << 16), (1, 0)])
+def test_rows(spark, monkeypatch, hot, sent):
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "SENT", sent)
     rng = random.Random(9)
     prose = lambda n: " ".join("".join(rng.choices("abcdeéß", k=rng.randint(1, 8))) for _ in range(n))
     passage, line = prose(60), prose(12) + "\n"
