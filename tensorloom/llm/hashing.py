@@ -1,4 +1,8 @@
-"""Rolling hashes of byte strings in numpy, by prefix sums modulo 2^64."""
+"""Rolling hashes of byte strings in numpy: polynomials modulo the prime 2^61 - 1, by prefix sums.
+
+A polynomial modulo 2^64 has strings that collide whatever its base (Thue-Morse words and their
+complements); modulo a prime two different strings of n bytes collide for at most n of all bases.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,38 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-#: A random odd number for each byte value.
-BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRIME = (1 << 61) - 1
+P = np.uint64(PRIME)
+BASE = 0x9E3779B97F4A7C15 % PRIME
+INVERSE = pow(BASE, -1, PRIME)
+#: Positions whose powers stand in a table; powers beyond are products of two.
+TABLE = 1 << 20
+STEP = 1 << 13
+LOW29, LOW30, LOW31, LOW32 = (np.uint64((1 << k) - 1) for k in (29, 30, 31, 32))
+S29, S30, S31, S32, S61 = (np.uint64(k) for k in (29, 30, 31, 32, 61))
+ONE = np.uint64(1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & P) + (x >> S61)
+    return np.minimum(x, x - P)  # the difference wraps around where x is the less
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers a below 2^62 and b below the prime."""
+    a1, a0, b1, b0 = a >> S31, a & LOW31, b >> S31, b & LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= b1
+    a1 <<= ONE
+    a0 *= b0
+    a1 += a0
+    a1 += middle >> S30
+    middle &= LOW30
+    middle <<= S31
+    a1 += middle
+    return reduced(a1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -24,35 +56,72 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(max(n, 1), dtype=np.uint64)
-    m = 1
-    while m < n:
-        k = min(m, n - m)
-        out[m : m + k] = out[:k] * np.uint64(pow(base, m, 1 << 64))
-        m += k
-    return out
+class Powers:
+    """Powers of a base modulo the prime: a table of TABLE of them and one of its multiples."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.low, self.high = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+
+    def grown(self, table: np.ndarray, base: int, n: int) -> np.ndarray:
+        while len(table) < n:
+            table = np.concatenate([table, times(table, np.uint64(pow(base, len(table), PRIME)))])
+        return table
+
+    def reach(self, n: int) -> None:
+        """Make powers below n ready."""
+        self.low = self.grown(self.low, self.base, min(n, TABLE))
+        self.high = self.grown(self.high, pow(self.base, TABLE, PRIME), -(-n // TABLE))
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        if len(self.high) == 1:
+            return self.low[i]
+        return times(self.low[i % TABLE], self.high[i // TABLE])
+
+    def stretch(self, a: int, b: int) -> np.ndarray:
+        """Powers a to b - 1, all below or all above each multiple of TABLE."""
+        out = self.low[a % TABLE : a % TABLE + b - a]
+        return out if a < TABLE else times(out, self.high[a // TABLE])
+
+
+UP, DOWN = Powers(BASE), Powers(INVERSE)
 
 
 class Rolling:
     """Hashes of substrings of one buffer."""
 
-    _up = _down = np.ones(1, dtype=np.uint64)
-
     def __init__(self, buf: np.ndarray):
-        if len(Rolling._up) <= len(buf):
-            Rolling._up, Rolling._down = powers(BASE, 2 * len(buf) + 2), powers(INVERSE, 2 * len(buf) + 2)
-        self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(BYTES[buf] * Rolling._up[: len(buf)], out=self.sums[1:])
+        n = len(buf)
+        UP.reach(n + 1)
+        DOWN.reach(n + 1)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        before = np.uint64(0)
+        for a in range(0, n, STEP):
+            b = min(n, a + STEP)
+            up, c = UP.stretch(a, b), buf[a:b].astype(np.uint64) + ONE
+            low, high = np.cumsum(c * (up & LOW32)), np.cumsum(c * (up >> S32))
+            low += high >> S29
+            high &= LOW29
+            high <<= S32
+            low += high
+            low += before
+            self.sums[a + 1 : b + 1] = reduced(low)
+            before = self.sums[b]
 
     def of(self, start, end) -> np.ndarray:
         """Hashes of [start, end), arrays of positions."""
-        h = (self.sums[end] - self.sums[start]) * Rolling._down[start]
-        return mixed(h + (np.asarray(end) - np.asarray(start)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        start, end = np.asarray(start), np.asarray(end)
+        h = times(self.sums[end] + (P - self.sums[start]), DOWN.at(start))
+        return mixed(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mixed((self.sums[k:] - self.sums[:-k]) * Rolling._down[:n]) if n > 0 else np.empty(0, dtype=np.uint64)
+        """Hashes of all substrings of k bytes."""
+        n = max(0, len(self.sums) - k)
+        out = np.empty(n, dtype=np.uint64)
+        for a in range(0, n, STEP):
+            b = min(n, a + STEP)
+            out[a:b] = mixed(times(self.sums[a + k : b + k] + (P - self.sums[a:b]), DOWN.stretch(a, b)))
+        return out
 
 
 @functools.cache

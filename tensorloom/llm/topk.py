@@ -12,9 +12,10 @@ Trees are dealt to GROUPS groups and each block is sent to each group once; no v
 the driver, and a task holds one tree and one block at a time.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
-vectors are compared with those of their own length only; ties go to the smaller id; repeated rows
-are candidates of their own, but a row is no candidate for queries with its own id; empty tables
-give empty results.
+vectors are compared with those of their own length only; ties go to the smaller id; rows that share an
+id are queries and candidates of their own, and a query leaves out one row only, its own (of rows alike
+in id and vector it doesn't matter which); empty tables give empty results. Scores that may not fit
+into 2^53, where doubles stop being exact, are an error.
 """
 
 from __future__ import annotations
@@ -80,6 +81,12 @@ class BallTree:
         by = np.argsort(x @ (a - b), kind="stable")
         return [part[by[: len(by) // 2]], part[by[len(by) // 2 :]]]
 
+    def check(self, norms: np.ndarray) -> None:
+        """Every partial sum of a score is at most the product of two norms."""
+        longest = np.sqrt((self.centre[0][0] ** 2).sum()) + self.radius[0][0]
+        if norms.max(initial=0.0) * longest >= 2.0**53:
+            raise ValueError("inner products of these vectors may exceed 2^53")
+
     def bounds(self, level: int, q: np.ndarray, norms: np.ndarray) -> np.ndarray:
         up = q @ self.centre[level].T + norms[:, None] * self.radius[level]
         return up + 1e-9 * np.abs(up) + 1e-6  # rounding must not lower a bound
@@ -89,7 +96,7 @@ class Best:
     """The k best (score, smaller id first) of each query of a block."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+        self.ids, self.q, self.k = ids, q, k  # ids of queries, which candidates don't have
         self.norms = np.sqrt((q**2).sum(axis=1))
         self.least = kth.astype(np.float64).copy()
         self.score = np.full((len(ids), k), -np.inf)
@@ -100,7 +107,6 @@ class Best:
         at = tree.leaves[leaf]
         s = self.q[rows] @ tree.x[at].T
         ids = np.broadcast_to(tree.ids[at], s.shape)
-        s = np.where(ids == self.ids[rows][:, None], -np.inf, s)
         s = np.concatenate([self.score[rows], s], axis=1)
         v = np.concatenate([self.vec[rows], ids], axis=1)
         order = np.lexsort((v, -s), axis=1)[:, : self.k]
@@ -202,7 +208,9 @@ def search(k: int, probe: bool):
                 row = {name: batch.column(name)[i].as_buffer() for name in (*TREE, "qids", "q", "kth")}
                 dim = batch.column("dim")[i].as_py()
                 best = Best(np.frombuffer(row["qids"], dtype=np.int64), np.frombuffer(row["q"]).reshape(-1, dim), np.frombuffer(row["kth"]), k)
-                (best.probe if probe else best.search)(BallTree.of_row(row, dim))
+                tree = BallTree.of_row(row, dim)
+                tree.check(best.norms)
+                (best.probe if probe else best.search)(tree)
                 yield best.rows()
 
     return run
@@ -222,26 +230,31 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, block: int = BLOCK, groups: int = GROUPS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query, the k best other rows.
 
-    Components count as floor(scale * x); scores are exact while sums of their products stay below
-    2^53 in size. Of rows with one id that are queries the least vector asks.
+    Components count as floor(scale * x). Queries are numbered as they are staged. One candidate more
+    than k is kept until the end, when the query's own row is taken out: the first of its id with the
+    score of the query with itself.
     """
     spark = vectors.sparkSession
     ship(spark)
     d = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("is_query"))
     d = d.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("v", F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")))
     trees = stage(d.select("id", "v").mapInArrow(build_trees(groups), ", ".join(["g int, dim int", *(f"{c} binary" for c in TREE)])), "trees")
-    queries = d.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
-    queries = stage(queries, "queries")
+    queries = stage(d.where("is_query").select(F.monotonically_increasing_id().alias("uid"), "id", "v"), "queries")
 
     def answers(asked: DataFrame, probe: bool) -> DataFrame:
         blocks = asked.mapInArrow(build_blocks(block), "dim int, qids binary, q binary, kth binary")
         blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return best_of(trees.join(blocks.hint("merge"), ["g", "dim"]).mapInArrow(search(k, probe), FOUND), k)
+        return best_of(trees.join(blocks.hint("merge"), ["g", "dim"]).mapInArrow(search(k + 1, probe), FOUND), k + 1)
 
     with_kth = lambda kth: F.concat("v", F.array(kth)).alias("v")
     none = F.lit(float("-inf"))
-    kth = answers(queries.select("id", with_kth(none)), True).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
-    asked = stage(queries.join(kth, "id", "left").select("id", with_kth(F.coalesce("kth", none))), "asked")
-    out = stage(answers(asked, False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top-k")
+    kth = answers(queries.select(F.col("uid").alias("id"), with_kth(none)), True).where(F.col("rank") == k + 1).select(F.col("query_id").alias("uid"), F.col("score").cast("double").alias("kth"))
+    asked = stage(queries.join(kth, "uid", "left").select(F.col("uid").alias("id"), with_kth(F.coalesce("kth", none))), "asked")
+    own = queries.select(F.col("uid").alias("query_id"), F.col("id").alias("own_id"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).cast("long").alias("own_score"))
+    found = answers(asked, False).join(own, "query_id")
+    is_own = (F.col("vec_id") == F.col("own_id")) & (F.col("score") == F.col("own_score"))
+    out = F.coalesce(F.min(F.when(is_own, F.col("rank"))).over(Window.partitionBy("query_id")), F.lit(k + 2))
+    found = found.withColumn("out", out).where(F.col("rank") != F.col("out")).withColumn("rank", F.when(F.col("rank") > F.col("out"), F.col("rank") - 1).otherwise(F.col("rank")))
+    out = stage(found.where(F.col("rank") <= k).select(F.col("own_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top-k")
     drop_staged(spark, trees, queries, asked)
     return out

@@ -1,0 +1,94 @@
+import random
+
+import numpy as np
+import pytest
+
+from tensorloom.llm import hashing as H
+from tensorloom.llm import jaccard_join as J
+from tensorloom.llm import lm_scoring as L
+from tensorloom.llm import suffix_dedup as S
+
+
+def thue_morse(k: int) -> tuple[str, str]:
+    """A word of 2^k letters and its complement, which all polynomials modulo a power of two take for one."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_products_modulo_the_prime():
+    rng = np.random.default_rng(1)
+    edge = np.array([0, 1, H.PRIME - 1, 1 << 31, (1 << 31) - 1, 1 << 60], dtype=np.uint64)
+    a, b = (np.concatenate([np.repeat(edge, 6), rng.integers(0, H.PRIME, 500, dtype=np.uint64)]) for _ in range(2))
+    b[:36] = np.tile(edge, 6)
+    assert H.times(a, b).tolist() == [int(x) * int(y) % H.PRIME for x, y in zip(a, b, strict=True)]
+    assert H.times(a + H.P, b).tolist() == H.times(a, b).tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 8191, 8192, 8193, 70_000])
+def test_sums_by_plain_numbers(n):
+    buf = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+    got, want, power = H.Rolling(buf).sums.tolist(), 0, 1
+    for i, x in enumerate(buf.tolist()):
+        assert got[i] == want
+        want, power = (want + (x + 1) * power) % H.PRIME, power * H.BASE % H.PRIME
+    assert got[n] == want
+
+
+def test_equal_substrings_wherever_they_stand(monkeypatch):
+    """Across the end of the table of powers too."""
+    monkeypatch.setattr(H, "TABLE", 1 << 14)
+    monkeypatch.setattr(H, "UP", H.Powers(H.BASE))
+    monkeypatch.setattr(H, "DOWN", H.Powers(H.INVERSE))
+    rng = np.random.default_rng(2)
+    part = rng.integers(0, 4, 20_000).astype(np.uint8)
+    buf = np.concatenate([part, rng.integers(0, 256, 37_777).astype(np.uint8), part])
+    r = H.Rolling(buf)
+    at = len(buf) - len(part)
+    start = rng.integers(0, len(part), 500)
+    end = np.minimum(start + rng.integers(0, 9000, 500), len(part))
+    assert (r.of(start, end) == r.of(start + at, end + at)).all()
+    assert (r.grams(32)[: len(part) - 31] == r.grams(32)[at:]).all()
+    long, short = r.grams(200), r.of(np.arange(100), np.arange(100) + 200)
+    assert len(np.unique(long[:30_000])) == 30_000 and len(np.unique(short)) == 100
+
+
+def test_hashes_of_thue_morse_words_differ():
+    for k in range(2, 13):
+        a, b = thue_morse(k)
+        r = H.Rolling(np.frombuffer((a + b).encode(), dtype=np.uint8))
+        x, y = r.of([0, len(a)], [len(a), 2 * len(a)])
+        assert x != y
+
+
+def test_thue_morse_documents_are_not_linked(spark):
+    a, b = thue_morse(10)
+    d = spark.createDataFrame([(1, a), (2, b), (3, a), (4, f"x {b} y")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in J.classes(d).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4)]
+
+
+def test_thue_morse_words_are_words_of_their_own():
+    a, b = thue_morse(10)
+    raw = [a.encode(), b.encode()]
+    u = L.Unit(np.arange(2), np.ones(2), np.ones(2), [len(x) for x in raw], np.frombuffer(b"".join(raw), dtype=np.uint8))
+    u.tokens()
+    assert len(set(u.t.tolist())) == 3
+
+
+def test_thue_morse_passages_stay(spark):
+    """Of two texts that no 200 bytes have in common nothing goes, though parts of them hash alike modulo 2^64."""
+    rng = random.Random(1)
+    a, b = thue_morse(11)
+    noise = lambda: "".join(rng.choices("cdefgh", k=300))
+    texts = [noise() + a + noise(), noise() + b + noise()]
+    count: dict = {}
+    for t in texts:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    want = []
+    for t in texts:
+        hit = [count[t[i : i + 200]] > 1 for i in range(len(t) - 199)]
+        want.append(sum(any(hit[max(0, i - 199) : i + 1]) for i in range(len(t))))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["__sd_n_removed"] for r in sorted(S.remove_repeats(d).collect(), key=lambda r: r.doc_id)] == want

@@ -10,9 +10,9 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 def brute(rows, k=5, step=50):
     fine = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows if v and i is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, x in fine:
+    for at, (q, x) in enumerate(fine):
         if q % step == 0:
-            found = sorted(((-int(x @ y), i) for i, y in fine if i != q and len(x) == len(y)))[:k]
+            found = sorted(((-int(x @ y), i) for n, (i, y) in enumerate(fine) if n != at and len(x) == len(y)))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -37,6 +37,22 @@ def test_ties_and_rows_that_take_no_part(spark):
     assert [x for x in got if x[0] == 350] == [] and [x for x in got if x[0] == 400] == [(400, 1, 401, 512 * 256 * 3)]
 
 
+def test_rows_that_share_an_id(spark):
+    """Each asks and answers for itself; only the row itself is left out."""
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [0.5, 0.0])]
+    got = run(spark, rows)
+    assert got == brute(rows) and [x for x in got if x[2] == 0 and x[1] == 1] == [(0, 1, 0, 5 << 16)] * 2
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(a), float(b)]) for i, a, b in zip(rng.integers(0, 4, 200) * 25, rng.integers(-2, 3, 200), rng.integers(-2, 3, 200), strict=True)]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows[:4] * 3) == brute(rows[:4] * 3)
+
+
+def test_scores_that_doubles_cannot_hold(spark):
+    with pytest.raises(Exception, match="2\\^53"):
+        run(spark, [(0, [1e8, 1.0]), (1, [1e8, 2.0])])
+
+
 def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [(1, [1.0])]) == []
 
