@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, lm_scoring, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
+from . import centroids, jaccard_join, language_id, lm_scoring, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
 from .common import new_folder, stage
 
 
@@ -84,6 +84,10 @@ def op10_systematic_mix(spark, sf_dir):
     )
 
 
+def op13_kd_filter(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order": op1_rank_order,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_context_mixing": op8_context_mixing,
         "op9_token_combinations": op9_token_combinations,
         "op10_systematic_mix": op10_systematic_mix,
+        "op13_kd_filter": op13_kd_filter,
     }
 
 
@@ -139,5 +144,32 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op13_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Every vector against every centroid in each round; sums and distances in whole numbers."""
+    out = [
+        f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, e) - 1 AS INTEGER) AS j, e AS c
+       FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, e FROM v ORDER BY h, e LIMIT {k}))"""
+    ]
+    nearest = "SELECT rid, arg_min(j, [d, j]) AS j, min(d) AS d FROM (SELECT rid, j, list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i}) GROUP BY rid"
+    for i in range(rounds):
+        out.append(f"a{i} AS MATERIALIZED ({nearest.format(i=i)})")
+        out.append(
+            f"""m{i} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM (
+  SELECT j, pos, sum(x) AS s, count(*) AS n
+  FROM (SELECT a.j, unnest(range({dim})) AS pos, unnest(v.e) AS x FROM a{i} a JOIN v ON v.rid = a.rid) GROUP BY j, pos) GROUP BY j)"""
+        )
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON m{i}.j = c{i}.j)")
+    return f"""{", ".join(out)},
+f AS MATERIALIZED ({nearest.format(i=rounds)})
+SELECT v.vec_id, f.j AS cluster, CAST(f.d AS BIGINT) AS distance,
+       CAST(sum(f.d) OVER (PARTITION BY f.j) AS BIGINT) AS cluster_inertia, CAST(sum(f.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM f JOIN v ON v.rid = f.rid JOIN c{rounds} c ON c.j = f.j"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ball_tree": OP7_SQL, "op10_systematic_mix": OP10_SQL}
+    return {"op13_kd_filter": op13_sql(), "op7_ball_tree": OP7_SQL, "op10_systematic_mix": OP10_SQL}
