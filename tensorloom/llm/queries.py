@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, jaccard_join, language_id, lm_scoring, mixing, packing, quality, suffix_dedup, token_counts, topk, warc
-from .common import new_folder, stage
+from . import centroids, jaccard_join, language_id, lm_scoring, mixing, packing, periodic_runs, quality, suffix_dedup, token_counts, topk, warc
+from .common import new_folder, stage, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,28 @@ def op10_systematic_mix(spark, sf_dir):
     )
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in texts of ids whose crc32 h is a multiple of 10 the words from a = g % n on repeat the first p of them, with g = floor(h / 10) and p = 1 + floor((n - a) / (3 + g % 8))."""
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def repeated(x):
+        w, g, n = x["w"], x["g"], F.size(x["w"])
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+
+    h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
+    d = docs.select("doc_id", "text", h.alias("h"))
+    of = bound(F.struct(words(F.col("text")).alias("w"), F.floor(F.col("h") / 10).alias("g")), lambda x: F.when(F.size(x["w"]) > 0, repeated(x)))
+    return d.select("doc_id", F.when(F.col("h") % 10 == 0, of).otherwise(F.col("text")).alias("text"))
+
+
+def op11_suffix_automaton(spark, sf_dir):
+    d = periodic_runs.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def op13_kd_filter(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -100,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_context_mixing": op8_context_mixing,
         "op9_token_combinations": op9_token_combinations,
         "op10_systematic_mix": op10_systematic_mix,
+        "op11_suffix_automaton": op11_suffix_automaton,
         "op13_kd_filter": op13_kd_filter,
     }
 
