@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, jaccard_join, language_id, lm_scoring, mixing, packing, periodic_runs, quality, suffix_dedup, token_counts, topk, warc
+from . import centroids, jaccard_join, language_id, lm_scoring, mixing, packing, periodic_runs, quality, suffix_dedup, token_counts, topk, toxicity, warc
 from .common import new_folder, stage, words
 
 
@@ -106,6 +106,12 @@ def op11_suffix_automaton(spark, sf_dir):
     return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+def op12_label_model(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("held_out", remainder(5) == 0)
+    model = toxicity.learn(d.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(d, model, keep=("held_out",))
+
+
 def op13_kd_filter(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -123,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_combinations": op9_token_combinations,
         "op10_systematic_mix": op10_systematic_mix,
         "op11_suffix_automaton": op11_suffix_automaton,
+        "op12_label_model": op12_label_model,
         "op13_kd_filter": op13_kd_filter,
     }
 
