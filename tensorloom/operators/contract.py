@@ -252,17 +252,20 @@ def einsum(spec: EinsumSpec | str, *tensors: TensorRel, algebra: str | Algebra =
     """Contract tensors by an expression such as "ij,jk->ik" or a spec; sizes for labels that no operand has.
 
     strategy: "relational" builds joins and aggregates; "dense" evaluates the tree on arrays in one
-    task, for networks of many small tensors; "auto" takes the latter from DENSE_FROM operands if
-    its memory bound holds.
+    task, for networks of many small tensors; "sliced" does so in many tasks, with labels fixed until
+    arrays are small enough; "auto" takes "dense" from DENSE_FROM operands if its memory bound holds,
+    else "relational".
     """
-    from . import dense
+    from . import dense, sliced
 
     a = named(algebra)
     spec, _ = prepared(spec, tensors, a, sizes)
     if spec.tree is None:
         spec = optimize(spec, method)
-    if strategy not in ("auto", "relational", "dense"):
+    if strategy not in ("auto", "relational", "dense", "sliced"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "sliced":
+        return sliced.execute(spec, tensors, a, cells=dense.CELLS)
     if strategy == "dense" or strategy == "auto" and dense.suits(spec, tensors, a):
         return dense.execute(spec, tensors, a)
     return execute(spec, tensors, a)

@@ -177,5 +177,18 @@ def regular_network(n: int, bond_dim: int = 2) -> EinsumSpec:
     return EinsumSpec(tuple(edges), (), {i: bond_dim for i in range(n)})
 
 
+def chord_network(n: int, bond_dim: int = 2) -> EinsumSpec:
+    """A network of n vertices, n a prime: a ring, and a chord from each vertex to its inverse modulo n.
+
+    Such graphs expand, unlike a ring with opposite chords, so that contractions have large intermediate
+    results. Vertices have degree 3, but for 0 and those that are their own inverse or a neighbour of it.
+    """
+    if n < 5 or any(n % k == 0 for k in range(2, math.isqrt(n) + 1)):
+        raise ValueError("a chord network has a prime number of vertices, at least 5")
+    pair = lambda a, b: (min(a, b), max(a, b))
+    edges = {pair(i, (i + 1) % n) for i in range(n)} | {pair(i, pow(i, -1, n)) for i in range(2, n - 1)}
+    return EinsumSpec(tuple(sorted(edges)), (), {i: bond_dim for i in range(n)})
+
+
 def linear_of(coords: Sequence[int], shape: Sequence[int], order: str = "col_major") -> int:
     return sum(c * s for c, s in zip(coords, strides(shape, order), strict=True))
