@@ -6,7 +6,13 @@ chain rule, whose terms are contractions themselves, without complex conjugation
 send a cell's gradient to the coordinates that won. Gradients add up by ordinary addition, and
 cells without a row are 0, whatever the algebra.
 
-The tape's winners are read by the forward and the backward pass; persist() keeps them.
+A content is read by the forward pass and by the gradients of its siblings, and a gradient by those of
+its operands, so plans would grow with the square of a network's depth. Values whose plan holds
+STAGE_EVERY contractions or more are therefore written to the shared folder, contents as the tape is made and gradients
+on the way back: no plan holds more than a few times STAGE_EVERY, and all gradients together cost about
+two passes more than the result. The tape's winners are read by both passes; persist() keeps them.
+
+Networks of many small tensors are differentiated on arrays in one task (dense.gradients).
 """
 
 from __future__ import annotations
@@ -23,7 +29,9 @@ from ..plans.order import optimize
 from ..plans.spec import EinsumSpec
 from ..plans.tree import steps
 from ..sources.tensor import TensorRel
-from .contract import Labelled, Names, enter, leave, pairwise, pairwise_argmax, prepared, product, reduce_argmax, reduce_to
+from ..shared import stage
+from . import dense
+from .contract import STAGE_EVERY, Labelled, Names, enter, leave, pairwise, pairwise_argmax, prepared, product, reduce_argmax, reduce_to
 
 
 @dataclass
@@ -35,6 +43,8 @@ class TapeNode:
     winners: DataFrame | None = None
     inner: tuple = ()
     operand: int | None = None
+    #: Contractions in the content's plan since the last staged table.
+    weight: int = 0
 
 
 @dataclass
@@ -72,17 +82,21 @@ class EinsumGradient:
         names = self.names
         root = len(self.nodes) - 1
         # the root's labels from the result's: sums over repeated axes, the diagonal of embedded ones
-        found: dict[int, Labelled] = {root: self.spread(enter(dy, self.spec.iy, names), self.nodes[root].content.labels, of_root=True)}
+        found: dict[int, tuple[Labelled, int]] = {root: (self.spread(enter(dy, self.spec.iy, names), self.nodes[root].content.labels, of_root=True), 0)}
         grads: list[TensorRel | None] = [None] * len(tensors)
         for i in range(root, -1, -1):
-            node, g = self.nodes[i], found.pop(i)
+            node, (g, weight) = self.nodes[i], found.pop(i)
             if node.operand is not None:
                 ix = self.spec.ixs[node.operand]
                 grads[node.operand] = leave(g, ix, names, STANDARD)
-            elif len(node.args) == 1:
-                found[node.args[0]] = self.one_back(node, g)
+                continue
+            g, weight = cut(g, weight)
+            if len(node.args) == 1:
+                found[node.args[0]] = self.one_back(node, g), weight + 1
             else:
-                found |= dict(zip(node.args, self.two_back(node, g), strict=True))
+                # a gradient's plan holds the one above and the other operand's content
+                others = [self.nodes[k].weight for k in reversed(node.args)]
+                found |= {k: (x, weight + 1 + w) for k, x, w in zip(node.args, self.two_back(node, g), others, strict=True)}
         return grads
 
     def spread(self, g: Labelled, labels: tuple, of_root: bool = False) -> Labelled:
@@ -122,6 +136,11 @@ class EinsumGradient:
         return of(x, y), of(y, x)
 
 
+def cut(x: Labelled, weight: int) -> tuple[Labelled, int]:
+    """x, written to the shared folder if its plan has become long."""
+    return (Labelled(stage(x.df, "gradients"), x.labels, x.dtype), 0) if weight >= STAGE_EVERY else (x, weight)
+
+
 def tape(spec: EinsumSpec, tensors: Sequence[TensorRel], a: Algebra, scaled: bool = False) -> tuple[TensorRel, EinsumGradient]:
     """Compute the result and record what the pass back needs."""
     spec, names = prepared(spec, tensors, a)
@@ -139,10 +158,11 @@ def tape(spec: EinsumSpec, tensors: Sequence[TensorRel], a: Algebra, scaled: boo
         x = nodes[i].content
         if all(c in keep for c in x.labels):
             return i
+        weight = nodes[i].weight
         if not a.needs_argmax:
-            return add(TapeNode(reduce_to(x, keep, names, a), (i,)))
+            return add(TapeNode(reduce_to(x, keep, names, a), (i,), weight=weight))
         y, winners, inner = reduce_argmax(x, keep, names, a)
-        return add(TapeNode(y, (i,), winners, inner))
+        return add(TapeNode(y, (i,), winners, inner, weight=weight))
 
     for i, (t, ix) in enumerate(zip(tensors, spec.ixs, strict=True)):
         number[i] = add(TapeNode(enter(t, ix, names), operand=i))
@@ -152,11 +172,16 @@ def tape(spec: EinsumSpec, tensors: Sequence[TensorRel], a: Algebra, scaled: boo
         i = reduced(i, keep | set(nodes[j].content.labels))
         j = reduced(j, keep | set(nodes[i].content.labels))
         x, y = nodes[i].content, nodes[j].content
+        weight = nodes[i].weight + nodes[j].weight + 1
         if a.needs_argmax:
             z, winners, inner = pairwise_argmax(x, y, s.labels, names, a)
-            number[s.out] = add(TapeNode(z, (i, j), winners, inner))
+            if weight >= STAGE_EVERY:  # both come from one table
+                both = stage(z.df.join(winners, names.columns(z.labels)) if z.labels else z.df.crossJoin(winners), "tape")
+                z, winners, weight = Labelled(both.drop("k"), z.labels, z.dtype), both.drop("v"), 0
+            number[s.out] = add(TapeNode(z, (i, j), winners, inner, weight=weight))
         else:
-            number[s.out] = add(TapeNode(pairwise(x, y, s.labels, names, a), (i, j)))
+            z, weight = cut(pairwise(x, y, s.labels, names, a), weight)
+            number[s.out] = add(TapeNode(z, (i, j), weight=weight))
     reduced(len(nodes) - 1 if len(tensors) > 1 else 0, set(spec.iy))
     return leave(nodes[-1].content, spec.iy, names, a), grad
 
@@ -172,13 +197,28 @@ def einsum_with_grad(spec: EinsumSpec | str, *tensors: TensorRel, algebra: str |
     return tape(spec, tensors, a, scaled)
 
 
-def cost_and_gradient(spec: EinsumSpec | str, tensors: Sequence[TensorRel], dy: TensorRel | None = None, algebra: str | Algebra = STANDARD, sizes=None) -> tuple[TensorRel, list[TensorRel]]:
-    """The result and all gradients; without dy the result must be a scalar, whose gradient is the number 1."""
-    out, grad = einsum_with_grad(spec, *tensors, algebra=algebra, sizes=sizes)
+def cost_and_gradient(spec: EinsumSpec | str, tensors: Sequence[TensorRel], dy: TensorRel | None = None, algebra: str | Algebra = STANDARD, sizes=None, strategy: str = "auto") -> tuple[TensorRel, list[TensorRel]]:
+    """The result and all gradients; without dy the result must be a scalar, whose gradient is the number 1.
+
+    strategy: "relational" by joins; "dense" on arrays in one task; "auto" takes the latter for
+    sum-product networks of many small tensors.
+    """
+    a = named(algebra)
+    spec, names = prepared(spec, tensors, a, sizes)
+    shape = [names.sizes[c] for c in spec.iy]
     if dy is None:
-        if out.ndim:
+        if shape:
             raise ValueError("a gradient of the result is needed unless it is a scalar")
-        dy = TensorRel.scalar(out.df.sparkSession, 1, out.dtype)
+        dy = TensorRel.scalar(tensors[0].df.sparkSession, 1, tensors[0].dtype)
+    if strategy not in ("auto", "relational", "dense"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy != "relational":
+        tree = spec if spec.tree else optimize(spec)
+        if strategy == "dense" or dense.suits(tree, tensors, a) and dense.holds_all(tree, a):
+            if list(dy.shape) != shape:
+                raise ValueError(f"the gradient has shape {list(dy.shape)}, the result {shape}")
+            return dense.execute(tree, tensors, a), dense.gradients(tree, tensors, dy, a)
+    out, grad = tape(spec, tensors, a)
     return out, grad.backward(dy, tensors)
 
 
