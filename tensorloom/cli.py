@@ -10,7 +10,7 @@ from .operators.autodiff import einsum_with_grad
 from .operators.contract import einsum
 from .plans.order import optimize
 from .plans.spec import EinsumSpec, parse
-from .sources import json_io
+from .sources import json_io, json_parts
 from .sources.tensor import TensorRel
 
 
@@ -31,11 +31,11 @@ def sizes_of(text: str, spec: EinsumSpec) -> dict[str, int]:
     for part in text.split(","):
         label, eq, n = (x.strip() for x in part.partition("="))
         if not eq or len(label) != 1:
-            raise ValueError(f"Invalid size {part!r}: expected label=size")
+            raise ValueError(f"--sizes: {part!r} isn't of the form label=size")
         if label not in known:
-            raise ValueError(f"Unknown label {label!r} in --sizes")
+            raise ValueError(f"--sizes: the expression has no label {label!r}")
         if not n.isdigit() or int(n) < 1:
-            raise ValueError(f"Invalid size {n!r} for label {label!r}: a whole number of at least 1")
+            raise ValueError(f"--sizes: {label!r} needs a whole number of at least 1, not {n!r}")
         out[label] = int(n)
     return out
 
@@ -45,7 +45,7 @@ def betas_of(text: str) -> list[float]:
     try:
         start, step, stop = map(float, text.split(":"))
     except ValueError:
-        raise ValueError(f"Invalid betas {text!r}: expected start:step:stop") from None
+        raise ValueError(f"--betas: {text!r} isn't of the form start:step:stop") from None
     if not step > 0:
         raise ValueError("the step of betas must be above 0")
     out, i = [], 0
@@ -68,23 +68,33 @@ def run_optimize(args) -> None:
             "tc_weight": args.tc_weight, "sc_weight": args.sc_weight, "rw_weight": args.rw_weight,
         }
     else:
-        raise ValueError(f"Unknown method {args.method!r}: greedy or treesa")
+        raise ValueError(f"--method: greedy or treesa, not {args.method!r}")
     spec = optimize(spec, args.method, **options)
     json_io.write_json(json_io.topology_document(args.expression, spec, args.method), args.output, args.pretty)
 
 
 def chosen(args) -> EinsumSpec:
     if args.topology and args.expr:
-        raise ValueError("Cannot specify both --topology and --expr")
+        raise ValueError("give one of --topology and --expr, not both")
     if not args.topology and not args.expr:
-        raise ValueError("Must specify either --topology or --expr")
+        raise ValueError("one of --topology and --expr is needed")
     return json_io.read_topology(args.topology) if args.topology else parse(args.expr)
 
 
+def folder_of(args) -> str:
+    if not args.output:
+        raise ValueError("--parts needs an --output folder")
+    return args.output
+
+
 def run_contract(args) -> None:
     spec = chosen(args)
     tensors, order = json_io.read_tensors(session(), args.tensors)
-    json_io.write_json(json_io.result_document(einsum(spec, *tensors), order), args.output, args.pretty)
+    result = einsum(spec, *tensors)
+    if args.parts:
+        json_parts.write_result(folder_of(args), result, order)
+    else:
+        json_io.write_json(json_io.result_document(result, order), args.output, args.pretty)
 
 
 def run_autodiff(args) -> None:
@@ -98,7 +108,11 @@ def run_autodiff(args) -> None:
         raise ValueError("--grad-output is needed unless the result is a scalar")
     else:
         dy = TensorRel.scalar(spark, 1, result.dtype)
-    json_io.write_json(json_io.gradient_document(result, grad.backward(dy, tensors), order), args.output, args.pretty)
+    grads = grad.backward(dy, tensors)
+    if args.parts:
+        json_parts.write_gradients(folder_of(args), result, grads, order)
+    else:
+        json_io.write_json(json_io.gradient_document(result, grads, order), args.output, args.pretty)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -130,6 +144,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("tensors")
         c.add_argument("-t", "--topology")
         c.add_argument("--expr")
+        c.add_argument("--parts", action="store_true", help="write a folder of parts, by tasks, for results that are larger than the driver")
         if name == "autodiff":
             c.add_argument("--grad-output")
     return p

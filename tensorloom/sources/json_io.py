@@ -1,8 +1,8 @@
 """JSON documents of tensors, contraction topologies, results and gradients.
 
 A tensors document holds dtype, order (col_major if absent) and tensors of shape and data, complex
-data as alternating real and imaginary parts. A topology holds an expression with its tree. Both are
-small documents that one client writes; they are read on the driver.
+data as alternating real and imaginary parts; tasks read it (json_parts). A topology holds an expression
+with its tree; it is small and read on the driver.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from ..functions.dtypes import dtype
 from ..plans.spec import EinsumSpec, label_ids, parse
-from ..plans.tree import Leaf, Node, Tree
+from ..plans.tree import Leaf, Node, Tree, steps
+from .json_parts import Document
 from .tensor import TensorRel, strides
 
 #: Fixed values of the document formats.
@@ -53,21 +53,11 @@ def checked(doc: dict) -> tuple[str, str]:
     return t, order
 
 
-def tensor_of(spark: SparkSession, entry: dict, t: str, order: str) -> TensorRel:
-    shape, data = list(entry["shape"]), list(entry["data"])
-    per_cell = 2 if dtype(t).is_complex else 1
-    if len(data) != per_cell * math.prod(shape):
-        raise ValueError(f"data length {len(data)} doesn't match shape {shape} of {t}")
-    if per_cell == 2:
-        data = [complex(a, b) for a, b in zip(data[::2], data[1::2], strict=True)]
-    return TensorRel.from_data(spark, data, shape, t, order)
-
-
 def read_tensors(spark: SparkSession, path: str) -> tuple[list[TensorRel], str]:
-    """The tensors of a document, and its order."""
-    doc = read_json(path)
-    t, order = checked(doc)
-    return [tensor_of(spark, x, t, order) for x in doc.get("tensors", [])], order
+    """The tensors of a document, a file or a folder of parts, and its order."""
+    d = Document(spark, path)
+    t, order = checked(d.doc)
+    return [d.tensor(x, t, order) for x in d.doc.get("tensors", [])], order
 
 
 def data_of(t: TensorRel, order: str) -> list[float]:
@@ -86,7 +76,8 @@ def gradient_document(result: TensorRel, grads: Sequence[TensorRel], order: str)
 
 def read_seed(spark: SparkSession, path: str, t: str, order: str, shape: Sequence[int]) -> TensorRel:
     """The gradient of a result; type, order and shape must be the result's."""
-    doc = read_json(path)
+    d = Document(spark, path)
+    doc = d.doc
     if "tensors" in doc:
         if len(doc["tensors"]) != 1:
             raise ValueError("the gradient file must hold exactly one tensor")
@@ -96,15 +87,13 @@ def read_seed(spark: SparkSession, path: str, t: str, order: str, shape: Sequenc
         raise ValueError(f"the gradient has dtype {own}, the tensors {t}")
     if own_order != order:
         raise ValueError(f"the gradient has order {own_order}, the tensors {order}")
-    if list(doc["shape"]) != list(shape):
-        raise ValueError(f"the gradient has shape {doc['shape']}, the result {list(shape)}")
-    return tensor_of(spark, doc, own, own_order)
+    if d.small(doc["shape"]) != list(shape):
+        raise ValueError(f"the gradient has shape {d.small(doc['shape'])}, the result {list(shape)}")
+    return d.tensor(doc, own, own_order)
 
 
 def tree_document(spec: EinsumSpec, ids: dict) -> dict:
     """The tree with each node's labels by number."""
-    from ..plans.tree import steps
-
     number = lambda labels: [ids[c] for c in labels]
     found = {i: {"Leaf": {"tensor_index": i}} for i in range(len(spec.ixs))}
     todo = steps(spec.tree, spec.ixs, spec.iy) if len(spec.ixs) > 1 else []
@@ -158,6 +147,15 @@ def read_topology(path: str) -> EinsumSpec:
     return spec.with_sizes(sizes).with_tree(tree_of(doc["tree"], set(ids.values())))
 
 
+def network_document(spec: EinsumSpec, bond_dim: int) -> dict:
+    """A network's edges and tree; labels are vertices."""
+    found: dict = {i: {"isleaf": True, "tensorindex": i} for i in range(len(spec.ixs))}
+    todo = steps(spec.tree, spec.ixs, spec.iy) if len(spec.ixs) > 1 else []
+    for s in todo:
+        found[s.out] = {"isleaf": False, "args": [found[s.left], found[s.right]], "eins": {"ixs": [list(s.left_labels), list(s.right_labels)], "iy": list(s.labels)}}
+    return {"n_vertices": len(spec.sizes), "bond_dim": bond_dim, "edges": [list(x) for x in spec.ixs], "tree": found[todo[-1].out if todo else 0]}
+
+
 def read_network(path: str) -> EinsumSpec:
     """A network document: one operand for each edge, whose labels are vertices, and a tree; the output is a scalar."""
     doc = read_json(path)
