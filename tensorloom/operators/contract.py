@@ -129,8 +129,8 @@ def pairwise(x: Labelled, y: Labelled, out: Sequence, names: Names, a: Algebra)
     return reduce_to(z, out, names, a)
 
 
-def pairwise_argmax(x: Labelled, y: Labelled, out: Sequence, names: Names, a: Algebra) -> tuple[Labelled, DataFrame, tuple]:
-    """As pairwise, with the winner: (result, rows (labels, k), contracted labels).
+def pairwise_best(x: Labelled, y: Labelled, out: Sequence, names: Names, a: Algebra) -> tuple[DataFrame, tuple, tuple]:
+    """As pairwise, with the winner: (rows (labels, v, k), labels, contracted labels).
 
     k is the column-major linear index over the contracted labels in the order in which x has
     them; the smallest wins ties, and k is 0 where no product is better than the algebra's zero.
@@ -144,19 +144,29 @@ def pairwise_argmax(x: Labelled, y: Labelled, out: Sequence, names: Names, a: Al
     zero = z.dtype.lit(a.zero(z.dtype))
     v = F.coalesce(F.col("best.v"), zero)
     k = F.when(a.better(v, zero), a.winner_rank(F.col("best"))).otherwise(F.lit(0).cast("bigint"))
-    df = df.select(*names.columns(labels), a.clamp(v, z.dtype).alias("v"), k.alias("k"))
-    return Labelled(df.drop("k"), labels, z.dtype), df.drop("v"), contracted
+    return df.select(*names.columns(labels), a.clamp(v, z.dtype).alias("v"), k.alias("k")), labels, contracted
 
 
-def reduce_argmax(x: Labelled, iy: Sequence, names: Names, a: Algebra) -> tuple[Labelled, DataFrame, tuple]:
-    """As reduce_to, with the winner: (result, rows (labels, k), dropped labels in order of appearance)."""
+def pairwise_argmax(x: Labelled, y: Labelled, out: Sequence, names: Names, a: Algebra) -> tuple[Labelled, DataFrame, tuple]:
+    """pairwise_best in two: (result, rows (labels, k), contracted labels)."""
+    df, labels, contracted = pairwise_best(x, y, out, names, a)
+    return Labelled(df.drop("k"), labels, x.dtype), df.drop("v"), contracted
+
+
+def reduce_best(x: Labelled, iy: Sequence, names: Names, a: Algebra) -> tuple[DataFrame, tuple, tuple]:
+    """As reduce_to, with the winner: (rows (labels, v, k), labels, dropped labels in order of appearance)."""
     labels = tuple(c for c in x.labels if c in set(iy))
     dropped = tuple(c for c in x.labels if c not in set(iy))
     best = a.winner(F.col("v"), names.linear(dropped)).alias("best")
     df = x.df.groupBy(*names.columns(labels)).agg(best) if labels else x.df.agg(best)
     zero = x.dtype.lit(a.zero(x.dtype))
     k = F.coalesce(a.winner_rank(F.col("best")), F.lit(0).cast("bigint"))
-    df = df.select(*names.columns(labels), a.clamp(F.coalesce(F.col("best.v"), zero), x.dtype).alias("v"), k.alias("k"))
+    return df.select(*names.columns(labels), a.clamp(F.coalesce(F.col("best.v"), zero), x.dtype).alias("v"), k.alias("k")), labels, dropped
+
+
+def reduce_argmax(x: Labelled, iy: Sequence, names: Names, a: Algebra) -> tuple[Labelled, DataFrame, tuple]:
+    """reduce_best in two: (result, rows (labels, k), dropped labels)."""
+    df, labels, dropped = reduce_best(x, iy, names, a)
     return Labelled(df.drop("k"), labels, x.dtype), df.drop("v"), dropped
 
 
@@ -216,6 +226,29 @@ def contract_binary_with_argmax(t: TensorRel, other: TensorRel, ia: Sequence, ib
     return leave(z, spec.iy, names, a), leave(k, spec.iy, names, STANDARD)
 
 
+def with_winners(tensors: Sequence[TensorRel], ixs: Sequence[Sequence], iy: Sequence, algebra_: str | Algebra, sizes=None) -> DataFrame:
+    """One or two operands contracted: one relation (d0, ..., v, k) of values and winners, from one aggregate.
+
+    k is as in unary_with_argmax or contract_binary_with_argmax. Output labels must be different and stand in an operand.
+    """
+    a = algebra(algebra_)
+    if not a.needs_argmax:
+        raise ValueError(f"{a.name} has no winner")
+    spec, names = prepared(EinsumSpec(tuple(map(tuple, ixs)), tuple(iy)), tensors, a, sizes)
+    if len(set(spec.iy)) < len(spec.iy) or not set(spec.iy) <= {c for x in spec.ixs for c in x} or len(tensors) > 2:
+        raise ValueError("values and winners in one relation: one or two operands, different output labels that they have")
+    x = enter(tensors[0], spec.ixs[0], names)
+    if len(tensors) == 1:
+        df, labels, dropped = reduce_best(x, spec.iy, names, a)
+        df = names.decode(df, "k", dropped).withColumn("k", names.linear(spec.ixs[0]))
+    else:
+        y, keep = enter(tensors[1], spec.ixs[1], names), set(spec.iy)
+        x = reduce_to(x, [c for c in x.labels if c in keep or c in y.labels], names, a)
+        y = reduce_to(y, [c for c in y.labels if c in keep or c in x.labels], names, a)
+        df, labels, _ = pairwise_best(x, y, spec.iy, names, a)
+    return df.select(*[F.col(names[c]).alias(f"d{i}") for i, c in enumerate(spec.iy)], "v", "k")
+
+
 def execute(spec: EinsumSpec, tensors: Sequence[TensorRel], algebra_: str | Algebra = STANDARD, winners: list | None = None) -> TensorRel:
     """Contract by the spec's tree, from left to right if it has none.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import tempfile
 from collections.abc import Callable
 
@@ -11,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import cli
-from .functions.algebra import custom
+from .functions.algebra import algebra, custom, is_zero, plus_gradient, times_gradient
+from .operators import blocked, dense, hypercube, skew, sliced
 from .operators import contract as C
-from .operators import dense
 from .operators.autodiff import contract_binary_backward, cost_and_gradient, einsum_with_grad
 from .plans.order import complexity, optimize
 from .plans.spec import EinBuilder, EinsumSpec, parse
 from .plans.sql import flat_sql, tree_sql
-from .shared import ship_code
-from .sources import json_io
-from .sources.json_io import regular_network
+from .plans.tree import left_deep
+from .shared import new_folder, ship_code
+from .sources import json_io, json_parts
+from .sources.json_io import chord_network, regular_network
 from .sources.tensor import TensorRel
 
 #: The base tensors as SQL over the tables, coordinates d0, d1 and integer values v.
@@ -256,8 +259,9 @@ def trace_dense_b(spark, sf_dir):
     return C.unary(base(spark, sf_dir, "b"), "i", "ii").to_dense().df
 
 
-def zeros_2x3(spark, sf_dir):
-    return TensorRel.zeros(spark, [2, 3], "i64").df
+def zeros_G(spark, sf_dir):
+    """A zero for every cell of G, with or without a row."""
+    return TensorRel.zeros(spark, base(spark, sf_dir, "G").shape, "i64").df
 
 
 def greedy_vs_treesa(spark, sf_dir):
@@ -270,20 +274,23 @@ def greedy_vs_treesa(spark, sf_dir):
 
 def argmax_matmul(spark, sf_dir):
     g = base(spark, sf_dir, "G")
-    v, k = C.contract_binary_with_argmax(g, g, "ij", "jk", "ik", "maxplus")
-    return v.df.join(k.df.withColumnRenamed("v", "k"), ["d0", "d1"])
+    return C.with_winners([g, g], ["ij", "jk"], "ik", "maxplus")
 
 
 def argmin_matmul(spark, sf_dir):
     g = base(spark, sf_dir, "G")
-    v, k = C.contract_binary_with_argmax(g, g, "ij", "jk", "ik", "minplus")
-    return v.df.join(k.df.withColumnRenamed("v", "k"), ["d0", "d1"])
+    return C.with_winners([g, g], ["ij", "jk"], "ik", "minplus")
 
 
 def argmax_rows(spark, sf_dir):
+    return C.with_winners([base(spark, sf_dir, "G")], ["ij"], "i", "maxplus")
+
+
+def argmax_tensors(spark, sf_dir):
+    """Values and winners as tensors of their own, joined."""
     g = base(spark, sf_dir, "G")
-    v, k = C.unary_with_argmax(g, "ij", "i", "maxplus")
-    return v.df.join(k.df.withColumnRenamed("v", "k"), ["d0"])
+    v, k = C.contract_binary_with_argmax(g, g, "ij", "jk", "ik", "maxplus")
+    return v.df.join(k.df.withColumnRenamed("v", "k"), ["d0", "d1"])
 
 
 ARGMAX_SQL = """SELECT d0, d1, v, k FROM (SELECT a.d0 AS d0, b.d1 AS d1, a.v + b.v AS v, a.d1 AS k, ROW_NUMBER() OVER (PARTITION BY a.d0, b.d1 ORDER BY a.v + b.v {order}, a.d1) AS place FROM x_G a JOIN x_G b ON a.d1 = b.d0) WHERE place = 1"""
@@ -350,54 +357,302 @@ def float32_matvec(spark, sf_dir):
 
 
 def topology(spark, sf_dir):
-    """Cost of the orders found for a ladder: logarithms of products and of the largest result."""
-    spec = parse("ab,cd,ac,bd,be,df,ef,eg,fh,gh->").with_sizes({c: 8 for c in "abcdefgh"})
+    """Cost of the orders found for a ladder of G: logarithms of products and of the largest result, and the tree's operands."""
+    n = base(spark, sf_dir, "G").shape[0]
+    spec = parse("ab,cd,ac,bd,be,df,ef,eg,fh,gh->").with_sizes({c: n for c in "abcdefgh"})
     rows = []
     for m in ("left_deep", "greedy", "treesa"):
-        c = complexity(optimize(spec, m))
-        rows.append((m, round(c.tc, 6), round(c.sc, 6)))
-    return spark.createDataFrame(rows, "method string, tc double, sc double")
+        found = optimize(spec, m)
+        c = complexity(found)
+        rows.append((m, round(c.tc, 6), round(c.sc, 6), found.is_optimized and not spec.is_optimized, len(list(found.contraction_tree.leaves()))))
+    return spark.createDataFrame(rows, "method string, tc double, sc double, ordered boolean, operands int")
 
 
 #: From left to right two contractions have four labels, four have three and three have two; the
 #: least cost over all orders, which a test finds by dynamic programming, is six of three and three of two.
-TOPOLOGY_SQL = """SELECT method, round(log2(products), 6) AS tc, round(log2(cells), 6) AS sc FROM (VALUES
-  ('left_deep', 2 * 8^4 + 4 * 8^3 + 3 * 8^2, 8^4), ('greedy', 6 * 8^3 + 3 * 8^2, 8^2), ('treesa', 6 * 8^3 + 3 * 8^2, 8^2)) AS x(method, products, cells)"""
+TOPOLOGY_SQL = """WITH g AS (SELECT CAST(MAX(n_nationkey) + 1 AS DOUBLE) AS n FROM nation)
+SELECT 'left_deep' AS method, round(log2(2 * n^4 + 4 * n^3 + 3 * n^2), 6) AS tc, round(4 * log2(n), 6) AS sc, true AS ordered, 10 AS operands FROM g
+UNION ALL SELECT m, round(log2(6 * n^3 + 3 * n^2), 6), round(2 * log2(n), 6), true, 10 FROM g, (VALUES ('greedy'), ('treesa')) AS x(m)"""
+
+
+def share(spark, sf_dir, columns, of: str = "lineitem") -> TensorRel:
+    """Twice each cell's share of the rows of a table, by the parity of columns: a tensor of a few numbers near one."""
+    lines = table(spark, sf_dir, of)
+    n = lines.agg(F.count("*")).collect()[0][0]
+    t = TensorRel.from_table(lines, [F.col(c).cast("bigint") % 2 for c in columns], F.lit(1), [2] * len(columns))
+    return TensorRel(t.df.withColumn("v", 2.0 * F.col("v").cast("double") / F.lit(float(max(1, n)))), t.shape, "f64")
+
+
+#: The networks' tensors, 2 x 2 from lineitem.
+EDGES = (("l_linenumber", "l_quantity"), ("l_partkey", "l_suppkey"), ("l_orderkey", "l_linenumber"))
+EDGES_SQL = ", ".join(f"e{i}(d0, d1, v) AS MATERIALIZED (SELECT CAST({a} AS BIGINT) % 2, CAST({b} AS BIGINT) % 2, 2.0::DOUBLE * CAST(COUNT(*) AS DOUBLE) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM lineitem) FROM lineitem GROUP BY 1, 2)" for i, (a, b) in enumerate(EDGES))
+
 
+def edges(spark, sf_dir, spec) -> list[TensorRel]:
+    ts = [share(spark, sf_dir, x) for x in EDGES]
+    return [ts[i % 3] for i in range(len(spec.ixs))]
 
-def network(n: int):
-    """A 3-regular network of n vertices with one of three 2 x 2 tensors on each edge, so that the result depends on the wiring."""
+
+def network(spec: EinsumSpec, **options):
+    """A network of 2 x 2 tensors from lineitem in turn on its edges, so that the result depends on the wiring."""
 
     def run(spark, sf_dir):
-        spec = regular_network(n)
-        ts = [TensorRel.from_data(spark, x, [2, 2], "f64") for x in EDGES]
-        return C.einsum(spec, *[ts[i % 3] for i in range(len(spec.ixs))]).df.select(F.round(F.log("v"), 6).alias("log_v"))
+        return C.einsum(spec, *edges(spark, sf_dir, spec), **options).df.select(F.round(F.log("v"), 6).alias("log_v"))
 
     return run
 
 
-#: Cells of the networks' tensors in column-major order.
-EDGES = ([0.5, 1.0, 0.25, 0.75], [1.25, 0.5, 0.75, 0.375], [0.625, 0.875, 1.0, 0.125])
+def network_sql(spec: EinsumSpec) -> str:
+    """The same network along a tree, one table expression for each contraction."""
+    found = tree_sql(optimize(spec, "greedy") if spec.tree is None else spec, [f"e{i % 3}" for i in range(len(spec.ixs))], kind="DOUBLE")
+    return f"WITH {EDGES_SQL}, " + found.replace(" SELECT CAST(t0.v AS DOUBLE) AS v", " SELECT round(ln(t0.v), 6) AS log_v")
 
 
-def network_sql(n: int) -> str:
-    """The same network along a tree, one table expression for each contraction."""
-    spec = optimize(regular_network(n), "greedy")
-    cells = [f"e{i}(d0, d1, v) AS (VALUES (0, 0, {a}::DOUBLE), (1, 0, {b}::DOUBLE), (0, 1, {c}::DOUBLE), (1, 1, {d}::DOUBLE))" for i, (a, b, c, d) in enumerate(EDGES)]
-    found = tree_sql(spec, [f"e{i % 3}" for i in range(len(spec.ixs))], kind="DOUBLE")
-    return f"WITH {', '.join(cells)}, " + found.replace(" SELECT CAST(t0.v AS DOUBLE) AS v", " SELECT round(ln(t0.v), 6) AS log_v")
+def network_sliced(spark, sf_dir):
+    """The chord network of 151 vertices in slices of at most 2^12 cells, of an order whose largest result has 2^17."""
+    return sliced.execute(CHORDS, edges(spark, sf_dir, CHORDS), cells=1 << 12).df.select(F.round(F.log("v"), 6).alias("log_v"))
+
+
+#: 223 tensors; a seeded annealed order.
+CHORDS = optimize(chord_network(151), "treesa", ntrials=2)
+
+#: Six nations of one region each, with the flow between all pairs: six labels of nations and one of regions.
+CLIQUE = [*(f"{a}r" for a in "abcdef"), *(f"{a}{b}" for i, a in enumerate("abcdef") for b in "abcdef"[i + 1 :])]
+
+
+def sliced_clique(spark, sf_dir):
+    """Flows among all sixes of nations of one region, multiplied and added up by region: the tree's largest result has 25^5 x 5 cells, beyond what one task takes."""
+    g, nr = base(spark, sf_dir, "G"), base(spark, sf_dir, "NR")
+    top_ = g.df.agg(F.max("v")).collect()[0][0] or 1
+    g = TensorRel(g.df.withColumn("v", F.col("v").cast("double") / F.lit(float(top_))), g.shape, "f64")
+    nr = TensorRel(nr.df.withColumn("v", F.col("v").cast("double")), nr.shape, "f64")
+    spec = EinsumSpec([tuple(x) for x in CLIQUE], ("r",))
+    return C.einsum(spec, *[nr] * 6, *[g] * 15, strategy="sliced").df.select("d0", F.round(F.log("v"), 6).alias("log_v"))
+
+
+def sliced_clique_sql() -> str:
+    pairs = [x for x in CLIQUE if "r" not in x]
+    sources = ", ".join([f"x_NR {a}" for a in "abcdef"] + [f"y g{x}" for x in pairs])
+    where = " AND ".join([f"a.d1 = {a}.d1" for a in "bcdef"] + [f"g{x}.d0 = {x[0]}.d0 AND g{x}.d1 = {x[1]}.d0" for x in pairs])
+    v = " * ".join(f"g{x}.v" for x in pairs)
+    return with_tables(["G", "NR"], "").rstrip() + f", y AS MATERIALIZED (SELECT d0, d1, CAST(v AS DOUBLE) / (SELECT CAST(MAX(v) AS DOUBLE) FROM x_G) AS v FROM x_G) SELECT CAST(a.d1 AS BIGINT) AS d0, round(ln(SUM({v})), 6) AS log_v FROM {sources} WHERE {where} GROUP BY 1"
+
+
+def counts_of(spark, sf_dir) -> TensorRel:
+    """Lines by parity of line number and quantity, modulo 5 and from 1: small whole numbers."""
+    t = TensorRel.from_table(table(spark, sf_dir, "lineitem"), [F.col(c).cast("bigint") % 2 for c in EDGES[0]], F.lit(1), [2, 2])
+    return TensorRel(t.df.withColumn("v", F.col("v") % 5 + 1), [2, 2], "i64")
 
 
 def network_relational(spark, sf_dir):
     spec = regular_network(10)
-    t = TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2], "i64")
-    return C.einsum(spec, *[t] * len(spec.ixs), strategy="relational").df
+    return C.einsum(spec, *[counts_of(spark, sf_dir)] * len(spec.ixs), strategy="relational").df
 
 
 def network_relational_sql() -> str:
     spec = regular_network(10)
-    cells = "(VALUES (0, 0, 1), (1, 0, 2), (0, 1, 3), (1, 1, 4)) AS x(d0, d1, v)"
-    return "WITH e AS (SELECT * FROM " + cells + ") " + flat_sql(spec, ["e"] * len(spec.ixs))
+    a, b = EDGES[0]
+    cells = f"SELECT CAST({a} AS BIGINT) % 2 AS d0, CAST({b} AS BIGINT) % 2 AS d1, COUNT(*) % 5 + 1 AS v FROM lineitem GROUP BY 1, 2"
+    return f"WITH e AS MATERIALIZED ({cells}) " + flat_sql(spec, ["e"] * len(spec.ixs))
+
+
+def network_document(spark, sf_dir):
+    """A network document of regions and their nations, written and read: an edge for each nation, with a tree."""
+    pairs = sorted((r["n_regionkey"], r["n_nationkey"]) for r in table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").collect())
+    spec = optimize(EinsumSpec([(f"r{r}", f"n{n}") for r, n in pairs], (), {c: 2 for r, n in pairs for c in (f"r{r}", f"n{n}")}))
+    with tempfile.TemporaryDirectory() as folder:  # a small document, on the driver alone
+        json_io.write_json(json_io.network_document(spec, 2), f"{folder}/network.json")
+        spec = json_io.read_network(f"{folder}/network.json")
+    return C.einsum(spec, *[share(spark, sf_dir, EDGES[1])] * len(spec.ixs)).df.select(F.round(F.log("v"), 6).alias("log_v"))
+
+
+#: Each region's value to the power of its nations, added up over the region's two values, for all regions.
+NETWORK_DOCUMENT_SQL = f"""WITH {EDGES_SQL}, s AS (SELECT d0, SUM(v) AS v FROM e1 GROUP BY 1), n AS (SELECT n_regionkey AS r, COUNT(*) AS c FROM nation GROUP BY 1)
+SELECT round(SUM(l), 6) AS log_v FROM (SELECT r, ln(SUM(pow(v, c))) AS l FROM n, s GROUP BY r)"""
+
+
+def gram_blocks(spark, sf_dir):
+    """W'W in blocks of 2^10 cells."""
+    w = base(spark, sf_dir, "W")
+    return blocked.contract_binary(w, w, "ij", "ik", "jk", cells=1 << 10).df
+
+
+def matmul_blocks(spark, sf_dir):
+    """L L' in blocks of 2^12 cells."""
+    x = base(spark, sf_dir, "L")
+    return blocked.contract_binary(x, x, "ij", "kj", "ik", cells=1 << 12).df
+
+
+def maxplus_blocks(spark, sf_dir):
+    x = base(spark, sf_dir, "L")
+    return blocked.contract_binary(x, x, "ij", "kj", "ik", "maxplus", cells=1 << 12).df
+
+
+def blocked_sql(algebra: str, having: str = "") -> str:
+    return with_tables(["L"], flat_sql(parse("ij,kj->ik"), ["x_L"] * 2, algebra) + having)
+
+
+def skewed(spark, sf_dir, side: str) -> TensorRel:
+    """Lines by customer or supplier and a label of which one value has half of all rows: the part, or 0 for even ones."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    k = F.when(F.col("l_partkey") % 2 == 0, 0).otherwise(F.col("l_partkey"))
+    n = top(table(spark, sf_dir, "customer"), "c_custkey") if side == "o_custkey" else top(table(spark, sf_dir, "supplier"), "s_suppkey")
+    return TensorRel.from_table(lines, [side, k], F.lit(1), [n, top(table(spark, sf_dir, "part"), "p_partkey")])
+
+
+def skewed_matmul(spark, sf_dir):
+    """Customers by suppliers over the skewed label, whose frequent value is dealt as a grid."""
+    return skew.contract_binary(skewed(spark, sf_dir, "o_custkey"), skewed(spark, sf_dir, "l_suppkey"), "ck", "sk", "cs", force=True).df
+
+
+SKEWED_SQL = """WITH l AS (SELECT o_custkey c, l_suppkey s, CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_partkey END AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT c, k, COUNT(*) AS v FROM l GROUP BY 1, 2), b AS (SELECT s, k, COUNT(*) AS v FROM l GROUP BY 1, 2)
+SELECT CAST(c AS BIGINT) AS d0, CAST(s AS BIGINT) AS d1, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM a JOIN b ON a.k = b.k GROUP BY 1, 2"""
+
+
+def triangle_tensors(spark, sf_dir) -> list[TensorRel]:
+    """Quantity by supplier and part, lines by part and customer, lines by customer and supplier: sparse, and a cycle."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n = {"l_suppkey": top(table(spark, sf_dir, "supplier"), "s_suppkey"), "l_partkey": top(table(spark, sf_dir, "part"), "p_partkey"), "o_custkey": top(table(spark, sf_dir, "customer"), "c_custkey")}
+    of = lambda a, b: TensorRel.from_table(lines, [a, b], F.lit(1), [n[a], n[b]])
+    return [base(spark, sf_dir, "L"), of("l_partkey", "o_custkey"), of("o_custkey", "l_suppkey")]
+
+
+def triangles(spark, sf_dir):
+    """Suppliers by their triangles with parts and customers, in one round."""
+    return hypercube.execute("sp,pc,cs->s", triangle_tensors(spark, sf_dir)).df
+
+
+def triangles_maxplus(spark, sf_dir):
+    return hypercube.execute("sp,pc,cs->s", triangle_tensors(spark, sf_dir), "maxplus").df
+
+
+def triangles_sql(form: str) -> str:
+    return with_tables(["L"], "").rstrip() + f""", l AS (SELECT o_custkey c, l_suppkey s, l_partkey p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+y AS MATERIALIZED (SELECT p, c, COUNT(*) AS v FROM l GROUP BY 1, 2), z AS MATERIALIZED (SELECT c, s, COUNT(*) AS v FROM l GROUP BY 1, 2)
+SELECT CAST(x.d0 AS BIGINT) AS d0, CAST({form} AS BIGINT) AS v FROM x_L x JOIN y ON x.d1 = y.p JOIN z ON y.c = z.c AND z.s = x.d0 GROUP BY 1"""
+
+
+#: Labels of the rank 20 contractions: nine in common, eleven more of each side.
+RANK20 = (tuple(range(20)), (*range(9), *range(20, 31)), tuple(range(9, 31)))
+
+
+def rank20(spark, sf_dir) -> TensorRel:
+    """Customers by twenty bits: eleven of the key, five of the nation, four of the balance."""
+    bit = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1).cast("bigint"))
+    c = [F.col("c_custkey").cast("bigint"), F.col("c_nationkey").cast("bigint"), F.floor(F.abs("c_acctbal")).cast("bigint")]
+    bits = [bit(c[0], i) for i in range(11)] + [bit(c[1], i) for i in range(5)] + [bit(c[2], i) for i in range(4)]
+    return TensorRel.from_table(table(spark, sf_dir, "customer"), bits, F.lit(1), [2] * 20)
+
+
+def rank20_pair(spark, sf_dir):
+    """The contraction of nine of twenty labels, added up to the last ten."""
+    x = rank20(spark, sf_dir)
+    return C.unary(C.contract_binary(x, x, *RANK20), RANK20[2], RANK20[2][12:]).df
+
+
+def rank20_blocks(spark, sf_dir):
+    x = rank20(spark, sf_dir)
+    return C.unary(blocked.contract_binary(x, x, *RANK20, cells=1 << 14), RANK20[2], RANK20[2][12:]).df
+
+
+def rank20_sql() -> str:
+    bits = [f"(CAST(c_custkey AS BIGINT) >> {i}) & 1" for i in range(11)] + [f"(CAST(c_nationkey AS BIGINT) >> {i}) & 1" for i in range(5)] + [f"(CAST(floor(abs(c_acctbal)) AS BIGINT) >> {i}) & 1" for i in range(4)]
+    x = "SELECT " + ", ".join(f"{b} AS d{i}" for i, b in enumerate(bits)) + ", COUNT(*) AS v FROM customer GROUP BY ALL"
+    return f"WITH x AS MATERIALIZED ({x}) " + flat_sql(EinsumSpec(RANK20[:2], RANK20[2][12:]), ["x", "x"])
+
+
+#: A ring with opposite chords, of 75 tensors.
+RING = optimize(regular_network(50))
+
+
+def grad_network(spark, sf_dir):
+    """All gradients of a network of 75 tensors from lineitem: each operand's with the operand itself gives the result."""
+    ts = edges(spark, sf_dir, RING)
+    _, grads = cost_and_gradient(RING, ts)
+    out = None
+    for i, (t, g) in enumerate(zip(ts, grads, strict=True)):
+        row = g.df.withColumnRenamed("v", "g").select(F.lit(i).cast("long").alias("operand"), F.lit(i % 3).alias("kind"), "d0", "d1", "g")
+        out = row if out is None else out.unionAll(row)
+    cells = None
+    for k in range(3):
+        x = ts[k].df.select(F.lit(k).alias("kind"), "d0", "d1", "v")
+        cells = x if cells is None else cells.unionAll(x)
+    return out.join(F.broadcast(cells), ["kind", "d0", "d1"]).groupBy("operand").agg(F.round(F.log(F.sum(F.col("g") * F.col("v"))), 6).alias("log_v"))
+
+
+def grad_network_sql() -> str:
+    found = network_sql(RING)
+    at = found.rindex(" SELECT ")
+    return found[:at] + ", z AS (" + found[at:] + ") SELECT CAST(x AS BIGINT) AS operand, log_v FROM range(75) r(x), z"
+
+
+def grad_chain(spark, sf_dir):
+    """Gradients of all twelve operands of b G' G' ... G' b, G' being G over its total, by joins and staged tables."""
+    g, b = base(spark, sf_dir, "G"), base(spark, sf_dir, "b")
+    of = lambda t: TensorRel(t.df.withColumn("v", F.col("v").cast("double") / F.lit(float(t.sum().item() or 1))), t.shape, "f64")
+    g, b = of(g), of(b)
+    spec = EinsumSpec(((0,), *((i, i + 1) for i in range(10)), (10,)), ()).with_tree(left_deep(12))
+    ts = [b, *[g] * 10, b]
+    _, grads = cost_and_gradient(spec, ts, strategy="relational")
+    out = None
+    for i, (t, x) in enumerate(zip(ts, grads, strict=True)):
+        both = x.df.withColumnRenamed("v", "g").join(t.df, t.dims)
+        row = both.agg(F.round(F.log(F.sum(F.col("g") * F.col("v"))), 6).alias("log_v")).select(F.lit(i).cast("long").alias("operand"), "log_v")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+GRAD_CHAIN_SQL = (
+    ", g AS MATERIALIZED (SELECT d0, d1, CAST(v AS DOUBLE) / (SELECT CAST(SUM(v) AS DOUBLE) FROM x_G) AS v FROM x_G), c0 AS MATERIALIZED (SELECT d0, CAST(v AS DOUBLE) / (SELECT CAST(SUM(v) AS DOUBLE) FROM x_b) AS v FROM x_b), "
+    + ", ".join(f"c{i + 1} AS MATERIALIZED (SELECT g.d1 AS d0, SUM(c{i}.v * g.v) AS v FROM c{i} JOIN g ON c{i}.d0 = g.d0 GROUP BY 1)" for i in range(10))
+    + " SELECT CAST(x AS BIGINT) AS operand, (SELECT round(ln(SUM(a.v * b.v)), 6) FROM c10 a JOIN c0 b ON a.d0 = b.d0) AS log_v FROM range(12) r(x)"
+)
+
+
+def t_method(spark, sf_dir):
+    return base(spark, sf_dir, "G").t().contiguous().df
+
+
+def tensor_metadata(spark, sf_dir):
+    """Rank, size and stride of each axis of some tensors, and their cells."""
+    rows = []
+    for name in ("G", "L", "SN"):
+        t = base(spark, sf_dir, name)
+        rows += [(name, i, t.ndim, n, s, t.numel, t.is_contiguous) for i, (n, s) in enumerate(zip(t.shape, t.strides, strict=True))]
+    return spark.createDataFrame(rows, "tensor string, axis int, ndim int, size long, stride long, numel long, contiguous boolean")
+
+
+METADATA_SQL = """WITH n AS (SELECT CAST(MAX(n_nationkey) + 1 AS BIGINT) AS n FROM nation), s AS (SELECT CAST(MAX(s_suppkey) + 1 AS BIGINT) AS s FROM supplier), p AS (SELECT CAST(MAX(p_partkey) + 1 AS BIGINT) AS p FROM part),
+x AS (SELECT 'G' AS tensor, n AS a, n AS b FROM n UNION ALL SELECT 'L', s, p FROM s, p UNION ALL SELECT 'SN', s, n FROM s, n)
+SELECT tensor, axis, 2 AS ndim, CASE axis WHEN 0 THEN a ELSE b END AS size, CASE axis WHEN 0 THEN 1 ELSE a END AS stride, a * b AS numel, true AS contiguous FROM x, (VALUES (0), (1)) AS y(axis)"""
+
+
+def zero_cells(spark, sf_dir):
+    """Cells of T that are the zero of ordinary and of max-plus algebra, and cells above 3, by line number."""
+    t = base(spark, sf_dir, "T")
+    a, m, kind = algebra("standard"), algebra("maxplus"), t.dtype
+    d, e = t.to_dense().df, t.to_dense("maxplus").df
+    count = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(name)
+    d = d.groupBy("d1").agg(count(is_zero(F.col("v"), a, kind), "zeros"), count(m.better(F.col("v"), F.lit(3)), "better"))
+    return d.join(e.groupBy("d1").agg(count(is_zero(F.col("v"), m, kind), "tropical_zeros")), "d1")
+
+
+ZERO_CELLS_SQL = """SELECT CAST(k.x AS BIGINT) AS d1, CAST(n * n - COUNT(t.v) AS BIGINT) AS zeros, CAST(n * n - COUNT(t.v) AS BIGINT) AS tropical_zeros, CAST(COUNT(CASE WHEN t.v > 3 THEN 1 END) AS BIGINT) AS better
+FROM (SELECT unnest(range((SELECT MAX(l_linenumber) + 1 FROM lineitem))) AS x) k CROSS JOIN (SELECT MAX(n_nationkey) + 1 AS n FROM nation) LEFT JOIN x_T t ON t.d1 = k.x GROUP BY k.x, n"""
+
+
+def gradient_hooks(spark, sf_dir):
+    """Gradients of x + y, x * y and max(x, y) for each cell of G and its mirror image, the gradient of the result being the cell's row."""
+    g = base(spark, sf_dir, "G")
+    d = g.df.join(g.t().df.withColumnRenamed("v", "w"), ["d0", "d1"])
+    x, y, dy, t = F.col("v"), F.col("w"), F.col("d0"), g.dtype
+    pair = lambda name, f, a: [c.cast("bigint").alias(f"{name}_{s}") for s, c in zip("xy", f(algebra(a), x, y, dy, t), strict=True)]
+    return d.select("d0", "d1", *pair("plus", plus_gradient, "standard"), *pair("times", times_gradient, "standard"), *pair("max", plus_gradient, "maxplus"), *pair("added", times_gradient, "maxplus"))
+
+
+HOOKS_SQL = """SELECT CAST(g.d0 AS BIGINT) AS d0, CAST(g.d1 AS BIGINT) AS d1, CAST(g.d0 AS BIGINT) AS plus_x, CAST(g.d0 AS BIGINT) AS plus_y, CAST(g.d0 * h.v AS BIGINT) AS times_x, CAST(g.d0 * g.v AS BIGINT) AS times_y,
+CAST(CASE WHEN h.v > g.v THEN 0 ELSE g.d0 END AS BIGINT) AS max_x, CAST(CASE WHEN h.v > g.v THEN g.d0 ELSE 0 END AS BIGINT) AS max_y, CAST(g.d0 AS BIGINT) AS added_x, CAST(g.d0 AS BIGINT) AS added_y FROM x_G g JOIN x_G h ON g.d0 = h.d1 AND g.d1 = h.d0"""
 
 
 def gram_dense(spark, sf_dir):
@@ -481,24 +736,30 @@ SELECT 0 AS side, CAST(y.d0 AS BIGINT) AS d0, CAST(y.d1 AS BIGINT) AS d1, CAST(g
 UNION ALL SELECT 1, CAST(t.d0 AS BIGINT), CAST(t.d2 AS BIGINT), CAST(-1 AS BIGINT), CAST(SUM(t.v * y.v) AS BIGINT) FROM x_T t JOIN y ON t.d0 = y.d0 AND t.d1 = y.d1 GROUP BY 2, 3 HAVING SUM(t.v * y.v) <> 0"""
 
 
-def documents_of(spark, sf_dir, folder: str, order: str) -> str:
-    """A tensor document of the nations by region, twice; the command line reads it on the driver."""
-    t = base(spark, sf_dir, "NR")
-    entry = {"shape": list(t.shape), "data": [float(x) for x in t.to_list(order=order)]}
-    json_io.write_json({"dtype": "f64", "order": order, "tensors": [entry, entry]}, f"{folder}/tensors.json")
-    return f"{folder}/tensors.json"
+def documents_of(spark, sf_dir, order: str) -> str:
+    """A tensor document of the customers by nation, twice, written by tasks to the shared folder."""
+    t = base(spark, sf_dir, "CN")
+    t = TensorRel(t.df.withColumn("v", F.col("v").cast("double")), t.shape, "f64")
+    path = new_folder(spark, "tensors")
+    json_parts.write_tensors(path, [t, t], order)
+    return path
 
 
-def from_document(spark, entry: dict, order: str) -> DataFrame:
-    t = TensorRel.from_data(spark, entry["data"], entry["shape"], "f64", order)
+def whole_numbers(t: TensorRel) -> DataFrame:
     return t.df.select(*t.dims, F.col("v").cast("bigint").alias("v")).where("v <> 0")
 
 
+def of_result(spark, path: str, entry=None) -> TensorRel:
+    """The tensor of a result document, or of a gradient's entry in one."""
+    d = json_parts.Document(spark, path)
+    t, order = json_io.checked(d.doc)
+    return d.tensor(d.doc if entry is None else entry(d.doc), t, order)
+
+
 def json_tensors(spark, sf_dir):
     """A tensor document in row-major order, written and read."""
-    with tempfile.TemporaryDirectory() as folder:
-        ts, order = json_io.read_tensors(spark, documents_of(spark, sf_dir, folder, "row_major"))
-    return ts[1].df.select("d0", "d1", F.col("v").cast("bigint").alias("v")).where("v <> 0")
+    ts, order = json_io.read_tensors(spark, documents_of(spark, sf_dir, "row_major"))
+    return whole_numbers(ts[1])
 
 
 def command(*args: str) -> None:
@@ -507,34 +768,60 @@ def command(*args: str) -> None:
 
 
 def cli_contract(spark, sf_dir):
-    with tempfile.TemporaryDirectory() as folder:
-        tensors = documents_of(spark, sf_dir, folder, "row_major")
-        command("contract", tensors, "--expr", "ij,kj->ik", "-o", f"{folder}/out.json")
-        out = json_io.read_json(f"{folder}/out.json")
-    return from_document(spark, out, out["order"])
+    out = new_folder(spark, "result")
+    command("contract", documents_of(spark, sf_dir, "row_major"), "--expr", "ij,ik->jk", "--parts", "-o", out)
+    return whole_numbers(of_result(spark, out))
 
 
 def cli_topology(spark, sf_dir):
     """An order found by one command and followed by another."""
-    with tempfile.TemporaryDirectory() as folder:
-        tensors = documents_of(spark, sf_dir, folder, "col_major")
-        n, r = json_io.read_json(tensors)["tensors"][0]["shape"]
+    tensors, out = documents_of(spark, sf_dir, "col_major"), new_folder(spark, "result")
+    n, r = base(spark, sf_dir, "CN").shape
+    with tempfile.TemporaryDirectory() as folder:  # a small document, on the driver alone
         command("optimize", "ni,nj->ij", "--sizes", f"n={n},i={r},j={r}", "--method", "treesa", "-o", f"{folder}/topology.json")
-        command("contract", tensors, "-t", f"{folder}/topology.json", "-o", f"{folder}/out.json")
-        out = json_io.read_json(f"{folder}/out.json")
-    return from_document(spark, out, out["order"])
+        command("contract", tensors, "-t", f"{folder}/topology.json", "--parts", "-o", out)
+    return whole_numbers(of_result(spark, out))
 
 
 def cli_autodiff(spark, sf_dir):
     """The gradient of a sum of squares, as sum of its two parts."""
-    with tempfile.TemporaryDirectory() as folder:
-        tensors = documents_of(spark, sf_dir, folder, "col_major")
-        command("autodiff", tensors, "--expr", "nr,nr->", "-o", f"{folder}/out.json")
-        out = json_io.read_json(f"{folder}/out.json")
-    both = [from_document(spark, g, out["order"]) for g in out["gradients"]]
+    out = new_folder(spark, "gradients")
+    command("autodiff", documents_of(spark, sf_dir, "col_major"), "--expr", "nr,nr->", "--parts", "-o", out)
+    both = [whole_numbers(of_result(spark, out, lambda d, i=i: d["gradients"][i])) for i in range(2)]
+    return both[0].unionAll(both[1]).groupBy("d0", "d1").agg(F.sum("v").alias("v"))
+
+
+def cli_seed(spark, sf_dir):
+    """Gradients of a product with G as that of the result, from a document of its own, as sum of both."""
+    g, out, seed = base(spark, sf_dir, "G"), new_folder(spark, "gradients"), new_folder(spark, "seed")
+    json_parts.write_result(seed, TensorRel(g.df.withColumn("v", F.col("v").cast("double")), g.shape, "f64"), "row_major")
+    command("autodiff", documents_of(spark, sf_dir, "row_major"), "--expr", "cn,cm->nm", "--grad-output", seed, "--parts", "-o", out)
+    both = [whole_numbers(of_result(spark, out, lambda d, i=i: d["gradients"][i])) for i in range(2)]
     return both[0].unionAll(both[1]).groupBy("d0", "d1").agg(F.sum("v").alias("v"))
 
 
+SEED_SQL = """SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, CAST(SUM(v) AS BIGINT) AS v FROM (
+SELECT c.d0, g.d0 AS d1, g.v FROM x_CN c JOIN x_G g ON g.d1 = c.d1 UNION ALL SELECT c.d0, g.d1, g.v FROM x_CN c JOIN x_G g ON g.d0 = c.d1) GROUP BY 1, 2"""
+
+
+def cli_errors(spark, sf_dir):
+    """Exit codes of commands over the customers' document: one that works and some that can't."""
+    tensors, out = documents_of(spark, sf_dir, "col_major"), new_folder(spark, "result")
+    cases = {
+        "contract": ["contract", tensors, "--expr", "ij,ik->jk", "--parts", "-o", out],
+        "mismatch": ["contract", tensors, "--expr", "ij,jk->ik"],
+        "rank": ["contract", tensors, "--expr", "ijk,ik->jk"],
+        "operands": ["contract", tensors, "--expr", "ij->ji"],
+        "neither": ["contract", tensors],
+        "seed": ["autodiff", tensors, "--expr", "ij,ik->jk"],
+        "absent": ["contract", tensors + "-none", "--expr", "ij,ik->jk"],
+    }
+    with contextlib.redirect_stderr(io.StringIO()):
+        rows = [(name, cli.main(args)) for name, args in cases.items()]
+    cells = of_result(spark, out).df.where("v <> 0").agg(F.count("*").alias("cells"))
+    return spark.createDataFrame(rows, "command string, code int").join(F.broadcast(cells))
+
+
 def region_seed(spark, sf_dir):
     return C.einsum("ij,ia,jb->ab", *operands(spark, sf_dir, "G,NR,NR", ""))
 
@@ -549,7 +836,7 @@ OWN: dict[str, tuple[Callable, str | None]] = {
     "reshape_G": (reshape_G, with_tables(["G"], "SELECT (d0 + n * d1) % 125 AS d0, (d0 + n * d1) // 125 AS d1, v FROM x_G, (SELECT CAST(MAX(n_nationkey) + 1 AS BIGINT) AS n FROM nation)")),
     "sum_axis_T": (sum_axis_T, with_tables(["T"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d2 AS BIGINT) AS d1, CAST(SUM(v) AS BIGINT) AS v FROM x_T GROUP BY 1, 2")),
     "diag_embed_b_dense": (trace_dense_b, with_tables(["b"], "SELECT CAST(i.x AS BIGINT) AS d0, CAST(j.x AS BIGINT) AS d1, CASE WHEN i.x = j.x THEN COALESCE(b.v, 0) ELSE 0 END AS v FROM (SELECT unnest(range((SELECT MAX(n_nationkey) + 1 FROM nation))) AS x) i, (SELECT unnest(range((SELECT MAX(n_nationkey) + 1 FROM nation))) AS x) j LEFT JOIN x_b b ON b.d0 = i.x")),
-    "zeros_2x3": (zeros_2x3, "SELECT CAST(a.x AS BIGINT) AS d0, CAST(b.x AS BIGINT) AS d1, CAST(0 AS BIGINT) AS v FROM range(2) a(x), range(3) b(x)"),
+    "zeros_G": (zeros_G, "SELECT CAST(a.x AS BIGINT) AS d0, CAST(b.x AS BIGINT) AS d1, CAST(0 AS BIGINT) AS v FROM (SELECT unnest(range((SELECT MAX(n_nationkey) + 1 FROM nation))) AS x) a, (SELECT unnest(range((SELECT MAX(n_nationkey) + 1 FROM nation))) AS x) b"),
     "greedy_vs_treesa": (greedy_vs_treesa, "SELECT CAST(0 AS BIGINT) AS different"),
     "argmax_matmul": (argmax_matmul, with_tables(["G"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, v, CAST(k AS BIGINT) AS k FROM (" + ARGMAX_SQL.format(order="DESC") + ")")),
     "argmin_matmul": (argmin_matmul, with_tables(["G"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, v, CAST(k AS BIGINT) AS k FROM (" + ARGMAX_SQL.format(order="ASC") + ")")),
@@ -580,16 +867,37 @@ OWN: dict[str, tuple[Callable, str | None]] = {
     "builder_matmul": (builder_matmul, with_tables(["G"], flat_sql(parse("ij,kj->ik"), ["x_G"] * 2))),
     "argmax_tree": (argmax_tree, with_tables(["G"], "").rstrip() + ARGMAX_TREE_SQL),
     "binary_backward": (binary_backward, with_tables(["T", "G"], "").rstrip() + BACKWARD_SQL),
-    "json_tensors": (json_tensors, with_tables(["NR"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, v FROM x_NR")),
-    "cli_contract": (cli_contract, with_tables(["NR"], flat_sql(parse("ij,kj->ik"), ["x_NR"] * 2))),
-    "cli_topology": (cli_topology, with_tables(["NR"], flat_sql(parse("ni,nj->ij"), ["x_NR"] * 2))),
-    "cli_autodiff": (cli_autodiff, with_tables(["NR"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, 2 * v AS v FROM x_NR")),
+    "argmax_tensors": (argmax_tensors, with_tables(["G"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, v, CAST(k AS BIGINT) AS k FROM (" + ARGMAX_SQL.format(order="DESC") + ")")),
+    "json_tensors": (json_tensors, with_tables(["CN"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, v FROM x_CN")),
+    "cli_contract": (cli_contract, with_tables(["CN"], flat_sql(parse("ij,ik->jk"), ["x_CN"] * 2))),
+    "cli_topology": (cli_topology, with_tables(["CN"], flat_sql(parse("ni,nj->ij"), ["x_CN"] * 2))),
+    "cli_autodiff": (cli_autodiff, with_tables(["CN"], "SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, 2 * v AS v FROM x_CN")),
+    "cli_seed": (cli_seed, with_tables(["CN", "G"], SEED_SQL)),
+    "cli_errors": (cli_errors, with_tables(["CN"], "SELECT command, code, (SELECT COUNT(DISTINCT d1) FROM x_CN) AS cells FROM (VALUES ('contract', 0), ('mismatch', 1), ('rank', 1), ('operands', 1), ('neither', 1), ('seed', 1), ('absent', 1)) AS x(command, code)")),
     "optimize_topology": (topology, TOPOLOGY_SQL),
-    "network_small": (network(10), network_sql(10)),
-    "network_medium": (network(50), network_sql(50)),
-    "network_large": (network(100), network_sql(100)),
-    "network_225": (network(150), network_sql(150)),
+    "network_small": (network(regular_network(10)), network_sql(regular_network(10))),
+    "network_medium": (network(regular_network(50)), network_sql(regular_network(50))),
+    "network_large": (network(regular_network(100)), network_sql(regular_network(100))),
+    "network_225": (network(regular_network(150)), network_sql(regular_network(150))),
+    "network_chords": (network(CHORDS), network_sql(CHORDS)),
+    "network_sliced": (network_sliced, network_sql(CHORDS)),
     "network_relational": (network_relational, network_relational_sql()),
+    "network_document": (network_document, NETWORK_DOCUMENT_SQL),
+    "sliced_clique": (sliced_clique, sliced_clique_sql()),
+    "gram_blocks": (gram_blocks, with_tables(["W"], flat_sql(parse("ij,ik->jk"), ["x_W"] * 2) + " HAVING SUM(t0.v * t1.v) <> 0")),
+    "matmul_blocks": (matmul_blocks, blocked_sql("standard", " HAVING SUM(t0.v * t1.v) <> 0")),
+    "maxplus_blocks": (maxplus_blocks, blocked_sql("maxplus")),
+    "skewed_matmul": (skewed_matmul, SKEWED_SQL),
+    "triangles": (triangles, triangles_sql("SUM(x.v * y.v * z.v)")),
+    "triangles_maxplus": (triangles_maxplus, triangles_sql("MAX(x.v + y.v + z.v)")),
+    "rank20_pair": (rank20_pair, rank20_sql()),
+    "rank20_blocks": (rank20_blocks, rank20_sql()),
+    "grad_network": (grad_network, grad_network_sql()),
+    "grad_chain12": (grad_chain, with_tables(["G", "b"], "").rstrip() + GRAD_CHAIN_SQL),
+    "t_method": (t_method, with_tables(["G"], "SELECT CAST(d1 AS BIGINT) AS d0, CAST(d0 AS BIGINT) AS d1, v FROM x_G")),
+    "tensor_metadata": (tensor_metadata, METADATA_SQL),
+    "zero_cells": (zero_cells, with_tables(["T"], ZERO_CELLS_SQL)),
+    "gradient_hooks": (gradient_hooks, with_tables(["G"], HOOKS_SQL)),
 }
 
 
