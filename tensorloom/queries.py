@@ -17,6 +17,9 @@ from .functions.algebra import algebra, custom, is_zero, plus_gradient, times_gr
 from .operators import blocked, dense, hypercube, skew, sliced
 from .operators import contract as C
 from .operators.autodiff import contract_binary_backward, cost_and_gradient, einsum_with_grad
+from .operators.factored import einsum as factored_einsum
+from .operators.factored import factored
+from .operators.kbest import k_best
 from .plans.order import complexity, optimize
 from .plans.spec import EinBuilder, EinsumSpec, parse
 from .plans.sql import flat_sql, tree_sql
@@ -610,6 +613,35 @@ GRAD_CHAIN_SQL = (
 )
 
 
+def kbest_matmul(spark, sf_dir):
+    """The three greatest sums of two cells of G for each pair of nations, with the nation between."""
+    g = base(spark, sf_dir, "G")
+    return k_best("ij,jk->ik", g, g, k=3)[0]
+
+
+def kbest_paths(spark, sf_dir):
+    """The four least sums of three cells of G for each pair of nations."""
+    g = base(spark, sf_dir, "G")
+    return k_best("ij,jk,kl->il", g, g, g, k=4, algebra="minplus")[0].select("d0", "d1", "rank", "v")
+
+
+def kbest_sql(names: str, v: str, join: str, ends: str, order: str, k: int, witness: str = "") -> str:
+    """Members ranked in each cell; ties by the witness, which doesn't show where it isn't selected."""
+    w = f", CAST({witness} AS BIGINT) AS w0" if witness else ""
+    rank = f"CAST(ROW_NUMBER() OVER (PARTITION BY a.d0, {ends} ORDER BY {v} {order}{', ' + witness if witness else ''}) AS INTEGER) AS rank"
+    return with_tables([names], f"SELECT * FROM (SELECT CAST(a.d0 AS BIGINT) AS d0, CAST({ends} AS BIGINT) AS d1, {rank}, CAST({v} AS BIGINT) AS v{w} FROM {join}) WHERE rank <= {k}")
+
+
+def factored_outer(spark, sf_dir):
+    """Four tables of nations by region as an outer product of eight labels that is never made, contracted with flows between their nations."""
+    nr, g = base(spark, sf_dir, "NR"), small(base(spark, sf_dir, "G"))
+    outer = factored("ij,kl,mn,op->ijklmnop", nr, nr, nr, nr)
+    return factored_einsum("ijklmnop,ik,km,mo->jlnp", outer, g, g, g).df
+
+
+FACTORED_SQL = "SELECT CAST(a.d1 AS BIGINT) AS d0, CAST(b.d1 AS BIGINT) AS d1, CAST(c.d1 AS BIGINT) AS d2, CAST(d.d1 AS BIGINT) AS d3, CAST(SUM((x.v % 10) * (y.v % 10) * (z.v % 10)) AS BIGINT) AS v FROM x_NR a JOIN x_G x ON x.d0 = a.d0 JOIN x_NR b ON b.d0 = x.d1 JOIN x_G y ON y.d0 = b.d0 JOIN x_NR c ON c.d0 = y.d1 JOIN x_G z ON z.d0 = c.d0 JOIN x_NR d ON d.d0 = z.d1 GROUP BY ALL"
+
+
 def t_method(spark, sf_dir):
     return base(spark, sf_dir, "G").t().contiguous().df
 
@@ -894,6 +926,9 @@ OWN: dict[str, tuple[Callable, str | None]] = {
     "rank20_blocks": (rank20_blocks, rank20_sql()),
     "grad_network": (grad_network, grad_network_sql()),
     "grad_chain12": (grad_chain, with_tables(["G", "b"], "").rstrip() + GRAD_CHAIN_SQL),
+    "kbest_matmul": (kbest_matmul, kbest_sql("G", "(a.v + b.v)", "x_G a JOIN x_G b ON a.d1 = b.d0", "b.d1", "DESC", 3, "a.d1")),
+    "kbest_paths": (kbest_paths, kbest_sql("G", "(a.v + b.v + c.v)", "x_G a JOIN x_G b ON a.d1 = b.d0 JOIN x_G c ON b.d1 = c.d0", "c.d1", "ASC", 4)),
+    "factored_outer": (factored_outer, with_tables(["NR", "G"], FACTORED_SQL)),
     "t_method": (t_method, with_tables(["G"], "SELECT CAST(d1 AS BIGINT) AS d0, CAST(d0 AS BIGINT) AS d1, v FROM x_G")),
     "tensor_metadata": (tensor_metadata, METADATA_SQL),
     "zero_cells": (zero_cells, with_tables(["T"], ZERO_CELLS_SQL)),

@@ -1,0 +1,72 @@
+"""The k best products of each cell against enumeration."""
+
+import itertools
+
+import numpy as np
+import pytest
+
+from tensorloom.operators import contract as C
+from tensorloom.operators.kbest import k_best
+from tensorloom.plans.spec import parse
+from tensorloom.sources.tensor import TensorRel
+
+
+def make(spark, text, seed=0, density=0.7, size=4):
+    spec = parse(text)
+    rng = np.random.default_rng(seed)
+    sizes = {c: size + i % 2 for i, c in enumerate(dict.fromkeys(c for x in spec.ixs for c in x))}
+    cells, ts = [], []
+    for ix in spec.ixs:
+        shape = [sizes[c] for c in ix]
+        at = [tuple(map(int, p)) for p in np.argwhere(rng.random(shape) < density)]
+        cells.append({p: int(rng.integers(-3, 4)) for p in at})
+        df = spark.createDataFrame([(*p, v) for p, v in cells[-1].items()], ", ".join([*(f"d{i} long" for i in range(len(ix))), "v long"]))
+        ts.append(TensorRel(df, shape, "i64"))
+    return spec, sizes, cells, ts
+
+
+def brute(spec, sizes, cells, witness, k, sign):
+    labels = list(sizes)
+    found = {}
+    for point in itertools.product(*(range(sizes[c]) for c in labels)):
+        at = dict(zip(labels, point, strict=True))
+        keys = [tuple(at[c] for c in ix) for ix in spec.ixs]
+        if all(p in x for p, x in zip(keys, cells, strict=True)):
+            v = sum(x[p] for p, x in zip(keys, cells, strict=True))
+            found.setdefault(tuple(at[c] for c in spec.iy), []).append((-sign * v, tuple(at[c] for c in witness)))
+    return {(*cell, i + 1, -sign * v): w for cell, x in found.items() for i, (v, w) in enumerate(sorted(x)[:k])}
+
+
+@pytest.mark.parametrize("text", ["ij,jk->ik", "ij,jk,kl->il", "(ij,jk),kl->il", "ij,jk,ki->i", "i,ij,j->", "ij->i", "ij,kj->ijk", "ij,jk,kl,lm->im"])
+@pytest.mark.parametrize("algebra,k", [("maxplus", 3), ("minplus", 1), ("minplus", 50)])
+def test_against_enumeration(spark, text, algebra, k):
+    spec, sizes, cells, ts = make(spark, text, seed=len(text) + k)
+    df, witness = k_best(text, *ts, k=k, algebra=algebra)
+    rows = df.collect()
+    want = brute(spec, sizes, cells, witness, k, 1 if algebra == "maxplus" else -1)
+    n = len(spec.iy)
+    assert sorted(tuple(r)[: n + 2] for r in rows) == sorted(want)
+    of = [dict(zip([*spec.iy, *witness], [*tuple(r)[:n], *tuple(r)[n + 2 :]], strict=True)) for r in rows]
+    for r, at in zip(rows, of, strict=True):  # each witness makes its value, and none stands twice
+        assert r["v"] == sum(x[tuple(at[c] for c in ix)] for ix, x in zip(spec.ixs, cells, strict=True))
+    assert len({tuple(r)[:n] + tuple(r)[n + 2 :] for r in rows}) == len(rows)
+
+
+def test_one_best_is_the_tropical_contraction(spark):
+    _, _, _, ts = make(spark, "ij,jk->ik", seed=9)
+    df, _ = k_best("ij,jk->ik", *ts, k=1)
+    want = C.with_winners(ts, ["ij", "jk"], "ik", "maxplus")
+    assert sorted(tuple(r) for r in df.select("d0", "d1", "v", "w0").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_errors(spark):
+    _, _, _, ts = make(spark, "ij,jk->ik")
+    for text, options in (("ij,jk->ik", {"k": 0}), ("ij,jk->ik", {"k": 2, "algebra": "standard"}), ("ij,jk->ii", {"k": 2})):
+        with pytest.raises(ValueError):
+            k_best(text, *ts, **options)
+
+
+def test_k_rows_of_each_cell_leave_a_task(spark):
+    _, _, _, ts = make(spark, "ij,jk->ik")
+    plan = k_best("ij,jk->ik", *ts, k=2)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "ollect_list" not in plan
