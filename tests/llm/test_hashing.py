@@ -92,3 +92,21 @@ def test_thue_morse_passages_stay(spark):
         want.append(sum(any(hit[max(0, i - 199) : i + 1]) for i in range(len(t))))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["__sd_n_removed"] for r in sorted(S.remove_repeats(d).collect(), key=lambda r: r.doc_id)] == want
+
+
+def test_words_in_any_buffer():
+    """Equal words have equal hashes wherever they stand, different ones different hashes, of all lengths."""
+    rng = random.Random(3)
+    every = {bytes(rng.choices(range(256), k=k)) for k in [*range(1, 140)] * 4} | {b"\0" * k for k in range(1, 140)} | {b"a", b"a\0", b"\0a"}
+    every = sorted(every)
+
+    def hashed(ws):
+        ends = np.cumsum([len(w) for w in ws])
+        return H.words(np.frombuffer(b"".join(ws), dtype=np.uint8), ends - np.array([len(w) for w in ws]), ends)
+
+    one = hashed(every)
+    assert len(set(one.tolist())) == len(every)
+    order = rng.sample(range(len(every)), len(every))
+    assert (hashed([every[i] for i in order]) == one[order]).all()
+    assert [hashed([w])[0] for w in every[:50]] == one[:50].tolist()
+    assert len(H.words(np.empty(0, dtype=np.uint8), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))) == 0

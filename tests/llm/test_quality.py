@@ -104,3 +104,20 @@ def test_no_python_in_the_plan(spark):
 
     plan = queries()["op5_weak_supervision"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_row_by_row(spark):
+    """The query's counts by regular expressions and its verdict by rules and estimation in plain Python, for every row of the table."""
+    from test_pipeline import plain_quality
+
+    from tensorloom.llm.queries import queries, table
+
+    d = "/root/testdata/sf0.001"
+    rows = [r.asDict() for r in table(spark, d, "documents").collect()]
+    kept = {r["doc_id"] for r in plain_quality(rows)}
+    got = {r.doc_id: r for r in queries()["op5_weak_supervision"](spark, d).collect()}
+    assert len(got) == len(rows) and 0 < len(kept) < len(rows)
+    for r in rows:
+        want, x = brute(r["text"]), got[r["doc_id"]]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == want
+        assert x.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and x.kept == (r["doc_id"] in kept)
