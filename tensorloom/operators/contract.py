@@ -20,6 +20,7 @@ from ..functions.algebra import STANDARD, Algebra, algebra
 from ..functions.algebra import algebra as named
 from ..functions.dtypes import DType, dtype
 from ..plans.order import optimize
+from ..plans.sparse import by_rows
 from ..plans.spec import EinsumSpec, parse
 from ..plans.tree import left_deep, steps
 from ..shared import stage
@@ -287,14 +288,15 @@ def einsum(spec: EinsumSpec | str, *tensors: TensorRel, algebra: str | Algebra =
     strategy: "relational" builds joins and aggregates; "dense" evaluates the tree on arrays in one
     task, for networks of many small tensors; "sliced" does so in many tasks, with labels fixed until
     arrays are small enough; "auto" takes "dense" from DENSE_FROM operands if its memory bound holds,
-    else "relational".
+    else "relational". method: an order by "greedy", "treesa" or "left_deep" from the sizes, or by "rows",
+    from what the operands hold, which takes a job for each different one.
     """
     from . import dense, sliced
 
     a = named(algebra)
     spec, _ = prepared(spec, tensors, a, sizes)
     if spec.tree is None:
-        spec = optimize(spec, method)
+        spec = by_rows(spec, tensors) if method == "rows" else optimize(spec, method)
     if strategy not in ("auto", "relational", "dense", "sliced"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "sliced":

@@ -22,6 +22,7 @@ from .operators.factored import factored
 from .operators.kbest import k_best
 from .plans.order import complexity, optimize
 from .plans.spec import EinBuilder, EinsumSpec, parse
+from .plans.sparse import by_rows
 from .plans.sql import flat_sql, tree_sql
 from .plans.tree import left_deep
 from .shared import new_folder, ship_code
@@ -613,6 +614,21 @@ GRAD_CHAIN_SQL = (
 )
 
 
+def rows_order(spark, sf_dir):
+    """Customers by the suppliers of the parts that they ordered, in the order of the fewest rows: dense sizes have lines meet the suppliers of their parts first, rows the customer of their order."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = {c: top(table(spark, sf_dir, t), c) for t, c in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"))}
+    oc = TensorRel.from_table(orders, ["o_orderkey", "o_custkey"], F.lit(1), [n["o_orderkey"], n["c_custkey"]])
+    op = TensorRel.from_table(lines, ["l_orderkey", "l_partkey"], F.lit(1), [n["o_orderkey"], n["p_partkey"]])
+    ps = TensorRel.from_table(lines, ["l_partkey", "l_suppkey"], F.lit(1), [n["p_partkey"], n["s_suppkey"]])
+    return C.execute(by_rows(parse("oc,op,ps->cs"), [oc, op, ps]), [oc, op, ps]).df
+
+
+ROWS_ORDER_SQL = """WITH op AS (SELECT l_orderkey o, l_partkey p, COUNT(*) AS v FROM lineitem GROUP BY 1, 2), ps AS (SELECT l_partkey p, l_suppkey s, COUNT(*) AS v FROM lineitem GROUP BY 1, 2),
+cp AS MATERIALIZED (SELECT o_custkey c, p, SUM(v) AS v FROM op JOIN orders ON o_orderkey = o GROUP BY 1, 2)
+SELECT CAST(c AS BIGINT) AS d0, CAST(s AS BIGINT) AS d1, CAST(SUM(cp.v * ps.v) AS BIGINT) AS v FROM cp JOIN ps ON cp.p = ps.p GROUP BY 1, 2"""
+
+
 def kbest_matmul(spark, sf_dir):
     """The three greatest sums of two cells of G for each pair of nations, with the nation between."""
     g = base(spark, sf_dir, "G")
@@ -926,6 +942,7 @@ OWN: dict[str, tuple[Callable, str | None]] = {
     "rank20_blocks": (rank20_blocks, rank20_sql()),
     "grad_network": (grad_network, grad_network_sql()),
     "grad_chain12": (grad_chain, with_tables(["G", "b"], "").rstrip() + GRAD_CHAIN_SQL),
+    "rows_order": (rows_order, ROWS_ORDER_SQL),
     "kbest_matmul": (kbest_matmul, kbest_sql("G", "(a.v + b.v)", "x_G a JOIN x_G b ON a.d1 = b.d0", "b.d1", "DESC", 3, "a.d1")),
     "kbest_paths": (kbest_paths, kbest_sql("G", "(a.v + b.v + c.v)", "x_G a JOIN x_G b ON a.d1 = b.d0 JOIN x_G c ON b.d1 = c.d0", "c.d1", "ASC", 4)),
     "factored_outer": (factored_outer, with_tables(["NR", "G"], FACTORED_SQL)),

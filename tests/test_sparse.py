@@ -1,0 +1,88 @@
+"""Orders by rows and distinct values."""
+
+import itertools
+import random
+
+import pytest
+
+from tensorloom.operators import contract as C
+from tensorloom.plans import sparse as S
+from tensorloom.plans.order import optimize
+from tensorloom.plans.spec import EinsumSpec, parse
+from tensorloom.plans.tree import Leaf, Node, steps
+from tensorloom.sources.tensor import TensorRel
+
+
+def trees(items):
+    """All binary trees over some operands, up to the order of two members."""
+    if len(items) == 1:
+        yield Leaf(items[0])
+        return
+    first, rest = items[0], items[1:]
+    for n in range(len(rest)):
+        for some in itertools.combinations(rest, n):
+            others = [x for x in rest if x not in some]
+            for a in trees([first, *some]):
+                for b in trees(others):
+                    yield Node(a, b)
+
+
+@pytest.mark.parametrize("text", ["ij,jk,kl->il", "ij,jk,ki->", "ia,ib,ic->abc", "ab,bc,cd,da->", "ab,bc,cd,de,ea->c", "i,ij,jk,k,kl->l"])
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_orders_by_enumeration(text, seed):
+    """The least cost of all orders in which every join has a shared label."""
+    spec, rng = parse(text), random.Random(seed)
+    sizes = {c: rng.choice([3, 10, 50, 400]) for c in {c for x in spec.ixs for c in x}}
+    spec = spec.with_sizes(sizes)
+    found = [(rng.randint(1, 2000), [rng.randint(1, sizes[c]) for c in ix]) for ix in spec.ixs]
+    n = len(spec.ixs)
+    got = spec.with_tree(S.exact(S.Cost(spec, found), n))
+    connected = [t for t in map(spec.with_tree, trees(list(range(n)))) if all(set(s.left_labels) & set(s.right_labels) for s in steps(t.tree, t.ixs, t.iy))]
+    assert S.price_of(got, found) == pytest.approx(min(S.price_of(t, found) for t in connected))
+
+
+def chain(spark):
+    """Orders of customers, lines of orders by part, sizes of parts: many rows, but each order has one customer."""
+    rng = random.Random(1)
+    a = [(o, rng.randrange(40)) for o in range(400)]
+    b = sorted({(rng.randrange(400), rng.randrange(60)) for _ in range(900)})
+    c = [(p, z) for p in range(60) for z in range(5)]
+    of = lambda rows, n: TensorRel(spark.createDataFrame([(*r, 1) for r in rows], "d0 long, d1 long, v long"), n, "i64")
+    return [of(a, [400, 40]), of(b, [400, 60]), of(c, [60, 5])]
+
+
+def moved(spark, spec, ts):
+    """Rows that the joins of a tree make, counted."""
+    live, total = {i: (t, ix) for i, (t, ix) in enumerate(zip(ts, spec.ixs, strict=True))}, 0
+    for s in steps(spec.tree, spec.ixs, spec.iy):
+        (x, ix), (y, iy) = live.pop(s.left), live.pop(s.right)
+        every = tuple(dict.fromkeys([*ix, *iy]))
+        z = C.contract_binary(x, y, ix, iy, every)
+        total += z.df.count()
+        live[s.out] = C.unary(z, every, s.labels), s.labels
+    return total
+
+
+def test_fewer_rows_than_the_dense_order(spark):
+    ts = chain(spark)
+    spec = parse("oc,op,pz->cz").bind([t.shape for t in ts])
+    dense, rows = optimize(spec), S.by_rows(spec, ts)
+    a, b = moved(spark, dense, ts), moved(spark, rows, ts)
+    assert rows.tree != dense.tree and b < 0.8 * a
+    assert C.execute(rows, ts).to_list() == C.execute(dense, ts).to_list() == C.einsum("oc,op,pz->cz", *ts, method="rows").to_list()
+
+
+def test_statistics(spark):
+    ts = chain(spark)
+    found = S.statistics([ts[0], ts[2], ts[0]])
+    assert found[0] is found[2] and [n for n, _ in found] == [400, 300, 400]
+    assert found[1][1] == [pytest.approx(60, rel=0.1), 5] and found[0][1][0] <= 400
+
+
+def test_many_operands_and_repeated_labels(spark):
+    spec = EinsumSpec(tuple((i, i + 1) for i in range(14)), ()).with_sizes({i: 5 for i in range(15)})
+    found = [(9, [5, 5])] * 14
+    tree = S.cheapest_pairs(S.Cost(spec, found), 14)
+    assert sorted(tree.leaves()) == list(range(14))
+    t = TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2], "i64")
+    assert C.execute(S.by_rows(parse("ii,ij,k->jk"), [t, t, TensorRel.from_data(spark, [5, 6], [2], "i64")]), [t, t, TensorRel.from_data(spark, [5, 6], [2], "i64")]).shape == (2, 2)
