@@ -124,6 +124,34 @@ class Rolling:
         return out
 
 
+#: Words of up to so many bytes are hashed eight bytes at a time, longer ones as substrings of one buffer.
+SHORT = 64
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of many short stretches [start, end) of a buffer; equal bytes have equal hashes in any buffer.
+
+    Each step mixes a word's next eight bytes in by a bijection, so words of one length that differ in eight
+    bytes of one place alone never collide.
+    """
+    size = end - start
+    h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F)
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    some = np.flatnonzero(size <= SHORT)
+    at, left = start[some], size[some]
+    while len(some):
+        h[some] = mixed(h[some] ^ (eight[at] & FIRST[np.minimum(left, 8)]))
+        on = left > 8
+        some, at, left = some[on], at[on] + 8, left[on] - 8
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        ends = np.cumsum(size[long])
+        h[long] = Rolling(np.concatenate([buf[a:b] for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])).of(ends - size[long], ends)
+    return h
+
+
 @functools.cache
 def c_library():
     try:

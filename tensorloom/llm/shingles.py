@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .hashing import Rolling, mixed, text_groups
+from .hashing import mixed, text_groups, words
 
 WORDS = 5
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -29,7 +29,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray):
 def word_hashes(buf: np.ndarray, offsets: np.ndarray):
     """Hashes of the words of all texts, and for each text where its words begin among them."""
     start, end = word_spans(buf, offsets)
-    return Rolling(LOWER[buf]).of(start, end), np.searchsorted(start, offsets)
+    return words(LOWER[buf], start, end), np.searchsorted(start, offsets)
 
 
 def sets(buf: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
