@@ -4,7 +4,8 @@ A profile is the most frequent 1- to 3-grams of letters, in order of frequency;
 letters, lower-cased, with a blank before and after. A document's profile is compared with each
 language's: for each n-gram of the document the distance is the difference of the two ranks, or
 the profile's length where the language lacks it. The language with the least sum wins. Language
-profiles are learned from all labelled documents that are passed to learn().
+profiles are learned from all labelled documents that are passed to learn(); all of them are sent to all
+tasks, LENGTH codes for each distinct label, so labels must be languages and not free text.
 
 Defined results: null text and text without a letter give `und` and score 0, as does everything
 if no language was learned; ties go to the first language in code point order; repeated rows each

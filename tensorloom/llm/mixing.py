@@ -12,7 +12,8 @@ share source, size and slice are numbered in one window.
 Defined results: null text or size counts 0 words; a null source is a source of its own, last in
 order; repeated rows are documents of their own; an empty table gives an empty result; columns
 of other names pass through mix(), which uses names with the prefix __mix_ for itself. All rows of
-a null id are ranked in one window for each source and size, on narrow rows that it can spill.
+a null id are ranked in one window for each source and size, on narrow rows that it can spill; mix() gathers the
+copies of rows that are alike in id and text as one array of small numbers, and numbers them in one window.
 """
 
 from __future__ import annotations

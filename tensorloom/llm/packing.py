@@ -9,7 +9,8 @@ budget is a batch of its own. Nothing is truncated.
 Documents are numbered within a bucket by slices (by digest), so no bucket is gathered in one task.
 
 Defined results: null or blank text has length 0; repeated rows are documents of their own; an
-empty table gives an empty result; pack() keeps other columns and returns its own under the names
+empty table gives an empty result; rows of one null or repeated id and one length are numbered in one
+window, on rows that it can spill; lengths are words, so the token budget is one of words; pack() keeps other columns and returns its own under the names
 in COLUMNS, in place of columns so named.
 """
 
