@@ -71,7 +71,7 @@ def test_thue_morse_documents_are_not_linked(spark):
 def test_thue_morse_words_are_words_of_their_own():
     a, b = thue_morse(10)
     raw = [a.encode(), b.encode()]
-    u = L.Unit(np.arange(2), np.ones(2), np.ones(2), [len(x) for x in raw], np.frombuffer(b"".join(raw), dtype=np.uint8))
+    u = L.Unit(np.arange(2), np.ones(2), [len(x) for x in raw], np.frombuffer(b"".join(raw), dtype=np.uint8))
     u.tokens()
     assert len(set(u.t.tolist())) == 3
 
