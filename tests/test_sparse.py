@@ -82,7 +82,47 @@ def test_statistics(spark):
 def test_many_operands_and_repeated_labels(spark):
     spec = EinsumSpec(tuple((i, i + 1) for i in range(14)), ()).with_sizes({i: 5 for i in range(15)})
     found = [(9, [5, 5])] * 14
-    tree = S.cheapest_pairs(S.Cost(spec, found), 14)
+    cost = S.Cost(spec, found)
+    tree = S.cheapest_pairs(cost, [S.single(cost, i) for i in range(14)])[0]
     assert sorted(tree.leaves()) == list(range(14))
     t = TensorRel.from_data(spark, [1, 2, 3, 4], [2, 2], "i64")
     assert C.execute(S.by_rows(parse("ii,ij,k->jk"), [t, t, TensorRel.from_data(spark, [5, 6], [2], "i64")]), [t, t, TensorRel.from_data(spark, [5, 6], [2], "i64")]).shape == (2, 2)
+
+
+def test_exact_orders_of_sixteen():
+    """Chains against the recurrence over intervals; rings and ladders are no dearer than the greedy order."""
+    rng = random.Random(7)
+    n = 16
+    spec = EinsumSpec(tuple((i, i + 1) for i in range(n)), (0, n)).with_sizes({i: 50 for i in range(n + 1)})
+    found = [(rng.randint(1, 2000), [rng.randint(1, 50), rng.randint(1, 50)]) for _ in range(n)]
+    cost = S.Cost(spec, found)
+    best = {(i, i + 1): (0.0, *S.single(cost, i)[1:]) for i in range(n)}
+    for size in range(2, n + 1):
+        for i in range(n - size + 1):
+            ways = [(best[i, k], best[k, i + size]) for k in range(i + 1, i + size)]
+            price = lambda w: w[0][0] + w[1][0] + cost.join(w[0][1], w[1][1]) + w[0][1].rows + w[1][1].rows
+            a, b = min(ways, key=price)
+            best[i, i + size] = price((a, b)), cost.result(a[1], b[1], a[2] + b[2]), a[2] + b[2]
+    got = S.exact(cost, n)
+    assert sorted(got.leaves()) == list(range(n)) and S.price_of(spec.with_tree(got), found) == pytest.approx(best[0, n][0])
+    ring = tuple((i, (i + 1) % n) for i in range(n))
+    ladder = tuple(x for i in range(8) for x in (((0, i), (0, i + 1), (2, i)), ((1, i), (1, i + 1), (2, i))))
+    for ixs in (ring, ladder):
+        spec = EinsumSpec(ixs, ()).with_sizes({c: 30 for x in ixs for c in x})
+        found = [(rng.randint(1, 900), [rng.randint(1, 30) for _ in x]) for x in ixs]
+        cost = S.Cost(spec, found)
+        got = S.exact(cost, n)
+        greedy = S.cheapest_pairs(cost, [S.single(cost, i) for i in range(n)])[0]
+        assert sorted(got.leaves()) == list(range(n))
+        assert S.price_of(spec.with_tree(got), found) <= S.price_of(spec.with_tree(greedy), found) * (1 + 1e-9)
+
+
+def test_networks_apart_and_too_dense():
+    """Parts without a shared label are ordered by themselves; a clique of sixteen is left to pairs."""
+    spec = parse("ab,cd,bc,xy,yz->ax").with_sizes({c: 9 for c in "abcdxyz"})
+    cost = S.Cost(spec, [(20, [9, 9])] * 5)
+    sides = S.exact(cost, 5)
+    assert sorted(sorted(t.leaves()) for t in (sides.left, sides.right)) == [[0, 1, 2], [3, 4]]
+    pairs = list(itertools.combinations(range(16), 2))
+    spec = EinsumSpec(tuple(tuple(k for k, p in enumerate(pairs) if i in p) for i in range(16)), ()).with_sizes({k: 2 for k in range(len(pairs))})
+    assert S.exact(S.Cost(spec, [(5, [2] * 15)] * 16), 16) is None
