@@ -6,6 +6,7 @@ import contextlib
 import io
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,8 +147,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def top(df: DataFrame, column: str) -> int:
     """One more than the largest key."""
-    n = df.agg(F.max(column)).collect()[0][0]
-    return 0 if n is None else int(n) + 1
+    return tops([(df, column)])[0]
+
+
+def tops(columns: list[tuple[DataFrame, str]]) -> list[int]:
+    """One more than the largest key of each column, by one job."""
+    found = [df.agg(F.max(column).cast("bigint").alias("n")).withColumn("i", F.lit(i)) for i, (df, column) in enumerate(columns)]
+    largest = {r["i"]: r["n"] for r in reduce(DataFrame.unionAll, found).collect()}
+    return [0 if largest[i] is None else largest[i] + 1 for i in range(len(columns))]
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> TensorRel:
@@ -156,8 +163,13 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> TensorRel:
     if name in VIEWS:
         source, axes = VIEWS[name]
         return base(spark, sf_dir, source).permute(axes)
-    sizes = {"s": ("supplier", "s_suppkey"), "p": ("part", "p_partkey"), "n": ("nation", "n_nationkey"), "r": ("region", "r_regionkey"), "c": ("customer", "c_custkey")}
-    shape = lambda *of: [top(t(sizes[x][0]), sizes[x][1]) for x in of]
+    sizes = {"s": ("supplier", "s_suppkey"), "p": ("part", "p_partkey"), "n": ("nation", "n_nationkey"), "r": ("region", "r_regionkey"), "c": ("customer", "c_custkey"), "k": ("lineitem", "l_linenumber")}
+
+    def shape(*of: str) -> list[int]:
+        names = list(dict.fromkeys(of))
+        found = dict(zip(names, tops([(t(sizes[x][0]), sizes[x][1]) for x in names]), strict=True))
+        return [found[x] for x in of]
+
     if name == "L":
         return TensorRel.from_table(t("lineitem"), ["l_suppkey", "l_partkey"], "l_quantity", shape("s", "p"))
     if name in ("SN", "NR", "CN"):
@@ -167,21 +179,19 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> TensorRel:
         region = lambda s: t("nation").select(F.col("n_nationkey").alias(f"{s}n"), F.col("n_regionkey").alias(f"{s}r"))
         lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         lines = lines.join(region("s"), F.col("s_nationkey") == F.col("sn")).join(region("c"), F.col("c_nationkey") == F.col("cn"))
-        r, n, k = shape("r")[0], shape("n")[0], top(t("lineitem"), "l_linenumber")
         if name == "R":
-            return TensorRel.from_table(lines, ["sr", "cr", F.col("l_linenumber") % 5], "l_quantity", [r, r, 5])
+            return TensorRel.from_table(lines, ["sr", "cr", F.col("l_linenumber") % 5], "l_quantity", [*shape("r", "r"), 5])
         if name == "Q":
-            return TensorRel.from_table(lines, ["sr", "cr", "s_nationkey", "c_nationkey"], F.lit(1), [r, r, n, n])
+            return TensorRel.from_table(lines, ["sr", "cr", "s_nationkey", "c_nationkey"], F.lit(1), shape("r", "r", "n", "n"))
         if name == "H":
-            return TensorRel.from_table(lines, ["sr", "cr", "l_linenumber", "s_nationkey", "c_nationkey"], F.lit(1), [r, r, k, n, n])
+            return TensorRel.from_table(lines, ["sr", "cr", "l_linenumber", "s_nationkey", "c_nationkey"], F.lit(1), shape("r", "r", "k", "n", "n"))
         mod = [F.col(c).cast("bigint") % m for c, m in (("l_quantity", 4), ("l_partkey", 3), ("l_suppkey", 3), ("o_orderkey", 4), ("o_custkey", 5))]
-        return TensorRel.from_table(lines, ["sr", "cr", "l_linenumber", *mod], F.lit(1), [r, r, k, 4, 3, 3, 4, 5])
+        return TensorRel.from_table(lines, ["sr", "cr", "l_linenumber", *mod], F.lit(1), [*shape("r", "r", "k"), 4, 3, 3, 4, 5])
     if name in ("G", "T"):
         lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        n = shape("n")[0]
         if name == "G":
-            return TensorRel.from_table(lines, ["s_nationkey", "c_nationkey"], "l_quantity", [n, n])
-        return TensorRel.from_table(lines, ["s_nationkey", "l_linenumber", "c_nationkey"], F.lit(1), [n, top(t("lineitem"), "l_linenumber"), n])
+            return TensorRel.from_table(lines, ["s_nationkey", "c_nationkey"], "l_quantity", shape("n", "n"))
+        return TensorRel.from_table(lines, ["s_nationkey", "l_linenumber", "c_nationkey"], F.lit(1), shape("n", "k", "n"))
     if name == "U":
         types = t("events").select("event_type").distinct().withColumn("k", F.row_number().over(Window.orderBy("event_type")) - 1)
         return TensorRel.from_table(t("events").join(types, "event_type"), ["user_id", "k"], F.lit(1))
