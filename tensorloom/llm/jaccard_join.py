@@ -19,6 +19,9 @@ ones, and of those of frequent shingles, are joined to clusters, a cluster is de
 blocks of bounded bytes, and each two blocks whose sizes allow links are compared in a task of their
 own, which returns a forest of their links. So all links either are verified or lie inside a component.
 
+Equal sets are counted and signed once, by one of their rows, as far as the list of sets that several rows have
+goes (COPIED); that keeps the signatures from growing with the copies.
+
 Frequent shingles are found by counting, over all documents, the first 2 (e + 1) shingles of each
 by hash, which leaves room for the shingles that move back, and those that occur three times among
 about a million neighbouring shingles. Documents of which so many moved back that the prefix
@@ -34,6 +37,7 @@ component's id is its smallest id, null ids not counting; an empty table gives a
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +54,12 @@ PERCENT = 80
 FREQUENT = 8
 PART = 21
 GATHERED = 1_000_000
-#: Up to so many ids are sent to all tasks to pick out texts; more are joined by a shuffle.
-SENT_IDS = 500_000
+#: Up to so many ids at once are sent to all tasks to pick out texts, in at most SCANS passes over the
+#: documents; more are joined by a shuffle of all texts.
+SENT_IDS = 1_000_000
+SCANS = 8
+#: Sets that several rows have, those with the most rows first: up to so many are counted and signed for one row only.
+COPIED = 1 << 19
 #: Members of a signature that are paired one by one; sets and shingles in a block.
 GROUP = 64
 BLOCK = 1024
@@ -76,8 +84,25 @@ def describe(size: int):
     return run
 
 
-def count_first(size: int, percent: int):
-    """For mapInArrow: text to partial counts (s, n) of the shingles that come first by hash or are frequent nearby."""
+class Once:
+    """Which rows stand for their sets: (ent, rid) sorted by ent are the sets of several rows, with the row that does."""
+
+    def __init__(self, ent: np.ndarray, rid: np.ndarray):
+        self.ent, self.rid = ent, rid
+
+    def sets(self, part, found: list[np.ndarray]) -> list[np.ndarray]:
+        """The sets of a slice that aren't empty, without those for which another row stands."""
+        own = [(s, rid) for s, rid in zip(found, part.column("rid").to_numpy(zero_copy_only=False), strict=True) if len(s)]
+        if not own or not len(self.ent):
+            return [s for s, _ in own]
+        ent = np.array([identity(s) for s, _ in own], dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.ent, ent), len(self.ent) - 1)
+        other = (self.ent[at] == ent) & (self.rid[at] != np.array([rid for _, rid in own], dtype=np.int64))
+        return [s for (s, _), o in zip(own, other, strict=True) if not o]
+
+
+def count_first(size: int, percent: int, once):
+    """For mapInArrow: (rid, text) to partial counts (s, n) of the shingles that come first by hash or are frequent nearby."""
 
     def counts(held):
         first = np.concatenate([s[: 2 * (len(s) - needed(len(s), percent) + 1)] for s in held])
@@ -89,8 +114,9 @@ def count_first(size: int, percent: int):
 
     def run(batches):
         held, gathered = [], 0
-        for _, found in text_sets(batches, size):
-            held += [s for s in found if len(s)]
+        for part, found in text_sets(batches, size):
+            found = once.value.sets(part, found)
+            held += found
             gathered += sum(map(len, found))
             if gathered > GATHERED:
                 yield counts(held)
@@ -108,8 +134,8 @@ def is_known(s: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
 
 
-def count_rest(size: int, percent: int, frequent):
-    """For mapInArrow: text to partial counts (s, n) of shingles that the first count left out and a prefix may reach."""
+def count_rest(size: int, percent: int, once, frequent):
+    """For mapInArrow: (rid, text) to partial counts (s, n) of shingles that the first count left out and a prefix may reach."""
 
     def counts(held):
         s, n = np.unique(np.concatenate(held), return_counts=True)
@@ -118,8 +144,8 @@ def count_rest(size: int, percent: int, frequent):
     def run(batches):
         known = np.sort(frequent.value.view(np.uint64))
         held, gathered = [], 0
-        for _, found in text_sets(batches, size):
-            for s in found:
+        for part, found in text_sets(batches, size):
+            for s in once.value.sets(part, found):
                 prefix_size = len(s) - needed(len(s), percent) + 1
                 rare = ~is_known(s, known)
                 if rare[: 2 * prefix_size].sum() < prefix_size:
@@ -195,16 +221,14 @@ def signatures(s: np.ndarray, is_frequent: np.ndarray, percent: int = PERCENT):
     return rare, np.concatenate(pairs) if pairs else none
 
 
-def sign(size: int, percent: int, frequent):
-    """For mapInArrow: text to (sig, ent, n, order, pair); the member of least order is a signature's hub."""
+def sign(size: int, percent: int, once, frequent):
+    """For mapInArrow: (rid, text) to (sig, ent, n, order, pair); the member of least order is a signature's hub."""
 
     def run(batches):
         known = np.sort(frequent.value.view(np.uint64))
-        for _, found in text_sets(batches, size):
+        for part, found in text_sets(batches, size):
             sig, ent, n, rank, pair = [], [], [], [], []
-            for s in found:
-                if not len(s):
-                    continue
+            for s in once.value.sets(part, found):
                 is_frequent = is_known(s, known)
                 one, two = signatures(s, is_frequent, percent)
                 both = np.concatenate([one, two])
@@ -341,9 +365,14 @@ def compare_clusters(members: DataFrame, docs: DataFrame, entities: DataFrame, s
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ent, text) for the rows (rid, ent) of wanted, rid standing for id and text; a bounded number of them is sent to all tasks."""
-    few = wanted.count() <= SENT_IDS
-    return docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "rid").select("ent", "text")
+    """(ent, text) for the rows (rid, ent) of wanted, rid standing for id and text; a bounded number of them at once is sent to all tasks."""
+    n = wanted.count()
+    if n > SCANS * SENT_IDS:
+        return docs.join(wanted.hint("shuffle_hash"), "rid").select("ent", "text")
+    scans = max(1, -(-n // max(1, SENT_IDS)))
+    part = F.pmod("rid", F.lit(scans).cast("long"))
+    found = [docs.join(F.broadcast(wanted.where(part == i)), "rid").select("ent", "text") for i in range(scans)]
+    return reduce(DataFrame.unionAll, found)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, size: int, percent: int) -> DataFrame:
@@ -365,6 +394,13 @@ def verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, size: int, pe
     return out
 
 
+def copied(rows: DataFrame):
+    """Sent to all tasks: the sets that several rows have, at most COPIED, with one row each; others are signed by each of their rows."""
+    many = rows.where("n > 0").groupBy("ent").agg(F.count("*").alias("k"), F.min("rid").alias("rid")).where("k > 1")
+    found = many.orderBy(F.desc("k"), "ent").limit(COPIED).select("ent", "rid").toArrow().sort_by("ent")
+    return rows.sparkSession.sparkContext.broadcast(Once(found.column("ent").to_numpy(), found.column("rid").to_numpy()))
+
+
 def row_id(key: str, text: str) -> Column:
     """A number for a row's id and text."""
     return F.xxhash64(F.col(key), F.col(text))
@@ -381,15 +417,17 @@ def classes_by_row(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     ship(spark)
     d = docs.select(F.col(key).cast("long").alias("id"), row_id(key, text).alias("rid"), F.col(text).alias("text"))
     rows = stage(d.mapInArrow(describe(size), "id long, rid long, ent long, n long, hist binary"), "sets")
-    counts = stage(d.select("text").mapInArrow(count_first(size, percent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "counts")
+    once = copied(rows)
+    texts = d.select("rid", "text")
+    counts = stage(texts.mapInArrow(count_first(size, percent, once), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "counts")
     total = rows.agg(F.coalesce(F.sum(2 * F.floor(F.col("n") * (100 - percent) / 100) + 2), F.lit(0))).collect()[0][0]
     often = F.col("n") >= max(FREQUENT, int(total) >> PART)
     frequent = counts.where(often).select("s").toArrow().column("s").to_numpy()
-    rest = d.select("text").mapInArrow(count_rest(size, percent, spark.sparkContext.broadcast(frequent)), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    rest = texts.mapInArrow(count_rest(size, percent, once, spark.sparkContext.broadcast(frequent)), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     # the first count may have seen the others
     frequent = np.concatenate([frequent, rest.where(F.col("n") >= max(FREQUENT // 2, int(total) >> PART)).select("s").toArrow().column("s").to_numpy()])
 
-    signed = stage(d.mapInArrow(sign(size, percent, spark.sparkContext.broadcast(frequent)), "sig long, ent long, n int, order int, pair boolean"), "signatures")
+    signed = stage(texts.mapInArrow(sign(size, percent, once, spark.sparkContext.broadcast(frequent)), "sig long, ent long, n int, order int, pair boolean"), "signatures")
     ones = signed.where("NOT pair").select("sig", "order", "ent", "n").repartition("sig").sortWithinPartitions("sig", "order", "ent")
     ones = ones.mapInArrow(members(), "sig long, ent long, n int, best int, hub long").withColumn("pair", F.lit(False))
     two = signed.where("pair").groupBy("sig", "ent").agg(F.min("n").alias("n"), F.min("order").alias("order"))

@@ -193,3 +193,36 @@ def test_query_against_enumeration(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, d, "documents").collect()]
     got = queries()["op9_token_combinations"](spark, d).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("listed", [1 << 19, 1])
+def test_copies_add_no_signatures(spark, monkeypatch, listed):
+    """Signatures go with the sets, not with the rows that have them; copies beyond the list change no result."""
+    monkeypatch.setattr(J, "COPIED", listed)
+    signed, staged = [], J.stage
+
+    def counting(df, name):
+        out = staged(df, name)
+        if name == "signatures":
+            signed.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "stage", counting)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(50)) for _ in range(80)) for _ in range(6)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:3]]
+    for copies in (1, 20):
+        rows = [(1000 * c + i, t) for c in range(copies) for i, t in enumerate(texts)]
+        got = {r[0]: r[2] for r in J.classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+        assert got == {1000 * c + i: i % 6 for c in range(copies) for i in range(len(texts))}
+    assert signed[1] == signed[0] if listed > 1 else signed[1] >= signed[0]
+
+
+def test_many_texts_by_ids_in_several_passes(spark, monkeypatch):
+    """More ids than are sent at once take more passes over the texts, which aren't shuffled."""
+    monkeypatch.setattr(J, "SENT_IDS", 100)
+    rows = spark.range(1000).selectExpr("id rid", "concat('text ', id) text")
+    wanted = spark.range(0, 1000, 2).selectExpr("id rid", "-id ent")
+    found = J.texts_of(rows, wanted)
+    assert sorted(map(tuple, found.collect())) == sorted((-i, f"text {i}") for i in range(0, 1000, 2))
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
