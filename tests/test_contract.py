@@ -214,3 +214,24 @@ def test_from_table_adds_up_rows(spark):
     assert t.shape == (2, 2)
     assert t.to_list() == [0, 7, 5, 0]
     assert TensorRel.from_table(rows, ["a"], "x", algebra_="maxplus").to_list() == [3, 7]
+
+
+@pytest.mark.parametrize("algebra", ["standard", "maxplus"])
+@pytest.mark.parametrize("text", ["ij,kj->ik", "bij,bkj->bik", "ij,kj->ki"])
+def test_large_results_are_dealt_by_result(spark, monkeypatch, text, algebra):
+    """Same cells, and nothing is shuffled after the products are made."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(400).select((F.col("id") % 3).alias("d0"), F.col("id").alias("d1"), F.pmod(F.xxhash64("id"), F.lit(9)).alias("d2"), (F.col("id") % 5 - 2).alias("v"))
+    t = TensorRel(df, [3, 400, 9], "i64") if text.startswith("b") else TensorRel(df.drop("d0").toDF("d0", "d1", "v"), [400, 9], "i64")
+    spec = parse(text)
+    rows = lambda z: sorted(tuple(r) for r in z.df.select(*z.dims, "v").collect())
+    want = rows(C.contract_binary(t, t, *spec.ixs, spec.iy, algebra))
+    monkeypatch.setattr(C, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(C, "SMALL_RESULT", 100)
+    monkeypatch.setattr(C, "PRODUCTS", 1000)
+    got = C.contract_binary(t, t, *spec.ixs, spec.iy, algebra)
+    assert rows(got) == want
+    plan = got.df._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above and "Aggregate" in above
