@@ -14,7 +14,7 @@ one text have in common. Each set is first paired with the best of its hubs; the
 whose members aren't in one component yet, with the hubs of other components. A pair is dropped
 if the histograms of its sets by hash leave no room for a large enough intersection; the others
 are verified by exact intersection. Signatures whose members are in several components still are compared exactly: in those of up to
-GROUP members the pairs that cross components are verified in the same way; members of larger
+GROUP members the pairs that cross components are verified in the same way, once for all signatures with the same members; members of larger
 ones, and of those of frequent shingles, are joined to clusters, a cluster is dealt by size to
 blocks of bounded bytes, and each two blocks whose sizes allow links are compared in a task of their
 own, which returns a forest of their links. So all links either are verified or lie inside a component.
@@ -460,7 +460,8 @@ def classes_by_row(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     rest = labelled()
     open_ = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.max("pair").alias("pair")).where("lo <> hi AND k > 2")
     rest = stage(rest.join(open_.select("sig", (F.col("pair") | (F.col("k") > GROUP)).alias("large")), "sig"), "open")
-    x = rest.where("NOT large AND ent <> hub").select("sig", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    few = stage(one_of_equal(rest.where("NOT large AND ent <> hub")), "few")
+    x = few.select("sig", F.col("ent").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     y = x.toDF("sig", "b", "nb", "rb")
     near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
     across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
@@ -473,12 +474,18 @@ def classes_by_row(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     named = reps.join(roots, reps["ent"] == roots["node"], "left").select("ent", "rep", F.coalesce("root", "ent").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stage(named.join(least, "root").select("ent", F.col("root").alias("class"), "component_id"), "classes")
-    drop_staged(spark, found, entities, rest)
+    drop_staged(spark, found, entities, rest, few)
     linked = rows.where("n > 0").join(named, "ent").select("id", "rid", "n", "class", "component_id")
     alone = rows.where("n = 0").select("id", "rid", "n", F.lit(None).cast("long").alias("class"), F.col("id").alias("component_id"))
     return linked.union(alone)
 
 
+def one_of_equal(members: DataFrame) -> DataFrame:
+    """The rows (sig, ent, ...) of one signature for each set of members: a passage that some texts share makes many with the same ones."""
+    each = members.groupBy("sig").agg(F.sort_array(F.collect_list("ent")).alias("ents"))
+    return members.join(each.groupBy("ents").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
 def links_of(verified: DataFrame) -> DataFrame:
     return verified.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v"))
 

@@ -226,3 +226,11 @@ def test_many_texts_by_ids_in_several_passes(spark, monkeypatch):
     found = J.texts_of(rows, wanted)
     assert sorted(map(tuple, found.collect())) == sorted((-i, f"text {i}") for i in range(0, 1000, 2))
     assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_signatures_are_paired_once(spark):
+    """A passage in the same few texts makes many signatures; only sets of members that differ are paired."""
+    sets = [(sig, (4, 5, 6)) for sig in range(40)] + [(90, (4, 5)), (91, (5, 4)), (92, (4, 5, 6, 7)), (93, (8,))]
+    d = spark.createDataFrame([(sig, ent, 100 + ent) for sig, ents in sets for ent in ents], "sig long, ent long, n long").repartition(3)
+    got = sorted(tuple(r) for r in J.one_of_equal(d).collect())
+    assert got == sorted((sig, ent, 100 + ent) for sig, ents in ((0, (4, 5, 6)), (90, (4, 5)), (92, (4, 5, 6, 7)), (93, (8,))) for ent in ents)
