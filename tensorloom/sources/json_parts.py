@@ -40,16 +40,17 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     d = d.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
     d = stage(d, "pieces")  # numbered once
     # a row for each range of bytes
-    counts, by = d.groupBy("file", "block").agg(F.count("*").alias("n")), Window.orderBy("file", "block")
+    counts, by = d.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first")), Window.orderBy("file", "block")
     neighbour = lambda f: f("file").over(by)
     counts = counts.select(
-        "file", "block", "n",
+        "file", "block", "n", "first",
         F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         (F.dense_rank().over(Window.orderBy("file")) - 1).alias("files"),
         (neighbour(F.lag) != F.col("file")).alias("opens"),
         (neighbour(F.lead) != F.col("file")).alias("ends"),
     )
-    d = d.withColumn("nth", F.row_number().over(Window.partitionBy("file", "block").orderBy("i"))).join(F.broadcast(counts), ["file", "block"])
+    # a range is read by one task from end to end, so its numbers follow each other
+    d = d.join(F.broadcast(counts), ["file", "block"]).withColumn("nth", F.col("i") - F.col("first") + 1)
     edge = (F.col("opens") & (F.col("nth") == 1)) | (F.col("ends") & (F.col("nth") == F.col("n")))
     return d.select((F.col("before") + F.col("nth") - 1 - F.col("files")).alias("pos"), "value", "file", F.coalesce(edge, F.lit(False)).alias("edge"))
 

@@ -97,3 +97,12 @@ def test_commands_over_folders(spark, tmp_path):
     assert doc["result"]["data"] == (a @ b).reshape(-1).tolist()
     assert [g["data"] for g in doc["gradients"]] == [(dy @ b.T).reshape(-1).tolist(), (a.T @ dy).reshape(-1).tolist()] and [g["input_index"] for g in doc["gradients"]] == [0, 1]
     assert main(["contract", at("t"), "--expr", "ij,jk->ik", "--parts"]) == 1  # no folder named
+
+
+def test_pieces_are_numbered_without_moving_them(spark, tmp_path):
+    """Only the counts by range of bytes are shuffled or sorted, never the pieces."""
+    (tmp_path / "t.json").write_text(json.dumps({"data": list(range(500))}))
+    d = J.pieces(spark, str(tmp_path / "t.json"))
+    assert [r["pos"] for r in d.orderBy("pos").collect()] == list(range(500))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Join" in plan
