@@ -10,8 +10,9 @@ text with a count. Text of each different piece is then cut once. From how many
 is hot doesn't depend on the input; up to SENT hot ones are sent to all tasks, more are joined to
 the rows that hold them.
 
-In a shard the texts are joined and sorted by suffix to depth 256 at least `length`; on the
-Burrows-Wheeler transform intervals of patterns are extended to the left breadth-first: all
+In a shard the texts are joined and sorted by suffix to a depth of at least `length`: by 8 bytes, then ties
+at three times the depth in each step (two in shards of 2 MB or more). On the Burrows-Wheeler transform
+intervals of patterns are extended to the left breadth-first, from the patterns of up to 8 bytes that the first sort shows: all
 patterns of length l give the boundaries whose common prefix is l, so common prefixes are found by
 increasing value, and the search stops at `length`. Boundaries that are still unset separate
 suffixes that share `length` bytes or more. A window is repeated if its group has two
@@ -27,9 +28,11 @@ null ids are rows of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,9 @@ HOT = 512
 SENT = 1 << 16
 SALTS = 32
 SHARD_BYTES = 1 << 20
+#: Places, and intervals of suffixes, that are handled at once.
+STEP = 1 << 13
+EXPANDED = 1 << 22
 
 
 def runs(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -55,23 +61,29 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int =
         return none, none, none, none, np.empty(0, dtype=np.uint64), rolling
     w, m = length - gram + 1, len(h)
     # the hash's upper half with the position below: the minimum is the first of the smallest
-    packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
-    x = np.full(-(-m // w) * w + w, np.iinfo(np.uint64).max, dtype=np.uint64)
-    x[:m] = packed
-    x = x.reshape(-1, w)
-    to_right = np.minimum.accumulate(x, axis=1).ravel()
-    to_left = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(to_left[:m], to_right[w - 1 : w - 1 + m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:m]
-    s = np.flatnonzero(np.arange(m) + length <= offsets[row + 1])
-    if not len(s):
-        return none, none, none, none, np.empty(0, dtype=np.uint64), rolling
-    p = at[s]
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
-    i = np.flatnonzero(new)
-    last = s[np.concatenate([i[1:], [len(s)]]) - 1]
-    return row[s[i]], s[i], last, p[i], h[p[i]], rolling
+    least = np.empty(m - w + 1, dtype=np.uint64)
+    for a in range(0, len(least), STEP):
+        b = min(len(least), a + STEP)
+        x = (h[a : b + w - 1] & np.uint64(0xFFFFFFFF00000000)) | np.arange(a, b + w - 1, dtype=np.uint64)
+        least[a:b] = sliding_min(x, w)
+    # windows that lie in one text, and those where a piece begins and ends
+    sizes = np.diff(offsets)
+    inside = np.maximum(sizes - length + 1, 0)
+    within = np.repeat(np.tile([True, False], len(sizes)), np.stack([inside, sizes - inside], axis=1).ravel())[: len(least)]
+    same = (least[1:] == least[:-1]) & within[1:] & within[:-1]
+    i = np.flatnonzero(within & ~np.append(False, same))
+    last = np.flatnonzero(within & ~np.append(same, False))
+    p = (least[i] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return np.searchsorted(offsets, i, side="right") - 1, i, last, p, h[p], rolling
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbours, from those of 1, 2, 4, ... of them."""
+    n, size = len(x) - w + 1, 1
+    while 2 * size <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:n], x[w - size : w - size + n])
 
 
 def content(rolling: Rolling, first, last, p, length: int):
@@ -166,33 +178,40 @@ def cut_text(length: int):
     """For mapInArrow: (text, at) to (key, c, m, piece)."""
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
-                at = batch.column("at")[i].values.flatten()
-                first, last, key, c, m = at
-                pieces = [text[a : b + length] for a, b in zip(first.to_pylist(), last.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([key, c, m, pa.array(pieces, pa.binary())], ["key", "c", "m", "piece"])
+        for part, buf, offsets in text_groups(batches):
+            raw, row, (first, last, key, c, m) = buf.tobytes(), *listed_rows(part.column("at"))
+            first, last = (x.to_numpy() + offsets[row] for x in (first, last))
+            pieces = [raw[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([key, c, m, pa.array(pieces, pa.binary())], ["key", "c", "m", "piece"])
 
     return run
 
 
+def listed_rows(lists: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of a column of lists of structs the row of each struct and the structs' fields."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n), lists.flatten().flatten()
+
+
+def leading(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number, zeros beyond the end."""
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(buf),), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+
+
 def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first bytes, at least depth of them, by doubling; only ties are sorted again."""
+    """Suffixes sorted by their first bytes, at least depth of them; only ties are sorted again, at two or three times the depth."""
     n = len(buf)
-    x = np.concatenate([buf, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | x[j : n + j]
+    key = leading(buf)
     order = np.argsort(key)
     ordered = key[order]
     new = np.ones(n, dtype=bool)
     new[1:] = ordered[1:] != ordered[:-1]
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.zeros(n + 1, dtype=np.int64)
-    rank[n] = -1
-    rank[order] = start
-    done = 8
+    # ranks from 1, 0 beyond the end; three of up to 21 bits go into one key
+    rank = np.zeros(n + 1, dtype=np.int32 if n < (1 << 31) - 1 else np.int64)
+    rank[order] = start + 1
+    done, bits = 8, 21 if n < (1 << 21) - 1 else 32
     while done < depth:
         tied = ~new
         tied[:-1] |= ~new[1:]
@@ -200,15 +219,17 @@ def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
         if not len(slots):
             break
         s = order[slots]
-        key = (rank[s].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(s + done, n)] + 1).astype(np.uint64)
+        key = rank[s].astype(np.int64) << bits | rank[np.minimum(s + done, n)]
+        if bits == 21:
+            key = key << bits | rank[np.minimum(s + 2 * done, n)]
         by = np.argsort(key)
         s, key = s[by], key[by]
         order[slots] = s
         fresh = np.ones(len(s), dtype=bool)
         fresh[1:] = key[1:] != key[:-1]
         new[slots] |= fresh
-        rank[s] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))]
-        done *= 2
+        rank[s] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))] + 1
+        done *= 3 if bits == 21 else 2
     return order
 
 
@@ -219,27 +240,32 @@ def expand(lb: np.ndarray, rb: np.ndarray):
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lb[which], which
 
 
-def boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
+def boundaries(bwt: np.ndarray, length: int, first: np.ndarray | None = None) -> np.ndarray:
     """Whether each suffix shares less than length bytes with the one before it.
 
     bwt holds the byte before each suffix in sorted order. The children of an interval [lb, rb)
     are, for each byte in it, the suffixes that byte precedes: from the rank of its first to that
     of its last occurrence. An interval is followed up only if its right end is a new boundary.
+    With the suffixes' first 8 bytes, in order, the search begins with the patterns of up to 8 bytes.
     """
     n = len(bwt)
     listed = np.argsort(bwt, kind="stable")  # occurrences by byte; the place in this list is the row that an extension leads to
-    to = np.empty(n, dtype=np.int64)
+    to = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     to[listed] = np.arange(n)
-    by = bwt[listed]
-    same = by[1:] == by[:-1]
-    following, before = np.full(n, n, dtype=np.int64), np.full(n, -1, dtype=np.int64)
-    following[listed[:-1][same]] = listed[1:][same]
-    before[listed[1:][same]] = listed[:-1][same]
-    starts = np.searchsorted(by, np.arange(257))
+    starts = np.append(0, np.cumsum(np.bincount(bwt, minlength=256)))
     seen = np.zeros(n + 1, dtype=bool)
     seen[0] = seen[n] = True
     lb, rb = np.array([0]), np.array([n])
-    for _ in range(length):
+    done = 0
+    if first is not None:
+        done = min(8, length)
+        change = (first[1:] ^ first[:-1]) >> np.uint64(64 - 8 * done)
+        edges = np.flatnonzero(change) + 1
+        seen[edges] = True
+        # the patterns of this length that agree with the next one but for the last byte
+        some = change[edges - 1] < 256
+        lb, rb = np.append(0, edges[:-1])[some], edges[some]
+    for _ in range(done, length):
         size = rb - lb
         wide = size > 256
         firsts, lasts = [], []
@@ -256,11 +282,13 @@ def boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
         single = to[lb[one]]
         firsts.append(single)
         lasts.append(single)
-        if not one.all():
-            lb, rb = lb[~one], rb[~one]
-            q, which = expand(lb, rb)
-            firsts.append(to[q[before[q] < lb[which]]])
-            lasts.append(to[q[following[q] >= rb[which]]])
+        lb, rb = lb[~one], rb[~one]
+        for a in range(0, len(lb), EXPANDED):
+            q, which = expand(lb[a : a + EXPANDED], rb[a : a + EXPANDED])
+            key = np.sort((which << 8 | bwt[q]) << 32 | to[q])
+            at = np.flatnonzero(np.append(True, key[1:] >> 32 != key[:-1] >> 32))
+            firsts.append((key[at] & 0xFFFFFFFF).astype(to.dtype))
+            lasts.append((key[np.append(at[1:], len(key)) - 1] & 0xFFFFFFFF).astype(to.dtype))
         # intervals of patterns of one length don't overlap, so both ends sort alike
         lb, rb = np.sort(np.concatenate(firsts)), np.sort(np.concatenate(lasts)) + 1
         new = ~seen[rb]
@@ -271,93 +299,109 @@ def boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
     return seen[:n]
 
 
-def repeated(pieces: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each piece whether each of its windows occurs twice or more, a piece counting counts times."""
+def hits(pieces: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each window occurs twice or more, a piece counting counts times, in one array with gaps; where each piece's begin, how many they are."""
     sizes = np.array([len(x) for x in pieces], dtype=np.int64)
     # no UTF-8 text holds the byte 0xFF
     buf = np.frombuffer(b"\xff".join(pieces) + b"\xff", dtype=np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
     order = suffix_order(buf, length)
-    group = np.cumsum(boundaries(buf[order - 1], length)) - 1
+    group = np.flatnonzero(boundaries(buf[order - 1], length, leading(buf)[order]))
     windows = sizes - length + 1
-    weight = np.zeros(len(buf), dtype=np.int64)
-    at, which = expand(begin, begin + windows)
-    weight[at] = counts[which]
-    total = np.bincount(group, weights=weight[order])
+    weight = np.repeat(np.stack([counts, np.zeros_like(counts)], axis=1).ravel(), np.stack([windows, np.full_like(windows, length)], axis=1).ravel())
+    total = np.add.reduceat(weight[order], group)
     hit = np.empty(len(buf), dtype=bool)
-    hit[order] = total[group] >= 2
+    hit[order] = np.repeat(total >= 2, np.diff(np.append(group, len(buf))))
+    return hit & (weight > 0), begin, windows
+
+
+def repeated(pieces: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each piece whether each of its windows occurs twice or more, a piece counting counts times."""
+    hit, begin, windows = hits(pieces, counts, length)
     return [hit[a : a + n] for a, n in zip(begin, windows, strict=True)]
 
 
-def spans(hit: np.ndarray) -> np.ndarray:
-    """First and last window of each run of repeated windows, one after the other."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    edge[1::2] -= 1
-    return edge.astype(np.int32)
+def spans(hit: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Pieces with repeated windows, and for each the first and last window of each run of them, one after the other."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
+    which = np.searchsorted(begin, edge[:, 0], side="right") - 1
+    runs_ = (edge - begin[which, None] - [0, 1]).astype(np.int32)
+    i = np.flatnonzero(np.diff(which, prepend=-1))
+    at = np.append(i, len(which)).astype(np.int32) * np.int32(8)
+    return which[i], pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(at), pa.py_buffer(runs_)])
 
 
 def search_shards(length: int):
     """For mapInArrow over rows sorted by key: (key, c, m, piece) to (key, c, spans) of repeated windows."""
 
     def result(held):
-        key, c, m, pieces = (sum((h[k] for h in held), []) for k in range(4))
-        hits = [spans(x) for x in repeated(pieces, np.array(m, dtype=np.int64), length)]
-        keep = [i for i, x in enumerate(hits) if len(x)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[i] for i in keep], pa.int64()), pa.array([c[i] for i in keep], pa.int64()), pa.array([hits[i].tobytes() for i in keep], pa.binary())], ["key", "c", "spans"]
-        )
+        key, c, m = (np.concatenate([h[k] for h in held]) for k in range(3))
+        hit, begin, _ = hits(list(chain.from_iterable(h[3] for h in held)), m, length)
+        keep, found = spans(hit, begin)
+        return pa.RecordBatch.from_arrays([pa.array(key[keep], pa.int64()), pa.array(c[keep], pa.int64()), found], ["key", "c", "spans"])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            key, c, m, piece = (batch.column(x).to_pylist() for x in ("key", "c", "m", "piece"))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            c, m = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "m"))
+            piece = batch.column("piece").to_pylist()
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if a == b:
                     continue
-                if size >= SHARD_BYTES and key[a] != last:
+                if size >= SHARD_BYTES and keys[a] != last:
                     yield result(held)
                     held, size = [], 0
-                held.append((key[a:b], c[a:b], m[a:b], piece[a:b]))
+                held.append((keys[a:b], c[a:b], m[a:b], piece[a:b]))
                 size += sum(map(len, piece[a:b]))
-                last = key[a]
+                last = keys[a]
         if held:
             yield result(held)
 
     return run
 
 
-def cover(marks, length: int) -> list[tuple[int, int]]:
-    """Maximal covered byte ranges from (first window of a piece, spans in it)."""
-    if not marks:
-        return []
-    ends = np.concatenate([np.frombuffer(s, dtype=np.int32).astype(np.int64).reshape(-1, 2) + at for at, s in marks])
+def cover(marks: pa.Array, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal covered byte ranges of texts in one buffer, from lists of (first window of a piece, spans in it): row, begin, end."""
+    row, (first, found) = listed_rows(marks)
+    ends = np.frombuffer(b"".join(found.to_pylist()), dtype=np.int32).astype(np.int64).reshape(-1, 2)
+    n = pc.binary_length(found).to_numpy(zero_copy_only=False) // 8
+    # one byte between the texts keeps their ranges apart
+    apart = offsets + np.arange(len(offsets))
+    ends += np.repeat(first.to_numpy() + apart[row], n)[:, None]
     ends = ends[np.argsort(ends[:, 0], kind="stable")]
     a, b = ends[:, 0], np.maximum.accumulate(ends[:, 1] + length)
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = a[1:] > b[:-1]
-    i = np.flatnonzero(new)
-    return list(zip(a[i].tolist(), b[np.concatenate([i[1:], [len(a)]]) - 1].tolist(), strict=True))
+    i = np.flatnonzero(np.append(True, a[1:] > b[:-1])[: len(a)])
+    a, b = a[i], b[np.append(i[1:], len(a))[: len(i)] - 1]
+    row = np.searchsorted(apart, a, side="right") - 1
+    return row, a - row, b - row
 
 
 def remove(names: list[str], length: int, kept_text: bool):
     """For mapInArrow: the input's columns, text and marks to the columns and counts (and the remaining text)."""
 
     def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            for t, marks in zip(batch.column("__sd_text"), batch.column("__sd_marks"), strict=True):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                ranges = cover([(m["first"], m["spans"]) for m in marks.as_py() or []], length)
-                left = [raw[x:y] for x, y in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(raw)], strict=True)]
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(len(raw) - sum(map(len, left)))
-                out["n_spans"].append(len(ranges))
+        for part, buf, offsets in text_groups(batches, "__sd_text"):
+            row, a, b = cover(part.column("__sd_marks"), offsets, length)
+            n_spans = np.bincount(row, minlength=part.num_rows)
+            ranges = np.concatenate([[0], np.cumsum(n_spans)])
+            gone = np.concatenate([[0], np.cumsum(b - a)])[ranges]
+            edge = np.zeros(len(buf) + 1, dtype=np.int8)
+            edge[a] += 1
+            edge[b] -= 1
+            left = buf[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+            if kept_text:
                 # a window may start or end within a character, of which the rest goes from the text; halves of two don't make one
-                out["kept"].append("".join(x.decode("utf-8", "ignore") for x in left) if kept_text else hashlib.sha256(b"".join(left)).hexdigest())
+                kept, raw = [], buf.tobytes()
+                for i in range(part.num_rows):
+                    s = slice(ranges[i], ranges[i + 1])
+                    kept.append("".join(raw[x:y].decode("utf-8", "ignore") for x, y in zip([offsets[i], *b[s]], [*a[s], offsets[i + 1]], strict=True)))
+            else:
+                at = (offsets - gone).tolist()
+                kept = [hashlib.sha256(left[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.string())],
+                [*(part.column(i) for i in range(len(names))), *(pa.array(x, pa.int64()) for x in (np.diff(offsets), np.diff(gone), n_spans)), pa.array(kept, pa.string())],
                 [*names, "__sd_n_bytes", "__sd_n_removed", "__sd_n_spans", "__sd_kept"],
             )
 

@@ -129,3 +129,39 @@ def test_halves_of_characters_make_none(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r["__sd_kept"], r["__sd_n_bytes"], r["__sd_n_removed"]) for r in S.remove_repeats(d).collect()}
     assert got == {0: ("a  z", 308, 302), 1: ("b  y", 308, 302)}
+
+
+def test_few_sorts_of_ties(monkeypatch):
+    """Suffixes that agree throughout are sorted to 216 bytes by four sorts, not by one for each doubling."""
+    calls, argsort = [], np.argsort
+    monkeypatch.setattr(S.np, "argsort", lambda x, **k: calls.append(len(x)) or argsort(x, **k))
+    text = bytes(random.Random(3).choices(b"abcd", k=400))
+    buf = np.frombuffer((text + b"\xff") * 20, dtype=np.uint8)
+    order = S.suffix_order(buf, 200)
+    assert len(calls) <= 4
+    raw = buf.tobytes()
+    assert [raw[i : i + 200] for i in order] == sorted(raw[i : i + 200] for i in range(len(raw)))
+
+
+def test_large_shards():
+    """Ranks of more than 21 bits: the depth is doubled instead."""
+    rng = np.random.default_rng(5)
+    buf = np.append(np.tile(rng.integers(97, 101, 300_000).astype(np.uint8), 8), np.uint8(255))
+    order, raw = S.suffix_order(buf, 40), buf.tobytes()
+    assert len(buf) > 1 << 21 and (np.sort(order) == np.arange(len(buf))).all()
+    assert all(raw[a : a + 40] <= raw[b : b + 40] for a, b in zip(order[:-1:37].tolist(), order[1::37].tolist(), strict=False))
+
+
+@pytest.mark.parametrize("length", [1, 4, 8, 9, 30])
+def test_search_from_leading_bytes(monkeypatch, length):
+    """Begun at the patterns of up to 8 bytes, and by few intervals at a time, the search finds the same boundaries."""
+    rng = random.Random(length)
+    parts = [bytes(rng.choices(b"ab\x00", k=rng.randint(length, 60))) for _ in range(30)]
+    buf = np.frombuffer(b"\xff".join([*parts, *parts[:9]]) + b"\xff", dtype=np.uint8)
+    order = S.suffix_order(buf, length)
+    want = S.boundaries(buf[order - 1], length)
+    monkeypatch.setattr(S, "EXPANDED", 3)
+    got = S.boundaries(buf[order - 1], length, S.leading(buf)[order])
+    ends = np.concatenate([np.flatnonzero(buf == 255), [len(buf)]])
+    whole = ends[np.searchsorted(ends, order)] - order >= length  # others hold a separator
+    assert (np.cumsum(want)[whole][1:] != np.cumsum(want)[whole][:-1]).tolist() == (np.cumsum(got)[whole][1:] != np.cumsum(got)[whole][:-1]).tolist()
