@@ -286,3 +286,43 @@ def test_spellings_are_a_distribution():
     assert p.sum(axis=1) == pytest.approx(1.0)
     chain = b" abc "
     assert m.cost(buf, start, end)[0] == pytest.approx(sum(math.log10(p[a, b]) for a, b in zip(chain, chain[1:], strict=False)))
+
+
+def test_all_learning_texts_are_fitted(spark, monkeypatch):
+    """Beyond the texts that the fit begins with: the map counts the bits of all learning texts, each once, and scores don't depend on how rows are dealt."""
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 3000)
+    made, init = [], L.Mixer.__init__
+    monkeypatch.setattr(L.Mixer, "__init__", lambda self, *x: made.append(self) or init(self, *x))
+    rng = random.Random(6)
+    rows = [(i, sentences(rng, rng.randint(0, 12)), i % 5 != 1) for i in range(150)]
+    rows += [rows[2], rows[2], (200, "long " * 5000, True)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = []
+    for n in (1, 8):
+        got.append({r.doc_id: r.score for r in L.score(d.repartition(n), F.col("learns"), unit_bytes=6000).collect()})
+        tokens = sum(len(t.split()) + 1 for _, t, learns in set(rows) if learns)
+        assert made[-1].hits.sum() == pytest.approx(L.BITS * tokens, rel=1e-4)
+    assert got[0] == {i: pytest.approx(x, rel=1e-9) for i, x in got[1].items()}
+
+
+def test_fit_of_units_against_plain_counting(spark, monkeypatch):
+    """One unit, with none fitted before: as the plain reference fits the same texts in the same order."""
+    monkeypatch.setattr(L, "SAMPLE_BYTES", -1)
+    monkeypatch.setattr(L, "COMMON", 40)
+    rng = random.Random(8)
+    rows = [(i, sentences(rng, rng.randint(0, 12)), i % 5 != 1) for i in range(60)]
+    want = reference([(t, learns) for _, t, learns in rows], in_order(spark, rows), 40, 7)
+    got = {r.doc_id: r.score for r in L.score(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("learns"), hubs=7).collect()}
+    assert got == {i: pytest.approx(w, rel=1e-4, abs=0.01) for (i, _, _), w in zip(rows, want, strict=True)}
+
+
+def test_units_of_words():
+    raw = [b"The cat", b"", b"  x  the", b"the \xc3\xbc"]
+    u = L.Unit(np.arange(4), np.array([1, 0, 1, 1]), [len(x) for x in raw], np.frombuffer(b"".join(raw), dtype=np.uint8))
+    u.tokens()
+    v = L.Unit.of_words(*L.unpack(L.pack(*u.as_words())))
+    assert (v.t == u.t).all() and (v.begin == u.begin).all() and (v.doc == u.doc).all() and v.learns.tolist() == [True, False, True, True]
+    word = v.by_word[1]
+    assert [v.buf[v.spans[0][i] : v.spans[1][i]].tobytes().lower() for i in word] == [u.buf[a:b].tobytes().lower() for a, b in zip(u.start, u.end, strict=True)]
+    w = v.only(np.array([False, True, True, False]))
+    assert (w.t == u.t[u.begin[1] : u.begin[3]]).all() and w.rid.tolist() == [1, 2]
