@@ -25,8 +25,9 @@ goes (COPIED); that keeps the signatures from growing with the copies.
 Frequent shingles are found by counting, over all documents, the first 2 (e + 1) shingles of each
 by hash, which leaves room for the shingles that move back, and those that occur three times among
 about a million neighbouring shingles. Documents of which so many moved back that the prefix
-goes beyond the counted shingles have their other shingles counted in a second pass. Those with max(8, count of all / 2^21)
-or more are frequent (half of 8 in the second pass), so at most 2^21 in each pass are. The choice affects the work, never the result.
+goes beyond the counted shingles have their other shingles counted in a second pass. Those with 8 or more are frequent (4
+in the second pass); where these are more than 2^21, the smallest number is taken that leaves at most 2^21 of each pass. It is at
+most count of all / 2^21. The choice affects the work, never the result.
 64-bit hashes stand for shingles and sets.
 
 Defined results: null text and text without words have an empty set, link with nothing and are a
@@ -50,7 +51,7 @@ from .hashing import mixed
 from .shingles import WORDS, identity, text_sets
 
 PERCENT = 80
-#: A shingle is frequent from this many documents, and from this part (a power of two) of all counted.
+#: A shingle is frequent from this many documents; at most 2^PART are, those with the highest counts.
 FREQUENT = 8
 PART = 21
 GATHERED = 1_000_000
@@ -401,6 +402,21 @@ def copied(rows: DataFrame):
     return rows.sparkSession.sparkContext.broadcast(Once(found.column("ent").to_numpy(), found.column("rid").to_numpy()))
 
 
+def listed(counts: DataFrame, least: int, total: int) -> np.ndarray:
+    """The shingles found in `least` documents or more, or in the smallest larger number that leaves at most 2^PART of them.
+
+    From total / 2^PART on there are no more of them, whatever the counts, so only smaller numbers are looked at.
+    """
+    most = max(least, total >> PART)
+    found = {r["n"]: r["k"] for r in counts.where(F.col("n") >= least).groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("k")).collect()}
+    held, from_ = found.pop(most, 0), most
+    for n in sorted(found, reverse=True):
+        if held + found[n] > 1 << PART:
+            break
+        held, from_ = held + found[n], n
+    return counts.where(F.col("n") >= from_).select("s").toArrow().column("s").to_numpy()
+
+
 def row_id(key: str, text: str) -> Column:
     """A number for a row's id and text."""
     return F.xxhash64(F.col(key), F.col(text))
@@ -421,11 +437,10 @@ def classes_by_row(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     texts = d.select("rid", "text")
     counts = stage(texts.mapInArrow(count_first(size, percent, once), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "counts")
     total = rows.agg(F.coalesce(F.sum(2 * F.floor(F.col("n") * (100 - percent) / 100) + 2), F.lit(0))).collect()[0][0]
-    often = F.col("n") >= max(FREQUENT, int(total) >> PART)
-    frequent = counts.where(often).select("s").toArrow().column("s").to_numpy()
+    frequent = listed(counts, FREQUENT, int(total))
     rest = texts.mapInArrow(count_rest(size, percent, once, spark.sparkContext.broadcast(frequent)), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    # the first count may have seen the others
-    frequent = np.concatenate([frequent, rest.where(F.col("n") >= max(FREQUENT // 2, int(total) >> PART)).select("s").toArrow().column("s").to_numpy()])
+    rest = stage(rest.where(F.col("n") >= FREQUENT // 2), "rest")  # the first count may have seen the others
+    frequent = np.concatenate([frequent, listed(rest, FREQUENT // 2, int(total))])
 
     signed = stage(texts.mapInArrow(sign(size, percent, once, spark.sparkContext.broadcast(frequent)), "sig long, ent long, n int, order int, pair boolean"), "signatures")
     ones = signed.where("NOT pair").select("sig", "order", "ent", "n").repartition("sig").sortWithinPartitions("sig", "order", "ent")
@@ -434,7 +449,7 @@ def classes_by_row(docs: DataFrame, text: str = "text", key: str = "doc_id", siz
     firsts = two.groupBy("sig").agg(F.min(F.struct("order", "ent")).alias("first"), F.count("*").alias("k")).where("k > 1")
     two = two.join(firsts, "sig").select("sig", "ent", "n", F.col("first.order").alias("best"), F.col("first.ent").alias("hub"), F.lit(True).alias("pair"))
     found = stage(ones.union(two), "members")
-    drop_staged(spark, signed, counts)
+    drop_staged(spark, signed, counts, rest)
 
     # the entities that share a signature, with the smallest id that has each, and one row
     reps = rows.where("n > 0").groupBy("ent").agg(F.min("id").alias("rep"), F.min("rid").alias("rid"), F.first("n").alias("n"))

@@ -234,3 +234,23 @@ def test_equal_signatures_are_paired_once(spark):
     d = spark.createDataFrame([(sig, ent, 100 + ent) for sig, ents in sets for ent in ents], "sig long, ent long, n long").repartition(3)
     got = sorted(tuple(r) for r in J.one_of_equal(d).collect())
     assert got == sorted((sig, ent, 100 + ent) for sig, ents in ((0, (4, 5, 6)), (90, (4, 5)), (92, (4, 5, 6, 7)), (93, (8,))) for ent in ents)
+
+
+def test_more_input_does_not_make_shingles_rare(spark, monkeypatch):
+    counts = spark.createDataFrame([(s, 7 + s % 5) for s in range(50)], "s long, n long")  # ten each of 7 to 11
+    assert sorted(J.listed(counts, 8, 1 << 40)) == [s for s in range(50) if s % 5]
+    monkeypatch.setattr(J, "PART", 5)
+    assert sorted(J.listed(counts, 8, 1 << 20)) == [s for s in range(50) if s % 5 > 1]
+    monkeypatch.setattr(J, "PART", 3)
+    assert len(J.listed(counts, 8, 1 << 20)) == 0
+    assert len(J.listed(counts.where("n < 0"), 8, 0)) == 0
+
+
+def test_list_of_frequent_shingles_leaves_results_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(20)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(passage) for _ in range(3)) + f" w{i % 17} x{i % 5}") for i in range(90)], "doc_id long, text string")
+    want = sorted(map(tuple, J.classes(docs).collect()))
+    for part in (0, 3):
+        monkeypatch.setattr(J, "PART", part)
+        assert sorted(map(tuple, J.classes(docs).collect())) == want
